@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import minhash
+from mapweave.llm import embedding, minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,14 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, whatever their labels, from a cosine of 0.95 on."""
+    return embedding.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_embedding": op2_embedding,
 }
 
 ORACLES: dict[str, str] = {}
