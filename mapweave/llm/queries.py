@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import embedding, minhash
+from mapweave.llm import embedding, minhash, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,15 @@ def op2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.95)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels.quality marks the trusted positives; rows whose crc32 modulo 3 is 1 are held out."""
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_embedding": op2_embedding,
+    "op3_quality": op3_quality,
 }
 
 ORACLES: dict[str, str] = {}
