@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import embedding, minhash, quality
+from mapweave.llm import embedding, minhash, quality, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +28,16 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 13 words."""
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"), window=13)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_embedding": op2_embedding,
     "op3_quality": op3_quality,
+    "op10_substring": op10_substring,
 }
 
 ORACLES: dict[str, str] = {}
