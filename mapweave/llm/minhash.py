@@ -3,9 +3,9 @@
 Every document becomes the set of its distinct word shingles (64-bit hashes of one hash function). Its sketch is
 the k smallest of them. Documents with equal sets form a class and only the classes are compared:
 
-1. Inverted lists hold the classes by retained value. A pair with enough Jaccard similarity shares at least
-   `least_overlap` of its retained values, so one of the rarest k - least_overlap + 1 of either side is
-   shared: only those go into the lists, and frequent values (boiler-plate) hardly ever do.
+1. Inverted lists hold the classes by runs of retained values: each r consecutive values of the sorted sketch are a
+   key. Similar sets differ in few values, so that some run of r is the same on both sides (`run_length`), while a
+   passage or a frequent word pair that unrelated texts share is seldom unbroken by their other values.
 2. In each list, every class is held against one hub. A group of near copies so takes as many comparisons as it
    has members, not their square. After that, pairs of a list that still are in different components follow.
 3. The bottom k of the union of two sketches estimates the similarity; what could be similar enough is confirmed
@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from mapweave.llm.kernels import U64, Words, chunks, mix
 from mapweave.operators.graph import connected_components
@@ -95,22 +94,50 @@ def full_sets(docs: DataFrame, shingle_words: int, id_col: str = "doc_id", text_
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, SETS)
 
 
+def run_length(k: int, percent: int, miss: float = 1e-9) -> int:
+    """Most r such that of k union values, each shared with that chance, no r in a row are shared with chance miss at most."""
+    p, best = percent / 100, 1
+    for r in range(1, 9):
+        none = [0.0] * r  # chance of a current run of each length, without r in a row so far
+        none[0] = 1.0
+        for _ in range(k):
+            none = [sum(none) * (1 - p), *(x * p for x in none[:-1])]
+        if sum(none) > miss:
+            break
+        best = r
+    return best
+
+
+def short_runs(k: int, percent: int) -> dict[int, list[int]]:
+    """Sets so small that a similar one can share fewer than run_length values in a row: size and the runs it also needs."""
+    r, out = run_length(k, percent), {}
+    for n in range(1, k + 1):
+        lengths = set()
+        for union in range(n, min(k, n * 100 // percent) + 1):
+            differ = union - -(-union * percent // 100)
+            if differ:
+                lengths.add(min(r, -(-(union - differ) // (differ + 1))))
+        if lengths - {r}:
+            out[n] = sorted(lengths - {r})
+    return out
+
+
 def inverted_lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(value, node, n): the rarest retained values of each class, as many as a similar class must share one of."""
-    low = least_overlap(k, percent)
-    postings = classes.select("node", F.col("n_shingles").alias("n"), F.explode("sketch").alias("value"))
-    often = postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    kept = F.least("n", F.lit(k))
-    #: Sets that with any similar one have k shingles at most are sketched whole; there the bound is exact.
-    overlap = F.when(F.col("n") * 100 <= k * percent, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(low))
-    by_node = Window.partitionBy("node")
-    return (
-        postings.join(often, "value")
-        .withColumn("place", F.row_number().over(by_node.orderBy("df", "value")))
-        .withColumn("shared", F.count("*").over(by_node))
-        .filter(F.col("place") + kept - F.col("shared") <= kept - overlap + 1)
-        .select("value", "node", "n")
-    )
+    """(value, node, n): the classes by runs of retained values, without lists of a single class."""
+
+    def keys(length: int) -> Column:
+        values = [lambda i, j=j: F.element_at("sketch", i + j) for j in range(length)]
+        places = F.sequence(F.lit(1), F.size("sketch") - length + 1)
+        return F.when(F.size("sketch") >= length, F.transform(places, lambda i: F.xxhash64(F.lit(length), *(v(i) for v in values)))).otherwise(
+            F.array().cast("array<long>")
+        )
+
+    runs = keys(run_length(k, percent))
+    for n, lengths in short_runs(k, percent).items():
+        runs = F.when(F.col("n_shingles") == n, F.concat(*(keys(x) for x in lengths), keys(run_length(k, percent)))).otherwise(runs)
+    postings = classes.select("node", F.col("n_shingles").alias("n"), F.explode(F.array_distinct(runs)).alias("value"))
+    often = postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1").select("value")
+    return postings.join(often, "value").select("value", "node", "n")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:

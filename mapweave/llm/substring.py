@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from mapweave.llm.kernels import U64, Words, chunks, mix
 
 RUNS = "bucket int, ids binary, anchors binary, starts binary, counts binary, prints binary"
-REPEATS = "doc_id long, places binary"
+REPEATS = "part int, ids binary, ats binary, prints binary"
 _PLACE = np.dtype([("at", "<i4"), ("print", "<u4")])
 #: Text that a task reads before it sends entries, and text for each bucket.
-SEND_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
+SEND_BYTES, BUCKET_BYTES = 2 << 20, 5 << 20
 
 
 def _least(values: np.ndarray, n: int) -> np.ndarray:
@@ -82,7 +82,7 @@ def _runs(docs: DataFrame, window: int, anchor: int, buckets: int) -> DataFrame:
         new[1:] = (anchors[1:] != anchors[:-1]) | (ids[1:] != ids[:-1]) | (at[1:] != at[:-1] + 1)
         heads = np.flatnonzero(new)
         counts = np.diff(np.append(heads, len(ids))).astype(np.int32)
-        bucket = ((anchors[heads] >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+        bucket = ((mix(anchors[heads]) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)  # least hashes lie low
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0, True])
         for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -119,10 +119,13 @@ def _runs(docs: DataFrame, window: int, anchor: int, buckets: int) -> DataFrame:
     return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, RUNS)
 
 
-def _settle(table: pa.Table) -> pa.Table:
-    """The repeats of one bucket, by document."""
-    arrays = {n: [np.frombuffer(x, t) for x in table[n].to_pylist()] for n, t in (("ids", np.int64), ("anchors", U64), ("starts", np.int32), ("counts", np.int32), ("prints", np.uint32))}
-    ids, anchors, starts, counts, prints = (np.concatenate(arrays[n]) for n in ("ids", "anchors", "starts", "counts", "prints"))
+def _columns(table: pa.Table, **kinds) -> list[np.ndarray]:
+    return [np.concatenate([np.frombuffer(x, t) for x in table[n].to_pylist()]) for n, t in kinds.items()]
+
+
+def _settle(table: pa.Table, parts: int) -> pa.Table:
+    """The repeats of one bucket, dealt by document."""
+    ids, anchors, starts, counts, prints = _columns(table, ids=np.int64, anchors=U64, starts=np.int32, counts=np.int32, prints=np.uint32)
     if len(anchors):
         order = np.argsort(anchors, kind="stable")
         new = np.r_[True, anchors[order][1:] != anchors[order][:-1]]
@@ -131,28 +134,33 @@ def _settle(table: pa.Table) -> pa.Table:
         shared[order] = (np.minimum.reduceat(ids[order], heads) < np.maximum.reduceat(ids[order], heads))[group]
         wide = np.repeat(shared, counts)
         into = np.arange(len(prints)) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = (np.repeat(starts, counts) + into)[wide]
+        at = (np.repeat(starts, counts) + into)[wide].astype(np.int32)
         ids, anchors, prints = np.repeat(ids, counts)[wide], np.repeat(anchors, counts)[wide], prints[wide]
         later = _later(_key(anchors, prints), ids)
         ids, starts, prints = ids[later], at[later], prints[later]
+    part = (mix(ids.view(U64)) % U64(parts)).astype(np.int32)
+    own = [np.flatnonzero(part == p) for p in np.unique(part)]
+    blobs = [pa.array([x[i].tobytes() for i in own], pa.binary()) for x in (ids, starts, prints)]
+    return pa.table([pa.array(np.unique(part), pa.int32()), *blobs], names=["part", "ids", "ats", "prints"])
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    ids, ats, prints = _columns(table, ids=np.int64, ats=np.int32, prints=np.uint32)
     order = np.argsort(ids, kind="stable")
     places = np.empty(len(ids), _PLACE)
-    places["at"], places["print"] = starts[order], prints[order]
+    places["at"], places["print"] = ats[order], prints[order]
     edges = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0, True]) if len(ids) else np.zeros(1, int)
-    return pa.table(
-        {
-            "doc_id": pa.array(ids[order][edges[:-1]], pa.int64()),
-            "places": pa.array([places[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
-        }
-    )
+    found = [places[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.table({"doc_id": pa.array(ids[order][edges[:-1]], pa.int64()), "places": pa.array(found, pa.binary())})
 
 
 def repeated_windows(docs: DataFrame, window: int = 13, anchor: int = 5) -> DataFrame:
     """(doc_id, places): the windows of each document whose words also stand in a document with a smaller id."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    found = _runs(docs, window, anchor, buckets).groupBy("bucket").applyInArrow(_settle, REPEATS)
-    return found.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    parts = -(-buckets // 16)
+    found = _runs(docs, window, anchor, buckets).groupBy("bucket").applyInArrow(lambda table: _settle(table, parts), REPEATS)
+    return found.groupBy("part").applyInArrow(_by_document, "doc_id long, places binary")
 
 
 def _removed(data: np.ndarray, places: np.ndarray, window: int) -> tuple[Words, np.ndarray]:
@@ -185,12 +193,12 @@ def remove_repeats(
     joined = own.join(found, "doc_id", "left").select("doc_id", "text", "places")
     names = ["doc_id", "n_words", "n_removed", "n_repeats", "kept_sha256"] + ["kept_text"] * with_text
 
-    def row(text: str | None, places: list[bytes] | None) -> tuple:
+    def row(text: str | None, places: bytes | None) -> tuple:
         data = (text or "").encode()
         parts = data.split()
         n, gone, repeats = len(parts), 0, 0
         if places:
-            _, covered = _removed(np.frombuffer(data, np.uint8), np.frombuffer(b"".join(places), _PLACE), window)
+            _, covered = _removed(np.frombuffer(data, np.uint8), np.frombuffer(places, _PLACE), window)
             gone, repeats = int(covered.sum()), int((np.diff(np.r_[0, covered.astype(np.int8)]) == 1).sum())
             parts = [parts[i] for i in np.flatnonzero(~covered)]
         kept = b" ".join(parts)
