@@ -3,41 +3,39 @@
 Every document becomes the set of its distinct word shingles (64-bit hashes of one hash function). Its sketch is
 the k smallest of them. Documents with equal sets form a class and only the classes are compared:
 
-1. Inverted lists hold the classes by runs of retained values: each r consecutive values of the sorted sketch are a
-   key. Similar sets differ in few values, so that some run of r is the same on both sides (`run_length`), while a
-   passage or a frequent word pair that unrelated texts share is seldom unbroken by their other values.
-2. In each list, every class is held against one hub. A group of near copies so takes as many comparisons as it
-   has members, not their square. After that, pairs of a list that still are in different components follow.
-3. The bottom k of the union of two sketches estimates the similarity; what could be similar enough is confirmed
-   on the full sets.
+1. Inverted lists hold the classes by runs of retained values: r consecutive values of the sorted sketch are a
+   key. Similar sets differ in few values, so that several runs are the same on both sides (`least_runs`), while
+   a passage or a frequent word pair that unrelated texts share is seldom unbroken by their other values. As that
+   many runs are shared, each class leaves out its most frequent ones but for one fewer.
+2. In each list every class is held against one hub, the most central class of the list, so a group of near
+   copies takes as many comparisons as it has members. The union-sketch estimate sorts out pairs that are far apart,
+   the full sets decide on the others.
+3. All that is near the hubs of one component is also held against the component's most central class. Two classes near
+   the same centre are as far apart as their differences from it say. Where one of them isn't linked to the
+   centre, a link takes more than half of the other's difference in common: a prefix of the rarest part of
+   each difference finds these pairs without going through all pairs of the group.
+4. Classes far from the hub of a list can only be similar to others far from it; those pairs are estimated and decided
+   one by one.
 """
 
 from __future__ import annotations
 
-from math import comb
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mapweave.llm.kernels import U64, Words, chunks, mix
 from mapweave.operators.graph import connected_components
 from mapweave.runtime import materialize
 
-SKETCH = "doc_id long, n_shingles long, node binary, sketch array<long>"
-SETS = "node binary, shingles array<long>"
-
-
-def least_overlap(k: int, percent: int, miss: float = 1e-9) -> int:
-    """Most m such that a pair of that similarity shares fewer than m of k retained values with chance miss at most."""
-    p, tail, m = percent / 100, 0.0, 0
-    while m < k:
-        tail += comb(k, m) * p**m * (1 - p) ** (k - m)
-        if tail > miss:
-            break
-        m += 1
-    return max(m, 1)
+SKETCH = "doc_id long, n_shingles long, set_key binary, sketch array<long>"
+SETS = "node long, shingles array<long>"
+#: Jaccard similarity to a hub, in percent. A class below FAR is only compared with others below FAR; a sketch estimate
+#: under UNLIKELY leaves no doubt that the similarity is below NEAR; and two similar classes lie on either side of FAR
+#: only where both are above NEAR (distances obey the triangle inequality, so FAR is NEAR plus 20 for 80).
+UNLIKELY, NEAR, FAR = 20, 45, 65
 
 
 def _shingles(column: pa.Array, words: int):
@@ -53,7 +51,7 @@ def _shingles(column: pa.Array, words: int):
                 yield grams[a : min(b, a + 1)]  # the whole sequence as one, or nothing
 
 
-def _node(shingles: np.ndarray) -> bytes | None:
+def _set_key(shingles: np.ndarray) -> bytes | None:
     """A 128-bit key of the set."""
     if not len(shingles):
         return None
@@ -63,7 +61,7 @@ def _node(shingles: np.ndarray) -> bytes | None:
 
 
 def sketches(docs: DataFrame, shingle_words: int = 5, k: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, node, sketch) for each row. node is a key of the shingle set, null when that is empty."""
+    """(doc_id, n_shingles, set_key, sketch) for each row. set_key names the shingle set and is null when that is empty."""
 
     def run(batches):
         for batch in batches:
@@ -72,111 +70,168 @@ def sketches(docs: DataFrame, shingle_words: int = 5, k: int = 64, id_col: str =
                 [
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_node(s) for s in sets], pa.binary()),
+                    pa.array([_set_key(s) for s in sets], pa.binary()),
                     pa.array([s[:k] for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "node", "sketch"],
+                ["doc_id", "n_shingles", "set_key", "sketch"],
             )
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SKETCH)
 
 
-def full_sets(docs: DataFrame, shingle_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, shingles) with the whole set of each row."""
+def full_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """(node, shingles) with the whole set of each row of (doc_id, text)."""
 
     def run(batches):
         for batch in batches:
-            sets = list(_shingles(batch.column(0), shingle_words))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_node(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"]
-            )
+            sets = pa.array(list(_shingles(batch.column(1), shingle_words)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["node", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, SETS)
+
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, SETS)
-
-
-def run_length(k: int, percent: int, miss: float = 1e-9) -> int:
-    """Most r such that of k union values, each shared with that chance, no r in a row are shared with chance miss at most."""
-    p, best = percent / 100, 1
-    for r in range(1, 9):
-        none = [0.0] * r  # chance of a current run of each length, without r in a row so far
-        none[0] = 1.0
-        for _ in range(k):
-            none = [sum(none) * (1 - p), *(x * p for x in none[:-1])]
-        if sum(none) > miss:
-            break
-        best = r
-    return best
-
-
-def short_runs(k: int, percent: int) -> dict[int, list[int]]:
-    """Sets so small that a similar one can share fewer than run_length values in a row: size and the runs it also needs."""
-    r, out = run_length(k, percent), {}
-    for n in range(1, k + 1):
-        lengths = set()
-        for union in range(n, min(k, n * 100 // percent) + 1):
+def run_length(k: int, percent: int, most: int = 3) -> int:
+    """Longest runs, up to `most`, of which similar sets share some for sure (but for a chance of one in 10**9)."""
+    return max([1, *(r for r in range(1, most + 1) if least_runs(k, r, percent))])
+
+
+def least_runs(k: int, r: int, percent: int, miss: float = 1e-9) -> int:
+    """Runs of r that a pair of that similarity shares at least among k union values, but for a chance of miss."""
+    p = percent / 100
+    state = {(0, 0): 1.0}  # shared runs so far, length of the current one
+    for _ in range(k):
+        after: dict[tuple[int, int], float] = {}
+        for (runs, length), chance in state.items():
+            longer = min(length + 1, r)
+            for key, q in (((runs, 0), 1 - p), ((runs + (longer == r), longer), p)):
+                after[key] = after.get(key, 0.0) + chance * q
+        state = after
+    tail, runs = 0.0, 0
+    while runs < k and (tail := tail + sum(q for (n, _), q in state.items() if n == runs)) <= miss:
+        runs += 1
+    return runs
+
+
+def small_sets(k: int, r: int, percent: int) -> dict[int, tuple[list[int], int]]:
+    """For sets that are sketched whole with all that is similar: run lengths to keep, and shared runs of r at least.
+
+    Of a union of u values d at most aren't shared; they split the others into d + 1 runs.
+    """
+    out = {}
+    for n in range(1, k * percent // 100 + 1):
+        lengths, least = {r}, k
+        for union in range(n, n * 100 // percent + 1):
             differ = union - -(-union * percent // 100)
             if differ:
                 lengths.add(min(r, -(-(union - differ) // (differ + 1))))
-        if lengths - {r}:
-            out[n] = sorted(lengths - {r})
+                least = min(least, max(0, union - differ - (r - 1) * (differ + 1)))
+        out[n] = (sorted(lengths), least)
     return out
 
 
-def inverted_lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(value, node, n): the classes by runs of retained values, without lists of a single class."""
+def inverted_lists(classes: DataFrame, k: int, r: int, percent: int) -> DataFrame:
+    """(value, node, n, score): classes by runs of retained values; score tells how central a class is."""
+    small = small_sets(k, r, percent)
 
     def keys(length: int) -> Column:
-        values = [lambda i, j=j: F.element_at("sketch", i + j) for j in range(length)]
         places = F.sequence(F.lit(1), F.size("sketch") - length + 1)
-        return F.when(F.size("sketch") >= length, F.transform(places, lambda i: F.xxhash64(F.lit(length), *(v(i) for v in values)))).otherwise(
-            F.array().cast("array<long>")
-        )
+        run = lambda i: F.xxhash64(F.lit(length), *(F.element_at("sketch", i + j) for j in range(length)))
+        return F.when(F.size("sketch") >= length, F.transform(places, run)).otherwise(F.array().cast("array<long>"))
+
+    runs = keys(r)
+    for n, (lengths, _) in small.items():
+        if lengths != [r]:
+            runs = F.when(F.col("n") == n, F.concat(*(keys(x) for x in lengths))).otherwise(runs)
+    general = least_runs(k, r, percent)
+    least = F.array(*(F.lit(0 if lengths != [r] else min(x, general)) for lengths, x in small.values()))
+    left_out = F.greatest(F.lit(0), F.when(F.col("n") <= len(small), F.element_at(least, F.least("n", F.lit(len(small))).cast("int"))).otherwise(general) - 1)
+
+    postings = classes.select("node", F.col("n_shingles").alias("n"), "sketch").select("node", "n", F.explode(F.array_distinct(runs)).alias("value"))
+    often = postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    by_node = Window.partitionBy("node", "n")
+    return (
+        postings.join(often, "value")
+        .withColumn("place", F.row_number().over(by_node.orderBy(F.desc("df"), "value")))
+        .withColumn("score", F.sum("df").over(by_node))
+        .filter(F.col("place") > left_out)
+        .select("value", "node", "n", "score")
+    )
 
-    runs = keys(run_length(k, percent))
-    for n, lengths in short_runs(k, percent).items():
-        runs = F.when(F.col("n_shingles") == n, F.concat(*(keys(x) for x in lengths), keys(run_length(k, percent)))).otherwise(runs)
-    postings = classes.select("node", F.col("n_shingles").alias("n"), F.explode(F.array_distinct(runs)).alias("value"))
-    often = postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1").select("value")
-    return postings.join(often, "value").select("value", "node", "n")
+
+def _sizes_fit(a: str, b: str, percent: int) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose union sketch doesn't rule out the similarity."""
+    """Pairs (a, b) whose union sketch shows that similarity at least."""
 
     def side(name: str) -> DataFrame:
-        return classes.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
+        return classes.select(F.col("node").alias(name), F.col("sketch").alias(f"s_{name}"))
 
-    union = F.slice(F.sort_array(F.array_union("s_a", "s_b")), 1, k)
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(_sizes_fit("n_a", "n_b", percent))
-    both = both.withColumn("u", union).withColumn("hits", F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), "u")))
-    fits = F.when(F.size("u") < k, F.col("hits") * 100 >= F.size("u") * percent).otherwise(F.col("hits") >= least_overlap(k, percent))
-    return both.filter(fits).select("a", "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("u", F.slice(F.sort_array(F.array_union("s_a", "s_b")), 1, k))
+    hits = F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), "u"))
+    return both.filter(hits * 100 >= F.size("u") * percent).select("a", "b").distinct()
 
 
-def _sizes_fit(a: str, b: str, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _compared(pairs: DataFrame, docs: DataFrame, shingle_words: int) -> DataFrame:
+    """Pairs with their full sets, sizes and intersection size."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    sets = materialize(full_sets(texts, shingle_words).filter(F.size("shingles") > 0), "sets")
+    sides = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
+    joined = pairs.join(sides[0], "a").join(sides[1], "b")
+    return joined.select("a", "b", "set_a", "set_b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
 
 
-def _confirmed(pairs: DataFrame, labels: DataFrame, docs: DataFrame, shingle_words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs that are similar enough by their full sets."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = labels.join(nodes, "node", "left_semi").select(F.col("label").alias("doc_id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left_semi")
-    #: Rows that repeat a doc_id can bring sets that were not asked for, or one set more than once.
-    sets = full_sets(texts, shingle_words).join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    sets = materialize(sets, "sets")
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"
+def _near_hubs(held: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components near one hub whose differences from it leave the link possible.
+
+    held has hub, node, n, n_hub, linked, difference and asked; one of a pair is asked for. With |D| the size of a difference, two classes x, y are
+    |Dx| + |Dy| - 2 |Dx and Dy| apart; a link allows `apart` of |x| + |y|.
+    """
+    apart = (100 - percent) / (100 + percent)
+    placed = held.join(seen, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("hub")
+    placed = placed.join(mixed, "hub").withColumn("size", F.size("difference"))
+    elements = placed.select("hub", "node", "n", "n_hub", "component", "linked", "asked", "size", F.explode("difference").alias("value"))
+    often = elements.groupBy("hub", "value").agg(F.count("*").alias("df")).filter("df > 1")
+    #: x isn't linked to the hub, so |Dx| > apart * (|x| + |hub|); and |Dx| >= |Dy| - apart * (|x| + |y|).
+    half = (F.col("size") - F.greatest(F.lit(0), F.col("n") - F.col("n_hub")) * apart) / 2
+    whole = F.col("size") - F.col("n") * (apart * (1 + 100 / percent))
+    least = F.greatest(F.lit(1), F.ceil(F.greatest(half, whole) - 1e-9))
+    by_node = Window.partitionBy("hub", "node", "n")
+    ranked = (
+        elements.join(often, ["hub", "value"])
+        .withColumn("place", F.row_number().over(by_node.orderBy("df", "value")))
+        .withColumn("after", F.count("*").over(by_node) - F.col("place"))
     )
-    both = F.size(F.array_intersect("sa", "sb"))
-    return joined.withColumn("both", both).filter(F.col("both") * 100 >= (F.size("sa") + F.size("sb") - F.col("both")) * percent).select("a", "b")
+    index = ranked.filter(F.col("after") >= least - 1)
+    left = ranked.filter("not linked").select("hub", "value", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "component", "size", "asked", "after")))
+    right = index.select("hub", "value", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "component", "size", "asked", "after")))
+    close = F.abs(F.col("size_x") - F.col("size_y")) <= (F.col("n_x") + F.col("n_y")) * apart
+    #: The first common element has all others after it, on both sides.
+    close &= 2 * (1 + F.least("after_x", "after_y")) >= F.col("size_x") + F.col("size_y") - (F.col("n_x") + F.col("n_y")) * apart - 1e-9
+    pairs = left.join(right, ["hub", "value"]).filter((F.col("component_x") != F.col("component_y")) & _sizes_fit("n_x", "n_y", percent) & close & (F.col("asked_x") | F.col("asked_y")))
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
+def _far_from_hubs(lists: DataFrame, hubs: DataFrame, held: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one list in different components, both far from its hub."""
+    known = held.select("hub", "node", F.col("similar").alias("to_hub"))
+    far = lists.join(hubs, "value").filter("node <> hub").join(known, ["hub", "node"], "left").filter(F.coalesce("to_hub", F.lit(0)) < FAR / 100)
+    placed = far.select("value", "node", "n").join(seen, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = placed.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("value")
+    rest = materialize(placed.join(split, "value"), "far")
+    left, right = (rest.select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component"))) for x in "ab")
+    across = (F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b")) & _sizes_fit("n_a", "n_b", percent)
+    return left.join(right, "value").filter(across).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_duplicates(
     docs: DataFrame,
     shingle_words: int = 5,
     percent: int = 80,
-    k: int = 64,
+    k: int = 96,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -184,37 +239,69 @@ def near_duplicates(
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their shingle sets; component_id is the
     smallest id reachable by links. A text with fewer words than a shingle is one shingle; a null text or one without
-    words has an empty set, is linked with nothing and is its own component. Rows with equal ids are one vertex
-    for each distinct set. A null id gives a component of null unless its text has another copy, and such a row
-    is kept when no copy has an id. Extra columns are ignored.
+    words has an empty set, is linked with nothing and is its own component. Rows with equal ids are one vertex,
+    linked wherever one of them is. A row with a null id can't be named: it is linked with nothing, has
+    a null component and is kept. Extra columns are ignored. percent is 80 or more (see FAR).
     """
-    own = materialize(sketches(docs, shingle_words, k, id_col, text_col), "sketches")
-    labels = own.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("label"))
-    labels = materialize(labels, "labels")
-    same_id = (F.col("doc_id") == F.col("label")) & (own["node"] == labels["node"])
-    classes = own.join(labels, same_id).select(own["node"], "n_shingles", "sketch").dropDuplicates(["node"])
-    classes = materialize(classes, "classes")
-    lists = materialize(inverted_lists(classes, k, percent), "lists")
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        likely = materialize(_estimated(pairs, classes, k, percent), f"likely-{name}")
-        return materialize(_confirmed(likely, labels, docs, shingle_words, percent, id_col, text_col), f"links-{name}")
-
-    hubs = lists.groupBy("value").agg(F.min("node").alias("a"))
-    first = linked(lists.join(hubs, "value").filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "hubs")
-    seen = connected_components(first, "a", "b")
-
-    placed = lists.join(seen, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("value").agg(F.min("node").alias("hub"), F.min("component").alias("x"), F.max("component").alias("y"))
-    rest = materialize(placed.join(split.filter("x <> y"), "value").filter("node <> hub").select("value", "node", "n", "component"), "rest")
-    left, right = (rest.select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component"))) for x in "ab")
-    across = (F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b")) & _sizes_fit("n_a", "n_b", percent)
-    second = left.join(right, "value").filter(across).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    links = first.unionByName(linked(second, "others"))
-
-    found = labels.join(connected_components(links, "a", "b"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = found.groupBy("component").agg(F.min("label").alias("lowest"))
-    places = found.join(lowest, "component").select("node", "lowest")
-    out = own.select("doc_id", "n_shingles", "node").join(places, "node", "left")
-    component = F.coalesce("lowest", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    if percent < 80:
+        raise ValueError("similarities below 80 percent need other bounds")
+    r = run_length(k, percent)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = materialize(sketches(texts, shingle_words, k), "sketches")
+    named = own.filter("set_key is not null and doc_id is not null")
+    labels = materialize(named.groupBy("set_key").agg(F.min("doc_id").alias("node")), "labels")
+    first_rows = (named["set_key"] == labels["set_key"]) & (named["doc_id"] == labels["node"])
+    classes = named.join(labels, first_rows, "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "sketch")
+    lists = materialize(inverted_lists(classes, k, r, percent), "lists")
+    linked = F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent
+    similar = F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
+
+    hubs = materialize(lists.groupBy("value").agg(F.max_by("node", F.struct("score", "node")).alias("hub")), "hubs")
+    spokes = lists.join(hubs, "value").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    likely = materialize(_estimated(spokes, classes, k, UNLIKELY), "spokes")
+    difference = F.concat(F.array_except("set_a", "set_b"), F.array_except("set_b", "set_a"))
+
+    def against(pairs: DataFrame, name: str) -> DataFrame:
+        found = _compared(pairs, texts, shingle_words).select(
+            F.col("a").alias("hub"), F.col("b").alias("node"), F.col("n_a").alias("n_hub"), F.col("n_b").alias("n"), linked.alias("linked"), similar.alias("similar"),
+            F.when(similar >= NEAR / 100, difference).alias("difference"),
+        )
+        return materialize(found, name)
+
+    def joined_by(held: DataFrame) -> DataFrame:
+        return materialize(connected_components(held.filter("linked"), "hub", "node"), "seen")
+
+    held = against(likely, "held")
+    seen = joined_by(held)
+    near = held.filter("difference is not null").join(seen.select(F.col("node").alias("hub"), "component"), "hub", "left")
+    scores = lists.select("node", "score").distinct()
+    centres = seen.join(scores, "node").groupBy("component").agg(F.max_by("node", F.struct("score", "node")).alias("centre"))
+    near = materialize(near.join(centres, "component", "left").withColumn("centre", F.coalesce("centre", "hub")).select("centre", "hub", "node"), "near")
+    members = near.select(F.col("centre").alias("a"), F.explode(F.array("hub", "node")).alias("b")).filter("a <> b").distinct()
+    centred = against(members, "centred")
+    seen = joined_by(held.unionByName(centred))
+    inside = centred.filter("difference is not null")
+    #: A class far from its component's centre keeps its place at the hubs that it is near to.
+    outside = near.join(centred.filter("difference is null").select(F.col("hub").alias("centre"), "node"), ["centre", "node"], "left_semi").select("hub", "node").withColumn("asked", F.lit(True))
+    rest = held.filter("difference is not null").join(outside.select("hub").distinct(), "hub", "left_semi").join(outside, ["hub", "node"], "left")
+    first = held.unionByName(centred).filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+
+    pairs = (
+        _near_hubs(inside.withColumn("asked", F.lit(True)), seen, percent)
+        .unionByName(_near_hubs(rest.withColumn("asked", F.coalesce("asked", F.lit(False))), seen, percent))
+        .unionByName(_far_from_hubs(lists, hubs, held, seen, percent))
+        .distinct()
+    )
+    likely = materialize(_estimated(pairs, classes, k, 100 * least_runs(k, 1, percent) // k), "pairs")
+    second = _compared(likely, texts, shingle_words).filter(linked).select("a", "b")
+    links = first.unionByName(second)
+
+    found = named.select("doc_id", "set_key").join(labels, "set_key").filter("doc_id <> node").select("doc_id", "node").distinct()
+    #: Rows with equal ids are one vertex, so copies are edges too where an id has more than one set.
+    places = connected_components(links, "a", "b")
+    twice = named.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x <> y").select("doc_id")
+    if not twice.isEmpty():
+        places = connected_components(links.unionByName(found.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))), "a", "b")
+    out = own.join(labels, "set_key", "left").join(places, "node", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
