@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import embedding, minhash, packing, quality, substring
+from mapweave.llm import embedding, minhash, packing, pii, quality, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,15 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"), window=13)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64 bits, radius 3; the ids divisible by 20 are searched among all."""
+    return simhash.digest(_table(spark, sf_dir, "documents"), radius=3, every=20)
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens; the other capacities are as large as that implies."""
     return packing.best_fit(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
@@ -43,6 +52,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_embedding": op2_embedding,
     "op3_quality": op3_quality,
+    "op6_simhash": op6_simhash,
+    "op7_pii": op7_pii,
     "op9_packing": op9_packing,
     "op10_substring": op10_substring,
 }
