@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import embedding, minhash, packing, pii, quality, simhash, substring
+from mapweave.llm import embedding, minhash, packing, pii, quality, simhash, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page; equal payloads of any size become revisits."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens; the other capacities are as large as that implies."""
     return packing.best_fit(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op6_simhash": op6_simhash,
     "op7_pii": op7_pii,
+    "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_substring": op10_substring,
 }
