@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import embedding, minhash, packing, pii, quality, simhash, substring, warc
+from mapweave.llm import embedding, licences, minhash, mixing, packing, pii, quality, simhash, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,20 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"), window=13)
 
 
+#: Parts of all tokens that the mix is to have.
+MIX = {"clean": 0.90, "junk": 0.08, "toxic": 0.02}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains come from the labels table; the total number of tokens stays."""
+    return mixing.mix(_table(spark, sf_dir, "documents"), mixing.marks(_table(spark, sf_dir, "labels")), MIX, keep=("source",))
+
+
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dice coefficients from 0.8 on."""
+    return licences.scan(_table(spark, sf_dir, "documents"), least=0.8)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64 bits, radius 3; the ids divisible by 20 are searched among all."""
     return simhash.digest(_table(spark, sf_dir, "documents"), radius=3, every=20)
@@ -57,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_embedding": op2_embedding,
     "op3_quality": op3_quality,
+    "op4_mixing": op4_mixing,
+    "op5_licences": op5_licences,
     "op6_simhash": op6_simhash,
     "op7_pii": op7_pii,
     "op8_warc": op8_warc,
