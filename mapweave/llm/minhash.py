@@ -10,7 +10,7 @@ the k smallest of them. Documents with equal sets form a class and only the clas
 2. In each list every class is held against one hub, the most central class of the list, so a group of near
    copies takes as many comparisons as it has members. The union-sketch estimate sorts out pairs that are far apart,
    the full sets decide on the others.
-3. All that is near the hubs of one component is also held against the component's most central class. Two classes near
+3. Classes that nearness to hubs joins are a family, and are held against the family's most central class. Two classes near
    the same centre are as far apart as their differences from it say. Where one of them isn't linked to the
    centre, a link takes more than half of the other's difference in common: a prefix of the rarest part of
    each difference finds these pairs without going through all pairs of the group.
@@ -30,12 +30,14 @@ from mapweave.llm.kernels import U64, Words, chunks, mix
 from mapweave.operators.graph import connected_components
 from mapweave.runtime import materialize
 
-SKETCH = "doc_id long, n_shingles long, set_key binary, sketch array<long>"
+SKETCH = "doc_id long, n_shingles long, set_key binary, sketch array<long>, profile array<int>"
 SETS = "node long, shingles array<long>"
 #: Jaccard similarity to a hub, in percent. A class below FAR is only compared with others below FAR; a sketch estimate
 #: under UNLIKELY leaves no doubt that the similarity is below NEAR; and two similar classes lie on either side of FAR
 #: only where both are above NEAR (distances obey the triangle inequality, so FAR is NEAR plus 20 for 80).
 UNLIKELY, NEAR, FAR = 20, 45, 65
+#: A profile counts the shingles of a set by this many ranges of hashes.
+PROFILE = 32
 
 
 def _shingles(column: pa.Array, words: int):
@@ -61,7 +63,7 @@ def _set_key(shingles: np.ndarray) -> bytes | None:
 
 
 def sketches(docs: DataFrame, shingle_words: int = 5, k: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_key, sketch) for each row. set_key names the shingle set and is null when that is empty."""
+    """(doc_id, n_shingles, set_key, sketch, profile) for each row. set_key names the shingle set, null when that is empty."""
 
     def run(batches):
         for batch in batches:
@@ -72,8 +74,9 @@ def sketches(docs: DataFrame, shingle_words: int = 5, k: int = 64, id_col: str =
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_set_key(s) for s in sets], pa.binary()),
                     pa.array([s[:k] for s in sets], pa.list_(pa.int64())),
+                    pa.array([np.bincount((s.view(U64) >> U64(59)).astype(np.int64), minlength=PROFILE) for s in sets], pa.list_(pa.int32())),
                 ],
-                ["doc_id", "n_shingles", "set_key", "sketch"],
+                ["doc_id", "n_shingles", "set_key", "sketch", "profile"],
             )
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SKETCH)
@@ -215,16 +218,22 @@ def _near_hubs(held: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
-def _far_from_hubs(lists: DataFrame, hubs: DataFrame, held: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one list in different components, both far from its hub."""
+def _far_from_hubs(lists: DataFrame, hubs: DataFrame, held: DataFrame, seen: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one list in different components, both far from its hub, whose profiles don't rule out the similarity.
+
+    Two sets differ in at least the sum of the differences of their profiles.
+    """
     known = held.select("hub", "node", F.col("similar").alias("to_hub"))
     far = lists.join(hubs, "value").filter("node <> hub").join(known, ["hub", "node"], "left").filter(F.coalesce("to_hub", F.lit(0)) < FAR / 100)
     placed = far.select("value", "node", "n").join(seen, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("value")
-    rest = materialize(placed.join(split, "value"), "far")
-    left, right = (rest.select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component"))) for x in "ab")
+    profiles = classes.select("node", F.col("n_shingles").alias("n"), "profile")
+    rest = materialize(placed.join(split, "value").join(profiles, ["node", "n"]), "far")
+    left, right = (rest.select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "profile"))) for x in "ab")
     across = (F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b")) & _sizes_fit("n_a", "n_b", percent)
-    return left.join(right, "value").filter(across).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    differ = F.aggregate(F.zip_with("profile_a", "profile_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
+    close = differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    return left.join(right, "value").filter(across & close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -251,7 +260,7 @@ def near_duplicates(
     named = own.filter("set_key is not null and doc_id is not null")
     labels = materialize(named.groupBy("set_key").agg(F.min("doc_id").alias("node")), "labels")
     first_rows = (named["set_key"] == labels["set_key"]) & (named["doc_id"] == labels["node"])
-    classes = named.join(labels, first_rows, "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "sketch")
+    classes = named.join(labels, first_rows, "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "sketch", "profile")
     lists = materialize(inverted_lists(classes, k, r, percent), "lists")
     linked = F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent
     similar = F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
@@ -268,28 +277,25 @@ def near_duplicates(
         )
         return materialize(found, name)
 
-    def joined_by(held: DataFrame) -> DataFrame:
-        return materialize(connected_components(held.filter("linked"), "hub", "node"), "seen")
-
     held = against(likely, "held")
-    seen = joined_by(held)
-    near = held.filter("difference is not null").join(seen.select(F.col("node").alias("hub"), "component"), "hub", "left")
-    scores = lists.select("node", "score").distinct()
-    centres = seen.join(scores, "node").groupBy("component").agg(F.max_by("node", F.struct("score", "node")).alias("centre"))
-    near = materialize(near.join(centres, "component", "left").withColumn("centre", F.coalesce("centre", "hub")).select("centre", "hub", "node"), "near")
-    members = near.select(F.col("centre").alias("a"), F.explode(F.array("hub", "node")).alias("b")).filter("a <> b").distinct()
+    near = held.filter("difference is not null")
+    families = materialize(connected_components(near, "hub", "node"), "families")
+    scores = lists.groupBy("node").agg(F.max("score").alias("score"))
+    centres = families.join(scores, "node").groupBy("component").agg(F.max_by("node", F.struct("score", "node")).alias("a"))
+    members = families.join(centres, "component").filter("a <> node").select("a", F.col("node").alias("b"))
     centred = against(members, "centred")
-    seen = joined_by(held.unionByName(centred))
-    inside = centred.filter("difference is not null")
-    #: A class far from its component's centre keeps its place at the hubs that it is near to.
-    outside = near.join(centred.filter("difference is null").select(F.col("hub").alias("centre"), "node"), ["centre", "node"], "left_semi").select("hub", "node").withColumn("asked", F.lit(True))
-    rest = held.filter("difference is not null").join(outside.select("hub").distinct(), "hub", "left_semi").join(outside, ["hub", "node"], "left")
+    seen = materialize(connected_components(held.unionByName(centred).filter("linked"), "hub", "node"), "seen")
+    inside = centred.filter("difference is not null").withColumn("asked", F.lit(True))
+    #: A class far from its family's centre keeps its place at the hubs that it is near to.
+    outside = near.join(centred.filter("difference is null").select("node").distinct(), "node", "left_semi").select("hub", "node").withColumn("asked", F.lit(True))
+    rest = near.join(outside.select("hub").distinct(), "hub", "left_semi").join(outside, ["hub", "node"], "left")
+    rest = rest.withColumn("asked", F.coalesce("asked", F.lit(False)))
     first = held.unionByName(centred).filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
 
     pairs = (
-        _near_hubs(inside.withColumn("asked", F.lit(True)), seen, percent)
-        .unionByName(_near_hubs(rest.withColumn("asked", F.coalesce("asked", F.lit(False))), seen, percent))
-        .unionByName(_far_from_hubs(lists, hubs, held, seen, percent))
+        _near_hubs(inside, seen, percent)
+        .unionByName(_near_hubs(rest, seen, percent))
+        .unionByName(_far_from_hubs(lists, hubs, held, seen, classes, percent))
         .distinct()
     )
     likely = materialize(_estimated(pairs, classes, k, 100 * least_runs(k, 1, percent) // k), "pairs")
