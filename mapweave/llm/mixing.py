@@ -1,7 +1,7 @@
 """Operator 4, mixing to target weights with soft membership.
 
-DataFrame expressions only. A naive-Bayes classifier learns from a labelled table which words (hashed to a fixed number of
-buckets) tell the domains apart, and gives every document posterior domain shares p_id. Rates r_i >= 0 are then fitted
+DataFrame expressions only. A Bernoulli naive-Bayes classifier learns from a labelled table which words (hashed to a fixed number
+of buckets) tell the domains apart, and gives every document posterior domain shares p_id. Rates r_i >= 0 are then fitted
 so that the expected token totals S_d = sum_i r_i * tokens_i * p_id come to the targets t_d: projected gradient
 descent on sum_d (S_d - t_d)**2 / (2 A_d), where A_d is S_d at rate 1, in the metric that weighs documents by their tokens.
 There a step of 1 can't overshoot: r_i <- max(0, r_i - sum_d p_id (S_d - t_d) / A_d). A step is one
@@ -31,12 +31,12 @@ def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], min_z: float = 6.0, shrink: float = 10.0) -> tuple[list[float], np.ndarray]:
-    """Log priors, and the weight of each bucket for each domain, from all labelled rows (doc_id, domain) of docs.
+def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], min_z: float = 6.0, min_share: float = 0.02, shrink: float = 10.0) -> tuple[list[float], np.ndarray]:
+    """Log odds of a text without any telling word, and what each word adds for each domain, from the labelled rows of docs.
 
     A bucket counts once for a document. It has weights only where its share of documents in some domain differs from that
-    elsewhere by min_z standard errors, so that words that say nothing don't add noise to long texts; a share is drawn
-    towards the overall one as if by `shrink` documents.
+    elsewhere by min_z standard errors and is min_share in one of them, so that words that say nothing don't add noise to
+    long texts and those of a few copies say little; a share is drawn to the overall one as if by `shrink` documents.
     """
     rows = docs.select("doc_id", "text").join(labelled.select("doc_id", "domain").filter(F.col("domain").isin(domains)), "doc_id")
     per = [F.count_if(F.col("domain") == d).alias(f"d{i}") for i, d in enumerate(domains)]
@@ -48,15 +48,19 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], min_z:
         counts[table["bucket"].to_numpy()] = np.column_stack([table[f"d{i}"].to_numpy() for i in range(len(domains))])
     total = counts.sum(axis=1)
     common = (total + 0.5) / (sizes.sum() + 1)
-    weights, telling = np.zeros((len(domains), BUCKETS)), np.zeros(BUCKETS, bool)
+    shares, telling = np.tile(common, (len(domains), 1)), np.zeros(BUCKETS, bool)
     for i in range(len(domains)):
         n, m = sizes[i], sizes.sum() - sizes[i]
         if n and m:
-            apart = np.abs((counts[:, i] + 0.5) / (n + 1) - (total - counts[:, i] + 0.5) / (m + 1))
-            telling |= apart >= min_z * np.sqrt(common * (1 - np.minimum(common, 1)) * (1 / n + 1 / m))
-            weights[i] = np.log((counts[:, i] + shrink * common) / (n + shrink) / common)
-    weights[:, ~telling] = 0
-    priors = [log((s + 1) / (sizes.sum() + len(domains))) for s in sizes]
+            here, there = (counts[:, i] + 0.5) / (n + 1), (total - counts[:, i] + 0.5) / (m + 1)
+            far = np.abs(here - there) >= min_z * np.sqrt(common * (1 - np.minimum(common, 1)) * (1 / n + 1 / m))
+            telling |= far & (np.maximum(here, there) >= min_share)
+            shares[i] = (counts[:, i] + shrink * common) / (n + shrink)
+    odds = lambda p: np.log(p / (1 - p))
+    shares, common = np.minimum(shares, 1 - 1e-6), np.minimum(common, 1 - 1e-6)
+    weights = np.where(telling, odds(shares) - odds(common), 0)
+    absent = np.where(telling, np.log((1 - shares) / (1 - common)), 0).sum(axis=1)
+    priors = [log((s + 1) / (sizes.sum() + len(domains))) + a for s, a in zip(sizes, absent.tolist(), strict=True)]
     return priors, weights.round(4)
 
 
@@ -112,7 +116,7 @@ def mix(
 
     weights gives each domain its part of all tokens (scaled to sum 1). The total stays as it is; with anchor, it is such that this
     domain's tokens stay as they are. labelled has doc_id and domain; rows with other domains are ignored. A null or empty
-    text has no tokens and the prior shares. Without labelled rows all shares are equal. Extra columns don't enter.
+    text has no tokens and the shares of a text without telling words. Without labelled rows all shares are equal. Extra columns don't enter.
     """
     domains = sorted(weights)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"__keep_{c}") for c in keep))
@@ -137,6 +141,14 @@ def copies(rate: Column, *identity: str, seed: int = 17) -> Column:
     return (F.floor(rate) + (u < rate - F.floor(rate)).cast("int")).cast("int")
 
 
+def sampled(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str | None, columns: list[str], id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, each as often as its rate says; rows that repeat an id share a rate. Null ids stay once."""
+    rates = mix(docs, labelled, weights, anchor, id_col).groupBy("doc_id").agg(F.max("rate").alias("__rate"))
+    joined = docs.select(*columns, F.col(id_col).alias("__id")).join(rates.withColumnRenamed("doc_id", "__id"), "__id", "left")
+    times = F.coalesce(copies(F.col("__rate"), "__id"), F.lit(1))
+    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*columns)
+
+
 def marks(labels: DataFrame) -> DataFrame:
     """(doc_id, domain) of a table of quality and toxic marks: toxic before junk before clean; conflicting rows count as the worst."""
     worst = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))

@@ -272,6 +272,38 @@ def fit(trusted: DataFrame, unlabelled: DataFrame, ridge: float = 1e-3, steps: i
     return _newton(_risk(trusted, unlabelled, prior), dims, ridge, steps), prior
 
 
+def _prepared(docs: DataFrame, held_out: Column | None, id_col: str, text_col: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    out = F.coalesce((remainder % 3 == 1) if held_out is None else held_out, F.lit(False))
+    rows = features(docs, id_col, text_col).withColumn("held_out", out)
+    return materialize(rows.withColumn("half", F.coalesce((F.floor(remainder / 3) % 2).cast("int"), F.lit(0))), "shapes")
+
+
+def _trained(rows: DataFrame, labels: DataFrame, label_col: str, ridge: float) -> np.ndarray:
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).alias("mark")).groupBy("doc_id").agg(F.min("mark").alias("mark"))
+    unlabelled = rows.filter(~F.col("held_out")).select("doc_id", "half", "shapes")
+    trusted = materialize(unlabelled.join(marks.filter("mark = 1"), "doc_id", "left_semi"), "trusted")
+    return fit(trusted, unlabelled, ridge)[0]
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", ridge: float = 1e-3) -> np.ndarray:
+    """The model's weights, as score() fits them."""
+    return _trained(_prepared(docs, None, id_col, text_col), labels, label_col, ridge)
+
+
+def accepted(docs: DataFrame, w: np.ndarray, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose text scores 0.5 or more under the weights."""
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for start, end, data, offsets in chunks(batch.column(place)):
+                good = design(shape_features(data, offsets)) @ w >= 0
+                yield batch.slice(start, end - start).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(
     docs: DataFrame,
     labels: DataFrame,
@@ -288,14 +320,8 @@ def score(
     Null and empty texts are scored like any other; a null doc_id isn't held out and has no label. A document
     that is marked both ways isn't trusted. Extra columns, also ones named like the results, are ignored.
     """
-    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    out = F.coalesce((remainder % 3 == 1) if held_out is None else held_out, F.lit(False))
-    rows = features(docs, id_col, text_col).withColumn("held_out", out).withColumn("half", F.coalesce((F.floor(remainder / 3) % 2).cast("int"), F.lit(0)))
-    rows = materialize(rows, "shapes")
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).alias("mark")).groupBy("doc_id").agg(F.min("mark").alias("mark"))
-    unlabelled = rows.filter(~F.col("held_out")).select("doc_id", "half", "shapes")
-    trusted = materialize(unlabelled.join(marks.filter("mark = 1"), "doc_id", "left_semi"), "trusted")
-    w, _ = fit(trusted, unlabelled, ridge)
+    rows = _prepared(docs, held_out, id_col, text_col)
+    w = _trained(rows, labels, label_col, ridge)
 
     def run(batches):
         for batch in batches:
