@@ -82,28 +82,29 @@ def hexadecimal(value: Column) -> Column:
 def _with_next(docs: DataFrame, *carried: str) -> DataFrame:
     """docs with next_<column>: the row with the next smaller doc_id (for the smallest, the largest).
 
-    Rows are ordered inside ranges of about 256 ids; the first row of a range takes the last one of the range before,
-    which is found over the list of ranges, again in groups. Null ids come last; rows with
+    Rows are ordered inside ranges of about 256 ids. The last row of each range is also sent to the next range, so that texts
+    are shuffled once; which rows these are is found beforehand from the ids alone. Null ids come last; rows with
     equal ids are ordered by their text.
     """
     low, high, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     width = max(1, (int(high or 0) - int(low or 0) + 1) * 256 // max(rows, 1))
-    ranges = F.coalesce(F.expr(f"doc_id div {width}"), F.lit(-(abs(int(low or 0)) // width) - 1)).cast("long")
-    inside = Window.partitionBy("range").orderBy("doc_id", "text")
-    placed = docs.withColumn("range", ranges)
-    placed = placed.select("*", *(F.lag(c).over(inside).alias(f"next_{c}") for c in carried), F.row_number().over(inside).alias("place"), F.lead(F.lit(1)).over(inside).isNull().alias("ends"))
-    ends = placed.filter("ends").select("range", *(F.col(c).alias(f"next_{c}") for c in carried))
-
-    groups = placed.filter("ends").select("range", F.floor(F.col("range") / 4096).alias("group"))
-    groups = groups.withColumn("before", F.lag("range").over(Window.partitionBy("group").orderBy("range")))
-    edges = groups.groupBy("group").agg(F.min("range").alias("first"), F.max("range").alias("last"))
-    #: One row for about a million documents; the first group wraps around to the last range.
+    own_range = F.coalesce(F.expr(f"doc_id div {width}"), F.lit(-(abs(int(low or 0)) // width) - 1)).cast("long")
+    place = F.coalesce("doc_id", F.lit(-(1 << 63)))
+
+    tails = docs.select(own_range.alias("range"), place.alias("place")).groupBy("range").agg(F.max("place").alias("place"))
+    tails = tails.withColumn("group", F.floor(F.col("range") / 4096)).withColumn("next", F.lead("range").over(Window.partitionBy("group").orderBy("range")))
+    #: One row for about a million documents; the last range leads to the first.
+    groups = tails.groupBy("group").agg(F.min("range").alias("first"))
     whole = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edges = edges.select("group", F.coalesce(F.lag("last").over(Window.orderBy("group")), F.max("last").over(whole)).alias("wrap"))
-    before = groups.join(edges, "group").select("range", F.coalesce("before", "wrap").alias("before"))
-    heads = placed.filter("place = 1").drop(*(f"next_{c}" for c in carried)).join(before, "range")
-    heads = heads.join(ends.withColumnRenamed("range", "before"), "before")
-    return placed.filter("place > 1").select(*docs.columns, *(f"next_{c}" for c in carried)).unionByName(heads.select(*docs.columns, *(f"next_{c}" for c in carried)))
+    groups = groups.select("group", F.coalesce(F.lead("first").over(Window.orderBy("group")), F.min("first").over(whole)).alias("wrap"))
+    tails = materialize(tails.join(groups, "group").select("range", "place", F.coalesce("next", "wrap").alias("next")), "tails")
+
+    sent = docs.withColumn("range", own_range).withColumn("place", place).join(tails, ["range", "place"], "left")
+    both = F.filter(F.array(F.struct(F.col("range").alias("r"), F.lit(1).alias("own")), F.struct(F.col("next").alias("r"), F.lit(0).alias("own"))), lambda x: x["r"].isNotNull())
+    sent = sent.select(*docs.columns, "place", F.explode(both).alias("to")).select(*docs.columns, "place", "to.r", "to.own")
+    inside = Window.partitionBy("r").orderBy("own", "place", "text")
+    found = sent.select(*docs.columns, "own", *(F.lag(c).over(inside).alias(f"next_{c}") for c in carried))
+    return found.filter("own = 1").drop("own")
 
 
 def within_radius(queries: DataFrame, index: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
