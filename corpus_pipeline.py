@@ -48,7 +48,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens."""
-    return packing.best_fit(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+    return packing.best_fit(docs, **packing.byte_level(public_tokenizers), capacity=2048)
 
 
 STAGES = [

@@ -64,7 +64,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens; the other capacities are as large as that implies."""
-    return packing.best_fit(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+    return packing.best_fit(_table(spark, sf_dir, "documents"), **packing.byte_level(public_tokenizers), capacity=2048)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
