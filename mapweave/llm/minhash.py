@@ -298,8 +298,7 @@ def near_duplicates(
         .unionByName(_far_from_hubs(lists, hubs, held, seen, classes, percent))
         .distinct()
     )
-    likely = materialize(_estimated(pairs, classes, k, 100 * least_runs(k, 1, percent) // k), "pairs")
-    second = _compared(likely, texts, shingle_words).filter(linked).select("a", "b")
+    second = materialize(_compared(materialize(pairs, "pairs"), texts, shingle_words).filter(linked).select("a", "b"), "second")
     links = first.unionByName(second)
 
     found = named.select("doc_id", "set_key").join(labels, "set_key").filter("doc_id <> node").select("doc_id", "node").distinct()
