@@ -54,4 +54,6 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path, partitionBy=list(partition_by) or None)
+    # Spark deletes the shuffle files of earlier steps when the driver collects its garbage; a small heap seldom does.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
