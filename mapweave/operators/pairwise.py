@@ -105,8 +105,8 @@ def distance_sums(rows: DataFrame, metric: str = "euclidean") -> DataFrame:
         own = a["id"][:, None] == b["id"][None, :]
         d[own] = 0
         countries = np.unique(b["country"].astype(np.int64))
-        one_hot = b["country"].astype(np.int64)[:, None] == countries[None, :]
-        total, members = d @ one_hot, (~own) @ one_hot
+        one_hot = (b["country"].astype(np.int64)[:, None] == countries[None, :]).astype(float)
+        total, members = d @ one_hot, (~own).astype(float) @ one_hot
         return {
             "id": np.repeat(a["id"], len(countries)),
             "country": np.tile(countries, len(a["id"])),

@@ -2,11 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+from mapweave.plans import label_plans, study_plans, vector_plans  # noqa: F401
+from mapweave.plans.registry import ORACLES, QUERIES  # noqa: F401
