@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mapweave.llm.kernels import U64, Words, chunks, mix
+from mapweave.llm.kernels import U64, Words, chunks, mix, range_hashes
 from mapweave.operators.graph import connected_components
 from mapweave.runtime import materialize
 
@@ -50,7 +50,8 @@ def _shingles(column: pa.Array, words: int):
             if b - a >= words:
                 yield np.unique(grams[a : b - words + 1])
             else:
-                yield grams[a : min(b, a + 1)]  # the whole sequence as one, or nothing
+                few = np.arange(a, min(b, a + 1))  # the whole sequence as one, or nothing
+                yield range_hashes(hashes, few, np.full(len(few), b)).view(np.int64)
 
 
 def _set_key(shingles: np.ndarray) -> bytes | None:
