@@ -31,14 +31,18 @@ def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], min_z: float = 6.0, min_share: float = 0.02, shrink: float = 10.0) -> tuple[list[float], np.ndarray]:
-    """Log odds of a text without any telling word, and what each word adds for each domain, from the labelled rows of docs.
+def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], most_labelled: int = 20_000, min_z: float = 6.0, min_share: float = 0.02, shrink: float = 10.0) -> tuple[list[float], np.ndarray]:
+    """Log odds of a text without any telling word, and what each word adds for each domain.
 
-    A bucket counts once for a document. It has weights only where its share of documents in some domain differs from that
-    elsewhere by min_z standard errors and is min_share in one of them, so that words that say nothing don't add noise to
-    long texts and those of a few copies say little; a share is drawn to the overall one as if by `shrink` documents.
+    Fitted on labelled rows of docs: all of them, or the most_labelled ones with the smallest hashes of their ids.
+
+    A bucket counts once for a document. It has weights only where its share of documents in some domain but the largest exceeds
+    that elsewhere by min_z standard errors and is min_share or more, so that words that say nothing don't add noise
+    to long texts and those of a few copies say little; a share is drawn to the overall one as if by `shrink` documents.
     """
-    rows = docs.select("doc_id", "text").join(labelled.select("doc_id", "domain").filter(F.col("domain").isin(domains)), "doc_id")
+    known = labelled.select("doc_id", "domain").filter(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(most_labelled)
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most most_labelled rows
     per = [F.count_if(F.col("domain") == d).alias(f"d{i}") for i, d in enumerate(domains)]
     sizes = np.array(rows.agg(*per).first(), float)
     buckets = F.array_distinct(F.transform(_words("text"), _bucket))
@@ -53,8 +57,8 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], min_z:
         n, m = sizes[i], sizes.sum() - sizes[i]
         if n and m:
             here, there = (counts[:, i] + 0.5) / (n + 1), (total - counts[:, i] + 0.5) / (m + 1)
-            far = np.abs(here - there) >= min_z * np.sqrt(common * (1 - np.minimum(common, 1)) * (1 / n + 1 / m))
-            telling |= far & (np.maximum(here, there) >= min_share)
+            far = here - there >= min_z * np.sqrt(common * (1 - np.minimum(common, 1)) * (1 / n + 1 / m))
+            telling |= far & (here >= min_share) & (i != sizes.argmax())
             shares[i] = (counts[:, i] + shrink * common) / (n + shrink)
     odds = lambda p: np.log(p / (1 - p))
     shares, common = np.minimum(shares, 1 - 1e-6), np.minimum(common, 1 - 1e-6)
@@ -84,7 +88,7 @@ def _rate(history: list[list[float]]) -> Column:
     return F.aggregate(steps, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - dot(e)))
 
 
-def fit_rates(rows: DataFrame, targets: list[float], tolerance: float = 1e-4, max_steps: int = 60) -> list[list[float]]:
+def fit_rates(rows: DataFrame, targets: list[float], tolerance: float = 5e-4, max_steps: int = 60) -> list[list[float]]:
     """Residual history whose rates bring the token totals of rows (tokens, shares) to the targets.
 
     A domain without tokens can't be filled; it is left out.
