@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,3 +162,22 @@ def unit(rows: DataFrame, vector: str = "vector", scale: float = 1.0) -> DataFra
     """Vectors of norm `scale`; zero vectors stay."""
     size = norm(vector)
     return rows.withColumn(vector, F.when(size > 0, F.transform(vector, lambda x: x / size * scale)).otherwise(F.col(vector)))
+
+
+def kmeans_euclidean(rows: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """(article_id, country, distance): Spark's own k-means, with the cosine distance to the own centre (K8)."""
+    points = rows.select("article_id", "vector", array_to_vector("vector").alias("features"))
+    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="country").fit(points)
+    centres = _literal([list(map(float, c)) for c in model.clusterCenters()])
+    placed = model.transform(points)
+    return placed.select("article_id", "country", cosine_distance("vector", F.element_at(centres, F.col("country") + 1)).alias("distance"))
+
+
+def pca_layout(rows: DataFrame) -> DataFrame:
+    """(article_id, x, y): the plane of the two largest variances (in place of K13, K14); each axis points to its largest loading."""
+    points = rows.select("article_id", array_to_vector("vector").alias("features"))
+    model = PCA(k=2, inputCol="features", outputCol="plane").fit(points)
+    axes = model.pc.toArray()
+    signs = [1.0 if a[abs(a).argmax()] > 0 else -1.0 for a in axes.T]
+    flat = model.transform(points).select("article_id", vector_to_array("plane").alias("p"))
+    return flat.select("article_id", *((F.get("p", F.lit(i)) * s).alias(n) for i, (n, s) in enumerate(zip("xy", signs, strict=True))))

@@ -363,3 +363,11 @@ def most_used_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = article_tokens(spark, sf_dir).groupBy(F.length("token").alias("letters"), "token").agg(F.count("*").alias("c"))
     return rows.groupBy("letters").agg(F.sum("c").alias("n"), F.count("*").alias("words"))
+
+
+@query()
+def topic_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Countries stand in for topics."""
+    words = article_labels(spark, sf_dir).select(F.col("article_id").alias("doc_id"), F.col("label").alias("word"))
+    by_topic = _counts(spark, sf_dir).select(F.col("country").alias("topic"), F.col("label").alias("word"), (F.col("clc") / F.col("ncl")).alias("prob"))
+    return topics.coherence(by_topic, words).select("topic", r6("u_mass").alias("u_mass"))

@@ -109,3 +109,29 @@ def label_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sweep_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A30."""
     return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("weight")).agg(F.round(F.avg("c_acctbal"), 4).alias("mean"), F.count("*").alias("n"))
+
+
+@query()
+def regression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K18, by brand."""
+    rows = table(spark, sf_dir, "part").select("p_brand", F.col("p_size").cast("double").alias("size"), F.length("p_type").cast("double").alias("letters"), F.col("p_retailprice").alias("price"))
+    model, assembler = topics.fit_regression(rows, ["size", "letters"], "price")
+    report = topics.regression_report(topics.predict(model, assembler, rows), "price", "p_brand")
+    return report.select(r6("r2").alias("r2"), r6("rank_of_best").alias("rank_of_best"))
+
+
+@query("""with c as (select n_regionkey as country, lower(n_name) as label from nation), t as (select r_regionkey as country, lower(r_name) as label from region)
+select c.country, c.label, t.label as truth, c.label = t.label as exact, len(list_filter(regexp_split_to_array(c.label, '[ _]+'), lambda w: not list_contains(regexp_split_to_array(t.label, '[ _]+'), w))) = 0 as subset
+from c join t using (country)""")
+def label_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nation names against region names."""
+    chosen = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("country"), F.lower("n_name").alias("label"))
+    truth = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("country"), F.lower("r_name").alias("label"))
+    return R.label_matches(chosen, truth)
+
+
+@query("select doc_id from documents where contains(source, '1') and starts_with(lang, 'e')")
+def gold_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages stand in for categories."""
+    rows = table(spark, sf_dir, "documents").filter(F.col("source").contains("1"))
+    return R.gold_articles(rows.select("doc_id", F.array("lang").alias("mid_level_categories")), "e").select("doc_id")

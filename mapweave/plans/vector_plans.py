@@ -281,3 +281,15 @@ def neighbour_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = nearest(_plane(v).select("id", "vector"), 3).select("id", "other")
     own, far = v.select("id", F.col("vector").alias("a")), v.select(F.col("id").alias("other"), F.col("vector").alias("b"))
     return near.join(own, "id").join(far, "other").select("id", "other", r6(euclidean("a", "b")).alias("distance"))
+
+
+@query()
+def kmeans_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8."""
+    return C.kmeans_euclidean(vectors(spark, sf_dir), 10).withColumn("distance", r6("distance"))
+
+
+@query()
+def pca_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default layout."""
+    return C.pca_layout(vectors(spark, sf_dir)).select("article_id", r6("x").alias("x"), r6("y").alias("y"))
