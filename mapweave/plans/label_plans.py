@@ -344,7 +344,7 @@ def lda_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven topics and their words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", content_tokens("text").alias("words"))
-    return topics.lda(docs, iterations=5)[1]
+    return topics.lda(docs)[1]
 
 
 @query()

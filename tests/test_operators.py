@@ -189,3 +189,32 @@ def test_popularity_stream(spark, sf, tmp_path):
     query.stop()
     streamed = spark.sql("select sum(popularity) from popular").first()[0]
     assert math.isclose(streamed, windowed_popularity(events).agg(F.sum("popularity")).first()[0], rel_tol=1e-9)
+
+
+def test_lda_query_passes_over_all_documents(spark, sf, monkeypatch):
+    """The query's fit draws 20 times the documents, over words that only the document frequencies bound."""
+    from mapweave.operators import topics
+    from mapweave.plans.catalogue import QUERIES
+
+    class Stop(Exception):
+        pass
+
+    fits = []
+
+    class Recorded(topics.LDA):
+        def fit(self, counts):
+            fits.append((self.getMaxIter() * self.getSubsamplingRate(), self.getOptimizer()))
+            raise Stop
+
+    monkeypatch.setattr(topics, "LDA", Recorded)
+    with pytest.raises(Stop):
+        QUERIES["lda_topics"](spark, sf)
+    assert fits == [(20.0, "online")]
+
+
+def test_lda_vocabulary(spark):
+    from mapweave.operators import topics
+
+    docs = spark.createDataFrame([(i, ["all", "all", "even" if i % 2 == 0 else "odd", *(["rare"] if i < 4 else []), *(["some"] if i < 5 else [])]) for i in range(13)], "doc_id long, words array<string>")
+    assert topics.vocabulary(docs) == ["even", "odd", "some"]
+    assert topics.vocabulary(docs, most=1) == ["even"]
