@@ -135,27 +135,35 @@ def with_one_hot(rows: DataFrame, k: int, vector: str = "vector", group: str = "
 
 
 def label_svd(labels: DataFrame, k: int) -> DataFrame:
-    """(article_id, factors): left singular vectors of the article x label matrix for the k largest singular values.
+    """(article_id, factors): left singular vectors of the article x label matrix for the k largest singular values, the largest first.
 
-    Labels are hashed to 256 columns, so that what meets is a 256 x 256 matrix whatever the vocabulary.
+    The sparse matrix is decomposed as it is, a column for each label, by RowMatrix.computeSVD; left vectors are M * v / s. The driver holds
+    some 2k vectors as long as there are labels. Signs make the largest loading of each factor positive; a matrix of a lower
+    rank than k has fewer factors.
     """
     import numpy as np
-
-    width = 256
-    cells = labels.select("article_id", F.pmod(F.xxhash64("label"), F.lit(width)).cast("int").alias("j"), "weight").groupBy("article_id", "j").agg(F.sum("weight").alias("w"))
-    cells = materialize(cells, "cells")
-    other = cells.select("article_id", F.col("j").alias("i"), F.col("w").alias("v"))
-    gram = np.zeros((width, width))
-    for r in cells.join(other, "article_id").groupBy("i", "j").agg(F.sum(F.col("w") * F.col("v")).alias("s")).collect():
-        gram[r["i"], r["j"]] = r["s"]
-    values, vectors = np.linalg.eigh(gram)
-    order = np.argsort(-values)[:k]
-    kept = vectors[:, order] / np.sqrt(np.maximum(values[order], 1e-12))
-    kept *= np.sign(kept[np.abs(kept).argmax(axis=0), np.arange(len(order))])
-    table = _literal(kept.tolist())
-    long = cells.select("article_id", F.posexplode(F.transform(F.element_at(table, F.col("j") + 1), lambda x: x * F.col("w"))).alias("pos", "part"))
-    sums = long.groupBy("article_id", "pos").agg(F.sum("part").alias("value"))
-    return sums.groupBy("article_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"]).alias("factors"))
+    from pyspark.mllib.linalg import Vectors, VectorUDT
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    spark = labels.sparkSession
+    sums = materialize(labels.groupBy("article_id", "label").agg(F.sum("weight").alias("w")), "weights")
+    numbered = sums.select("label").distinct().orderBy("label").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
+    columns = materialize(spark.createDataFrame(numbered, "label string, j long"), "columns")
+    width = columns.count()
+    cells = materialize(sums.join(columns, "label").select("article_id", "j", "w"), "cells")
+    if not width:
+        return cells.select("article_id", F.array(F.lit(0.0)).alias("factors"))
+    grouped = cells.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("j", "w"))).alias("row"))
+    as_row = F.udf(lambda row: Vectors.sparse(width, [x["j"] for x in row], [x["w"] for x in row]), VectorUDT())
+    rows = grouped.select(as_row("row").alias("v")).persist()  # read once for each step of the solver
+    found = RowMatrix(rows, numCols=width).computeSVD(min(k, width), computeU=False)
+    values, loadings = found.s.toArray(), found.V.toArray()
+    rows.unpersist()
+    kept = loadings / values * np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(len(values))])
+    table = spark.createDataFrame(((j, x) for j, x in enumerate(kept.tolist())), "j long, loading array<double>")
+    parts = cells.join(table, "j").select("article_id", *(F.get("loading", F.lit(i)) * F.col("w") for i in range(len(values))))
+    names = [f"f{i}" for i in range(len(values))]
+    return parts.toDF("article_id", *names).groupBy("article_id").agg(F.array(*(F.sum(n) for n in names)).alias("factors"))
 
 
 def unit(rows: DataFrame, vector: str = "vector", scale: float = 1.0) -> DataFrame:

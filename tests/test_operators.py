@@ -218,3 +218,23 @@ def test_lda_vocabulary(spark):
     docs = spark.createDataFrame([(i, ["all", "all", "even" if i % 2 == 0 else "odd", *(["rare"] if i < 4 else []), *(["some"] if i < 5 else [])]) for i in range(13)], "doc_id long, words array<string>")
     assert topics.vocabulary(docs) == ["even", "odd", "some"]
     assert topics.vocabulary(docs, most=1) == ["even"]
+
+
+def test_label_svd_is_that_of_the_real_matrix(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    dense = np.where(rng.random((40, 600)) < 0.05, rng.random((40, 600)) + 0.5, 0.0)
+    rows = [(int(i), f"l{j}", float(dense[i, j])) for i, j in zip(*np.nonzero(dense), strict=True)]
+    found = {r.article_id: r.factors for r in cluster.label_svd(spark.createDataFrame(rows, "article_id long, label string, weight double"), 4).collect()}
+    left = np.linalg.svd(dense, full_matrices=False)[0][:, :4]
+    mine = np.array([found[i] for i in range(40)])
+    assert np.allclose(np.abs((left * mine).sum(axis=0)), 1, atol=1e-6)
+    assert np.allclose(mine.T @ mine, np.eye(4), atol=1e-6)
+
+
+def test_label_svd_of_small_matrices(spark):
+    empty = spark.createDataFrame([], "article_id long, label string, weight double")
+    assert cluster.label_svd(empty, 3).count() == 0
+    one = spark.createDataFrame([(1, "a", 3.0), (2, "a", 4.0)], "article_id long, label string, weight double")
+    assert {r.article_id: [round(x, 9) for x in r.factors] for r in cluster.label_svd(one, 3).collect()} == {1: [0.6], 2: [0.8]}
