@@ -49,19 +49,27 @@ def _means(rows: DataFrame, before: list[list[float]], vector: str = "vector") -
     return [after.get(i, c) for i, c in enumerate(before)]  # an empty cluster keeps its centre
 
 
+def _shift(before: list[list[float]], after: list[list[float]]) -> float:
+    """The largest L1 move of a centre."""
+    return max((sum(abs(x - y) for x, y in zip(a, b, strict=True)) for a, b in zip(before, after, strict=True)), default=0.0)
+
+
 def kmeans_cosine(rows: DataFrame, k: int, max_iterations: int = 500, tolerance: float = 5e-5) -> tuple[DataFrame, list[list[float]]]:
     """(rows with country and distance, centres): Lloyd's steps by cosine until no centre moves more than tolerance in L1 (K1).
 
-    Means aren't normalised again. Each step is one pass with one aggregation; k centres reach the driver.
+    Means aren't normalised again. Each step is one pass with one aggregation; k centres reach the driver. Raises an error where
+    max_iterations aren't enough.
     """
     rows = materialize(rows.select("article_id", "vector"), "vectors")
     centres = seeds(rows, k)
     for _ in range(max_iterations):
         moved = _means(assign(rows, centres), centres)
-        shift = max((sum(abs(x - y) for x, y in zip(a, b, strict=True)) for a, b in zip(centres, moved, strict=True)), default=0.0)
+        shift = _shift(centres, moved)
         centres = moved
         if shift < tolerance:
             break
+    else:
+        raise RuntimeError(f"centres still moved by {shift} after {max_iterations} steps")
     return assign(rows, centres), centres
 
 
@@ -86,38 +94,43 @@ def joint_kmeans(
     label_weight: float = 0.08,
     plane_weight: float = 0.05,
     label_sign: int = -1,
-    max_iterations: int = 60,
+    max_iterations: int = 500,
     tolerance: float = 5e-5,
 ) -> DataFrame:
     """(article_id, country, distance) of rows (article_id, vector, x, y) with labels (article_id, label, weight) (K2-K7).
 
-    D = cosine * (1 - plane - label) + plane distance * plane + label_sign * label distance * label, starting from kmeans_cosine.
+    D = cosine * (1 - plane - label) + plane distance * plane + label_sign * label distance * label. As in the reference, labels start from
+    the groups of kmeans_cosine and centres from the first k rows, and a step ends with the means of its new groups, until no centre
+    moves more than tolerance in L1 (an error where max_iterations aren't enough).
     plane_weight 0 gives vectors and labels only (K3), label_weight 0 vectors and the plane (K5), label_sign 1 the earlier sign
     (K2b). An article without labels is at label distance 1 from every country.
     """
-    start, centres = kmeans_cosine(rows, k, max_iterations, tolerance)
-    base = materialize(rows.select("article_id", "vector", "x", "y"), "plane")
-    span = base.agg(F.greatest(F.max("x"), F.max("y")) - F.least(F.min("x"), F.min("y"))).first()[0] or 1.0
+    start, _ = kmeans_cosine(rows, k, max_iterations, tolerance)
+    base = materialize(rows.select("article_id", "vector", F.array("x", "y").alias("xy")), "plane")
+    labels = materialize(labels.select("article_id", "label", "weight"), "labels")
+    span = base.agg(F.max(F.array_max("xy")) - F.min(F.array_min("xy"))).first()[0] or 1.0
     state = materialize(start.select("article_id", "country"), "start")
+    centres, flat = seeds(base, k), seeds(base, k, vector="xy")
     for _ in range(max_iterations):
-        members = base.join(state, "article_id")
-        vectors = _means(members, centres)
-        flat = _means(members.select("country", F.array("x", "y").alias("vector")), [[0.0, 0.0]] * k)
         affinity = label_affinity(labels, label_vectors(labels, state))
-        pairs = base.select("article_id", "vector", F.array("x", "y").alias("xy"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("country"))
+        pairs = base.withColumn("country", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
         pairs = pairs.join(affinity, ["article_id", "country"], "left")
         place = F.col("country") + 1
         loss = (
-            cosine_distance("vector", F.element_at(_literal(vectors), place)) * (1 - plane_weight - label_weight)
+            cosine_distance("vector", F.element_at(_literal(centres), place)) * (1 - plane_weight - label_weight)
             + euclidean("xy", F.element_at(_literal(flat), place)) / (span * 2**0.5) * plane_weight
             + (1 - F.coalesce("affinity", F.lit(0.0))) * (label_sign * label_weight)
         )
         best = pairs.select("article_id", F.struct(loss.alias("distance"), "country").alias("d")).groupBy("article_id").agg(F.min("d").alias("d"))
         state = materialize(best.select("article_id", F.col("d.country").alias("country"), F.col("d.distance").alias("distance")), "joint")
-        shift = max(sum(abs(x - y) for x, y in zip(a, b, strict=True)) for a, b in zip(centres, vectors, strict=True))
-        centres = vectors
+        members = base.join(state, "article_id")
+        moved, flat = _means(members, centres), _means(members, flat, "xy")
+        shift = _shift(centres, moved)
+        centres = moved
         if shift < tolerance:
             break
+    else:
+        raise RuntimeError(f"centres still moved by {shift} after {max_iterations} steps")
     return state
 
 

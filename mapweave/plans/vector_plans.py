@@ -87,7 +87,7 @@ def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def joint_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2: vectors, layout and labels."""
-    return C.joint_kmeans(vectors(spark, sf_dir), _weights(spark, sf_dir), 8, max_iterations=10).withColumn("distance", r6("distance"))
+    return C.joint_kmeans(vectors(spark, sf_dir), _weights(spark, sf_dir), 8).withColumn("distance", r6("distance"))
 
 
 @query("""with t as (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) as token from documents), al as (select distinct doc_id, token as label from t where length(token) > 2),
@@ -246,7 +246,7 @@ def water_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def denoised_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G3."""
     v = vectors(spark, sf_dir)
-    return S.denoised(_points(spark, sf_dir), M.knn_edges(_plane(v).select("id", "vector"), 10), 10, steps=3).select("id", "country")
+    return S.denoised(_points(spark, sf_dir), M.knn_edges(_plane(v).select("id", "vector"), 10), 10).select("id", "country")
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:

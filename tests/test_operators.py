@@ -238,3 +238,39 @@ def test_label_svd_of_small_matrices(spark):
     assert cluster.label_svd(empty, 3).count() == 0
     one = spark.createDataFrame([(1, "a", 3.0), (2, "a", 4.0)], "article_id long, label string, weight double")
     assert {r.article_id: [round(x, 9) for x in r.factors] for r in cluster.label_svd(one, 3).collect()} == {1: [0.6], 2: [0.8]}
+
+
+def test_joint_kmeans_equals_the_plain_loop(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    n, k = 60, 3
+    v, xy = rng.random((n, 4)), rng.random((n, 2))
+    m = (rng.random((n, 12)) < 0.3) * rng.random((n, 12))
+    m[:, 0] += 0.1
+    unit = lambda a: a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+
+    def means(a, g, old):
+        return np.array([a[g == c].sum(axis=0) / ((g == c).sum() + 1e-6) if (g == c).any() else old[c] for c in range(k)])
+
+    c = v[:k]
+    for _ in range(500):
+        group = (1 - unit(v) @ unit(c).T).argmin(axis=1)
+        c, old = means(v, group, c), c
+        if np.abs(c - old).sum(axis=1).max() < 5e-5:
+            break
+    c, flat, steps = v[:k], xy[:k], 0
+    while True:
+        steps += 1
+        sums = np.array([m[group == j].sum(axis=0) for j in range(k)])
+        plane = np.linalg.norm(xy[:, None] - flat[None], axis=2) / ((xy.max() - xy.min()) * 2**0.5)
+        group = ((1 - unit(v) @ unit(c).T) * 0.87 + plane * 0.05 - (1 - unit(m) @ unit(sums).T) * 0.08).argmin(axis=1)
+        c, old, flat = means(v, group, c), c, means(xy, group, flat)
+        if np.abs(c - old).sum(axis=1).max() < 5e-5:
+            break
+    rows = spark.createDataFrame([(i, v[i].tolist(), *xy[i].tolist()) for i in range(n)], "article_id long, vector array<double>, x double, y double")
+    labels = spark.createDataFrame([(int(i), f"l{j}", float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "article_id long, label string, weight double")
+    assert steps > 2
+    assert {r.article_id: r.country for r in cluster.joint_kmeans(rows, labels, k).collect()} == dict(enumerate(group.tolist()))
+    with pytest.raises(RuntimeError):
+        cluster.joint_kmeans(rows, labels, k, max_iterations=1)
