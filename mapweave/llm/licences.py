@@ -3,6 +3,10 @@
 A text is compared as a whole, by blank-line paragraphs and by lines. With A and B the bigram sets, Dice is 2|A and B| / (|A| + |B|), so
 that a template can only reach a threshold t where |B| lies between t / (2 - t) and (2 - t) / t times |A|: templates are kept
 by size, and only those within the bounds are compared. What is sent to the tasks is the template list alone.
+
+Beyond these units, all word windows within a template's bounds are compared, across line ends and blank lines, so that a notice counts
+in the middle of prose and over several paragraphs. In a short template one word (the version) makes the licence, so windows against
+it have its number of words at least; else a window would just leave out the word that differs.
 """
 
 from __future__ import annotations
@@ -68,6 +72,8 @@ TEMPLATES = {
     ),
 }
 
+SHORT = 24  # words; a longer template may also be met by shorter windows
+
 _KEEP = bytes(b if b == 10 or chr(b).isalnum() and b < 128 else 32 for b in range(256))
 
 
@@ -88,6 +94,13 @@ class Scanner:
         sets = sorted((len(b), name, b) for name, forms in templates.items() for form in forms if (b := bigrams(normalise(form).split())))
         self.sets = sets
         self.sizes = [size for size, _, _ in sets]
+        self.forms = []
+        self.known: dict[tuple, list[int]] = {}
+        for name, words in sorted({(name, tuple(normalise(form).split())) for name, forms in templates.items() for form in forms}):
+            if b := bigrams(list(words)):
+                for pair in b:
+                    self.known.setdefault(pair, []).append(len(self.forms))
+                self.forms.append((name, b, len(words) - 1, ceil(len(b) * least / (2 - least) - 1e-9), floor(len(b) * (2 - least) / least + 1e-9)))
         self.fewest = ceil(self.sizes[0] * least / (2 - least) - 1e-9) if sets else 1 << 60
 
     def best(self, words: list[bytes]) -> tuple[float, str] | None:
@@ -102,34 +115,86 @@ class Scanner:
                 found = (dice, name)
         return found
 
+    def windows(self, words: list[bytes]) -> list[tuple[float, str, int, int]]:
+        """(dice, name, first word, end) of the best window that begins at a place, for the places that have one of the threshold or more."""
+        pairs = list(zip(words, words[1:], strict=False))
+        shared = self.known.keys() & set(pairs)
+        counts: dict[int, int] = {}
+        for pair in shared:
+            for at in self.known[pair]:
+                counts[at] = counts.get(at, 0) + 1
+        near = [at for at, n in counts.items() if n >= self.forms[at][3]]
+        if not near:
+            return []
+        found = []
+        for name, form, length, _, most in (self.forms[at] for at in near):
+            hits = [i for i, pair in enumerate(pairs) if pair in form]
+            short = length < SHORT
+            starts = sorted({s for i in hits for s in range(max(0, i - length + 1), i + 1)}) if short else hits
+            for s in starts:
+                seen: set[tuple] = set()
+                both, best, end = 0, 0.0, s
+                for e in range(s, min(len(pairs), s + most) if short else len(pairs)):
+                    pair = pairs[e]
+                    if pair in seen:
+                        if pair == pairs[s] and not short:
+                            break  # a window beyond holds no more than one that begins later
+                    else:
+                        seen.add(pair)
+                        if len(seen) > most:
+                            break
+                        both += pair in form
+                    dice = 2 * both / (len(seen) + len(form))
+                    if dice > best and (not short or e - s + 1 >= length):
+                        best, end = dice, e + 2
+                if best >= self.least:
+                    found.append((best, name, s, end))
+        return found
+
     def scan(self, text: str) -> list[tuple[float, str]]:
-        """The best template of each unit that has one."""
-        return [x for unit in units(normalise(text)) if (x := self.best(unit))]
+        """The best template of each unit that has one, then of windows: the best first, and none that overlaps an equal or better match or one of its own licence."""
+        plain = normalise(text)
+        taken = [(*x, first, first + len(unit)) for unit, first in placed(plain) if (x := self.best(unit))]
+        for dice, name, first, end in sorted(self.windows(plain.split()), key=lambda x: (-x[0], x[1], x[2])):
+            if not any(first < b and a < end and (d >= dice or name == n) for d, n, a, b in taken):
+                taken.append((dice, name, first, end))
+        return [x[:2] for x in taken]
 
 
-def units(text: bytes) -> Iterator[list[bytes]]:
-    """Words of the lines, of paragraphs of more than one line, and of the whole where it has more than one paragraph."""
+def placed(text: bytes) -> Iterator[tuple[list[bytes], int]]:
+    """Words, and the first one's number, of the lines, of paragraphs of more than one line, and of the whole where it has more than one paragraph."""
     lines = [line.split() for line in text.split(b"\n")]
-    yield from (line for line in lines if line)
+    at = 0
+    for line in lines:
+        if line:
+            yield line, at
+        at += len(line)
     paragraph: list[list[bytes]] = []
-    n = 0
+    n = at = first = 0
     for line in [*lines, []]:
         if line:
+            first = first if paragraph else at
             paragraph.append(line)
         elif paragraph:
             n += 1
             if len(paragraph) > 1:
-                yield [w for x in paragraph for w in x]
+                yield [w for x in paragraph for w in x], first
             paragraph = []
+        at += len(line)
     if n > 1:
-        yield [w for x in lines for w in x]
+        yield [w for x in lines for w in x], 0
+
+
+def units(text: bytes) -> Iterator[list[bytes]]:
+    """Words of the lines, of paragraphs and of the whole."""
+    return (unit for unit, _ in placed(text))
 
 
 def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, tuple[str, ...]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, licence, dice, n_units, licences) for each row of docs.
 
-    licence is the template name with the largest Dice coefficient over all units of the text (the first by name among equals), null
-    without a match; n_units counts the units that match; licences lists all names by a comma. A null or empty text matches
+    licence is the template name with the largest Dice coefficient over all units and windows of the text (the first by name among equals), null
+    without a match; n_units counts the units that match, and windows elsewhere; licences lists all names by a comma. A null or empty text matches
     nothing. Rows are judged one by one, repeated ones alike. Extra columns are ignored.
     """
     known = TEMPLATES if templates is None else templates

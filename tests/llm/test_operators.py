@@ -102,6 +102,23 @@ def test_licences_equal_brute_force(spark):
     assert licences.scan(documents(spark, [])).count() == 0
 
 
+def test_licences_across_paragraphs_and_within_prose(spark):
+    around = noise(rng(1), 400)
+    mit = licences.TEMPLATES["MIT"][3]
+    for start in ("The above copyright", "THE SOFTWARE IS PROVIDED"):
+        mit = mit.replace(start, f"\n\n{start}")
+    gpl = licences.TEMPLATES["GPL-3.0"][2].replace("any later version. ", "any later version.\n\n")
+    inline = f"{around} released under the MIT License {around}"
+    two = f"{around} licensed under CC BY 4.0 {around} licensed under the BSD 2-Clause License {around}"
+    older = f"{around} licensed under the Apache License, Version 1.1 {around}"
+    rows = [(1, f"{around}\n\nMIT License\n\nCopyright (c) 2020 A B\n\n{mit}\n\n{around}"), (2, f"{around}\n\n{gpl}\n\n{around}"), (3, inline), (4, two), (5, older), (6, f"{around} {mit} {around}")]
+    assert "\n\n" in gpl and mit.count("\n\n") == 2
+    found = {x.doc_id: (x.licence, x.n_units, x.licences) for x in licences.scan(documents(spark, rows)).collect()}
+    assert found[1] == found[3] == found[6] == ("MIT", 1, "MIT")
+    assert found[2] == ("GPL-3.0", 1, "GPL-3.0")
+    assert found[4] == ("BSD", 2, "BSD,CC-BY-4.0") and found[5] == (None, 0, "")
+
+
 def test_simhash(spark):
     r = rng(8)
     texts = [noise(r, r.randrange(3, 60), 300) for _ in range(300)] + ["", None, "a", "é ü ö ä ß x", "same text of six words here"] * 2 + ["w " * 70_000]
