@@ -1,4 +1,4 @@
-"""Cosine k-means and the joint clustering."""
+"""Cosine k-means and the joint clustering."""
 
 from __future__ import annotations
 
@@ -97,7 +97,7 @@ def joint_kmeans(
     max_iterations: int = 500,
     tolerance: float = 5e-5,
 ) -> DataFrame:
-    """(article_id, country, distance) of rows (article_id, vector, x, y) with labels (article_id, label, weight) (K2-K7).
+    """(article_id, country, distance) of rows (article_id, vector, x, y) with labels (article_id, label, weight) (K2, K3, K5, K6).
 
     D = cosine * (1 - plane - label) + plane distance * plane + label_sign * label distance * label. As in the reference, labels start from
     the groups of kmeans_cosine and centres from the first k rows, and a step ends with the means of its new groups, until no centre

@@ -1,4 +1,4 @@
-"""Crowd-study analytics."""
+"""Crowd-study analytics."""
 
 from __future__ import annotations
 
