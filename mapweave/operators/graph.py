@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.runtime import materialize
+from mapweave.runtime import materialize, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -51,7 +51,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if _settled(state):
             break
-        state = materialize(_star(_star(state, large=True), large=False), "stars")
+        before, state = state, materialize(_star(_star(state, large=True), large=False), "stars")
+        release(before)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own setting by which a query's shuffle files go when it ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Where materialize() put the tables that are still held.
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def local_session(cores: int | str = 8, app: str = "mapweave", memory: str = "8g") -> SparkSession:
     """A local session for tests and benches. Clusters bring their own session."""
@@ -23,9 +29,11 @@ def local_session(cores: int | str = 8, app: str = "mapweave", memory: str = "8g
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='mapweave-')}")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -49,11 +57,27 @@ def delete_path(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
-    This cuts the lineage: any executor can read the files again after another one is lost.
+    This cuts the lineage: any executor can read the files again after another one is lost. The shuffle files of
+    this step aren't needed once the table stands; release() removes the table itself.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path, partitionBy=list(partition_by) or None)
-    # Spark deletes the shuffle files of earlier steps when the driver collects its garbage; a small heap seldom does.
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path, partitionBy=list(partition_by) or None)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PLACES[table] = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and that nothing will read any more."""
+    for table in tables:
+        if path := _PLACES.pop(table, None):
+            delete_path(table.sparkSession, path)
