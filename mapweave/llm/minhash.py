@@ -14,8 +14,11 @@ the k smallest of them. Documents with equal sets form a class and only the clas
    the same centre are as far apart as their differences from it say. Where one of them isn't linked to the
    centre, a link takes more than half of the other's difference in common: a prefix of the rarest part of
    each difference finds these pairs without going through all pairs of the group.
-4. Classes far from the hub of a list can only be similar to others far from it; those pairs are estimated and decided
-   one by one.
+4. Classes far from the hub of a list can only be similar to others far from it. These form one pool, in which a similar pair has
+   one of the rarest fifth of its shingles in common: lists of those, however alike the rest of a template makes the texts.
+5. The pairs of 3 and 4 pass the union-sketch estimate (`least_hits`) before their full sets decide.
+
+Texts are read twice, for sketches and for the sets of classes that a list joins, which are written once.
 """
 
 from __future__ import annotations
@@ -28,16 +31,16 @@ from pyspark.sql.window import Window
 
 from mapweave.llm.kernels import U64, Words, chunks, mix, range_hashes
 from mapweave.operators.graph import connected_components
-from mapweave.runtime import materialize
+from mapweave.runtime import materialize, release
 
-SKETCH = "doc_id long, n_shingles long, set_key binary, sketch array<long>, profile array<int>"
+SKETCH = "doc_id long, n_shingles long, set_key binary, sketch array<long>"
 SETS = "node long, shingles array<long>"
 #: Jaccard similarity to a hub, in percent. A class below FAR is only compared with others below FAR; a sketch estimate
 #: under UNLIKELY leaves no doubt that the similarity is below NEAR; and two similar classes lie on either side of FAR
 #: only where both are above NEAR (distances obey the triangle inequality, so FAR is NEAR plus 20 for 80).
 UNLIKELY, NEAR, FAR = 20, 45, 65
-#: A profile counts the shingles of a set by this many ranges of hashes.
-PROFILE = 32
+#: An estimate is off by less but for a chance of 1e-6, and one over FAR + DOUBT shows that a class isn't far.
+DOUBT = 25
 
 
 def _shingles(column: pa.Array, words: int):
@@ -64,7 +67,7 @@ def _set_key(shingles: np.ndarray) -> bytes | None:
 
 
 def sketches(docs: DataFrame, shingle_words: int = 5, k: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_key, sketch, profile) for each row. set_key names the shingle set, null when that is empty."""
+    """(doc_id, n_shingles, set_key, sketch) for each row. set_key names the shingle set, null when that is empty."""
 
     def run(batches):
         for batch in batches:
@@ -75,9 +78,8 @@ def sketches(docs: DataFrame, shingle_words: int = 5, k: int = 64, id_col: str =
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_set_key(s) for s in sets], pa.binary()),
                     pa.array([s[:k] for s in sets], pa.list_(pa.int64())),
-                    pa.array([np.bincount((s.view(U64) >> U64(59)).astype(np.int64), minlength=PROFILE) for s in sets], pa.list_(pa.int32())),
                 ],
-                ["doc_id", "n_shingles", "set_key", "sketch", "profile"],
+                ["doc_id", "n_shingles", "set_key", "sketch"],
             )
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SKETCH)
@@ -166,25 +168,36 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose union sketch shows that similarity at least."""
+def least_hits(k: int, percent: int) -> Column:
+    """Values of the union sketch u that a pair of that similarity shares at least: all it takes of a whole union, of k but for a chance of 1e-9."""
+    return F.when(F.size("u") < k, F.size("u") * percent / 100).otherwise(least_runs(k, 1, percent))
+
 
-    def side(name: str) -> DataFrame:
-        return classes.select(F.col("node").alias(name), F.col("sketch").alias(f"s_{name}"))
+def _with_estimate(both: DataFrame, k: int) -> DataFrame:
+    """Pairs with sketches s_a and s_b, their union sketch u, and hits, the values of u that both have."""
+    both = both.withColumn("u", F.slice(F.sort_array(F.array_union("s_a", "s_b")), 1, k))
+    return both.withColumn("hits", F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), "u")))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("u", F.slice(F.sort_array(F.array_union("s_a", "s_b")), 1, k))
-    hits = F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), "u"))
-    return both.filter(hits * 100 >= F.size("u") * percent).select("a", "b").distinct()
 
+def _estimated(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(a, b, estimate): the similarity that the union sketch of each pair shows."""
+    sides = [classes.select(F.col("node").alias(x), F.col("sketch").alias(f"s_{x}")) for x in "ab"]
+    both = _with_estimate(pairs.join(sides[0], "a").join(sides[1], "b"), k)
+    return both.groupBy("a", "b").agg(F.max(F.col("hits") / F.size("u")).alias("estimate"))
 
-def _compared(pairs: DataFrame, docs: DataFrame, shingle_words: int) -> DataFrame:
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs with their full sets, sizes and intersection size."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    sets = materialize(full_sets(texts, shingle_words).filter(F.size("shingles") > 0), "sets")
-    sides = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
+    sides = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"), F.size("shingles").alias(f"n_{x}")) for x in "ab"]
     joined = pairs.join(sides[0], "a").join(sides[1], "b")
-    return joined.select("a", "b", "set_a", "set_b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
+    return joined.select("a", "b", "set_a", "set_b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("both"))
+
+
+def _estimated_then_compared(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """As _compared, for the pairs whose union sketch, the least k values of both sets, leaves the similarity possible."""
+    sides = [sets.select(F.col("node").alias(x), F.slice("shingles", 1, k).alias(f"s_{x}")) for x in "ab"]
+    likely = _with_estimate(pairs.join(sides[0], "a").join(sides[1], "b"), k).filter(F.col("hits") >= least_hits(k, percent))
+    return _compared(materialize(likely.select("a", "b").distinct(), "pairs"), sets)
 
 
 def _near_hubs(held: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
@@ -219,22 +232,38 @@ def _near_hubs(held: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
-def _far_from_hubs(lists: DataFrame, hubs: DataFrame, held: DataFrame, seen: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one list in different components, both far from its hub, whose profiles don't rule out the similarity.
+def _not_near(lists: DataFrame, hubs: DataFrame, spokes: DataFrame) -> DataFrame:
+    """(value, hub, node) of the classes whose estimate leaves it open that they are far from a list's hub, where there are several of them."""
+    far = lists.join(hubs, "value").join(spokes.select(F.col("a").alias("hub"), F.col("b").alias("node"), "estimate"), ["hub", "node"])
+    far = far.filter(F.col("estimate") < (FAR + DOUBT) / 100).select("value", "hub", "node")
+    several = far.groupBy("value").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("value")
+    return far.join(several, "value")
 
-    Two sets differ in at least the sum of the differences of their profiles.
-    """
+
+def _far_pool(doubtful: DataFrame, held: DataFrame, seen: DataFrame) -> DataFrame:
+    """(node, component) of the classes far from the hub of a list that holds such classes of several components."""
     known = held.select("hub", "node", F.col("similar").alias("to_hub"))
-    far = lists.join(hubs, "value").filter("node <> hub").join(known, ["hub", "node"], "left").filter(F.coalesce("to_hub", F.lit(0)) < FAR / 100)
-    placed = far.select("value", "node", "n").join(seen, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    far = doubtful.join(known, ["hub", "node"], "left").filter(F.coalesce("to_hub", F.lit(0)) < FAR / 100)
+    placed = far.select("value", "node").join(seen, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("value")
-    profiles = classes.select("node", F.col("n_shingles").alias("n"), "profile")
-    rest = materialize(placed.join(split, "value").join(profiles, ["node", "n"]), "far")
-    left, right = (rest.select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "profile"))) for x in "ab")
+    return placed.join(split, "value").select("node", "component").distinct()
+
+
+def _within_pool(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the pool in different components that may be similar: the first common shingle, from the rarest on, has all others after it on both sides."""
+    elements = sets.join(pool, "node").select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("value"))
+    often = elements.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    by_node = Window.partitionBy("node", "n")
+    ranked = (
+        elements.join(often, "value")
+        .withColumn("place", F.row_number().over(by_node.orderBy("df", "value")))
+        .withColumn("after", F.count("*").over(by_node) - F.col("place"))
+        .filter((F.col("after") + 1) * 100 >= F.col("n") * percent)
+    )
+    left, right = (ranked.select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "after"))) for x in "ab")
     across = (F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b")) & _sizes_fit("n_a", "n_b", percent)
-    differ = F.aggregate(F.zip_with("profile_a", "profile_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
-    close = differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
-    return left.join(right, "value").filter(across & close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    enough = (F.least("after_a", "after_b") + 1) * 100 >= F.greatest("n_a", "n_b") * percent
+    return left.join(right, "value").filter(across & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -261,18 +290,24 @@ def near_duplicates(
     named = own.filter("set_key is not null and doc_id is not null")
     labels = materialize(named.groupBy("set_key").agg(F.min("doc_id").alias("node")), "labels")
     first_rows = (named["set_key"] == labels["set_key"]) & (named["doc_id"] == labels["node"])
-    classes = named.join(labels, first_rows, "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "sketch", "profile")
+    classes = named.join(labels, first_rows, "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "sketch")
     lists = materialize(inverted_lists(classes, k, r, percent), "lists")
     linked = F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent
     similar = F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
 
     hubs = materialize(lists.groupBy("value").agg(F.max_by("node", F.struct("score", "node")).alias("hub")), "hubs")
     spokes = lists.join(hubs, "value").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    likely = materialize(_estimated(spokes, classes, k, UNLIKELY), "spokes")
+    estimates = materialize(_estimated(spokes, classes, k), "spokes")
+    likely = estimates.filter(F.col("estimate") >= UNLIKELY / 100).select("a", "b")
+    doubtful = materialize(_not_near(lists, hubs, estimates), "doubtful")
+    nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).unionByName(doubtful.select("node")).distinct()
+    #: The plan is the same whether they are few or many: each text moves once.
+    texts_of = texts.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    sets = materialize(full_sets(texts_of, shingle_words).filter(F.size("shingles") > 0), "sets")
     difference = F.concat(F.array_except("set_a", "set_b"), F.array_except("set_b", "set_a"))
 
     def against(pairs: DataFrame, name: str) -> DataFrame:
-        found = _compared(pairs, texts, shingle_words).select(
+        found = _compared(pairs, sets).select(
             F.col("a").alias("hub"), F.col("b").alias("node"), F.col("n_a").alias("n_hub"), F.col("n_b").alias("n"), linked.alias("linked"), similar.alias("similar"),
             F.when(similar >= NEAR / 100, difference).alias("difference"),
         )
@@ -283,6 +318,7 @@ def near_duplicates(
     families = materialize(connected_components(near, "hub", "node"), "families")
     scores = lists.groupBy("node").agg(F.max("score").alias("score"))
     centres = families.join(scores, "node").groupBy("component").agg(F.max_by("node", F.struct("score", "node")).alias("a"))
+    release(hubs)
     members = families.join(centres, "component").filter("a <> node").select("a", F.col("node").alias("b"))
     centred = against(members, "centred")
     seen = materialize(connected_components(held.unionByName(centred).filter("linked"), "hub", "node"), "seen")
@@ -293,13 +329,10 @@ def near_duplicates(
     rest = rest.withColumn("asked", F.coalesce("asked", F.lit(False)))
     first = held.unionByName(centred).filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
 
-    pairs = (
-        _near_hubs(inside, seen, percent)
-        .unionByName(_near_hubs(rest, seen, percent))
-        .unionByName(_far_from_hubs(lists, hubs, held, seen, classes, percent))
-        .distinct()
-    )
-    second = materialize(_compared(materialize(pairs, "pairs"), texts, shingle_words).filter(linked).select("a", "b"), "second")
+    pool = materialize(_far_pool(doubtful, held, seen), "pool")
+    pairs = _near_hubs(inside, seen, percent).unionByName(_near_hubs(rest, seen, percent)).unionByName(_within_pool(pool, sets, percent)).distinct()
+    second = materialize(_estimated_then_compared(materialize(pairs, "proposed"), sets, k, percent).filter(linked).select("a", "b"), "second")
+    release(sets, doubtful, pool)
     links = first.unionByName(second)
 
     found = named.select("doc_id", "set_key").join(labels, "set_key").filter("doc_id <> node").select("doc_id", "node").distinct()
@@ -308,6 +341,7 @@ def near_duplicates(
     twice = named.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x <> y").select("doc_id")
     if not twice.isEmpty():
         places = connected_components(links.unionByName(found.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))), "a", "b")
+    release(estimates, held, centred, families, seen, second)
     out = own.join(labels, "set_key", "left").join(places, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
