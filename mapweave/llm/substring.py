@@ -1,14 +1,18 @@
 """Operator 10, substring dedup by seed and extend.
 
-Seeds are winnowed anchors: of the word grams inside each window the one with the smallest hash. Equal
-windows have equal anchors, so documents are joined on anchors and nothing is lost. An anchor that two
-documents share is extended both ways over all windows that it stands for; where the windows agree word for word with those
-of an earlier document they are repeats, and adjoining ones merge into maximal repeats of the window's length or more.
-
-What travels is one entry for each run of windows with the same anchor: the anchor and a short
-fingerprint of each window. Entries meet by anchor in buckets of bounded size, whose number follows the
-corpus. Repeats inside a task's own chunk are settled there and only the earliest copy goes on, so a passage that
-a third of all documents hold costs an entry for each chunk and not for each document.
+Seeds are winnowed anchors: of the word grams inside each window the one with the smallest hash. Equal windows
+have equal anchors, so that no repeat is without a seed.
+
+1. Documents are joined on anchors: one aggregation finds the anchors that several documents hold, one join gives each
+   document those among its own.
+2. From each of these seeds a document is extended both ways, over all windows that the seed stands for. Where the whole
+   extension is that of an earlier document, all its windows are repeats. Of each extension the first document is left;
+   where extensions of one seed differ, those are compared window by window. Equal means equal hashes (64 bits each) of the
+   seed's words and of all words of the extension or window.
+3. The windows that an earlier document holds too are repeats, and adjoining ones merge into maximal repeats, none shorter than a window.
+
+Aggregations combine before they shuffle, and joins have one row for each key on one side, so that a passage or phrase
+that a third of all documents hold is never gathered in one group. Texts move twice, in 2 and in 3.
 """
 
 from __future__ import annotations
@@ -20,13 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.kernels import U64, Words, chunks, mix
+from mapweave.llm.kernels import U64, Words, chunks, range_hashes
+from mapweave.runtime import materialize, release
 
-RUNS = "bucket int, ids binary, anchors binary, starts binary, counts binary, prints binary"
-REPEATS = "part int, ids binary, ats binary, prints binary"
-_PLACE = np.dtype([("at", "<i4"), ("print", "<u4")])
-#: Text that a task reads before it sends entries, and text for each bucket.
-SEND_BYTES, BUCKET_BYTES = 2 << 20, 5 << 20
+#: A row of documents; the hash of its text tells rows of one id apart.
+KEY = ["doc_id", "text_key"]
 
 
 def _least(values: np.ndarray, n: int) -> np.ndarray:
@@ -40,142 +42,113 @@ def _least(values: np.ndarray, n: int) -> np.ndarray:
 
 
 def windows(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, anchor, fingerprint) of every window of the chunk's rows."""
+    """(first word, anchor, hash of its words) of every window of the chunk's rows."""
     hashes = words.hashes()
     if len(hashes) < window:
-        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.uint32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     end = np.repeat(words.bounds[1:], np.diff(words.bounds))
     first = np.flatnonzero(np.arange(len(hashes)) + window <= end)
     least = _least(words.grams(anchor, hashes), window - anchor + 1)
-    return first, least[first], (words.grams(window, hashes)[first] >> U64(32)).astype(np.uint32)
+    return first, least[first].view(np.int64), words.grams(window, hashes)[first].view(np.int64)
 
 
-def _key(anchors: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(anchors + prints.astype(U64) * U64(0x9E3779B97F4A7C15))
+def _rows_of(words: Words, first: np.ndarray) -> np.ndarray:
+    return np.searchsorted(words.bounds, first, "right") - 1
 
 
-def _later(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether an entry's key also belongs to a smaller id."""
-    order = np.argsort(keys, kind="stable")
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[order][1:] != keys[order][:-1]
-    group = np.cumsum(new) - 1
-    lowest = np.minimum.reduceat(ids[order], np.flatnonzero(new)) if len(keys) else ids
-    out = np.zeros(len(keys), bool)
-    out[order] = ids[order] > lowest[group]
-    return out
+def seeds(texts: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(doc_id, text_key, anchors): the anchors of each row, without those next to themselves."""
+
+    def run(batches):
+        for batch in batches:
+            for start, end, data, offsets in chunks(batch.column(2)):
+                words = Words(data, offsets, lower=False)
+                first, anchors, _ = windows(words, window, anchor)
+                row = _rows_of(words, first)
+                new = np.ones(len(row), bool)
+                new[1:] = (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1])
+                bounds = np.searchsorted(row[new], np.arange(end - start + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(anchors[new]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), batch.column(1).slice(start, end - start), lists], [*KEY, "anchors"])
+
+    return texts.mapInArrow(run, "doc_id long, text_key long, anchors array<long>").filter(F.size("anchors") > 0)
 
 
-def _runs(docs: DataFrame, window: int, anchor: int, buckets: int) -> DataFrame:
-    """Entries by bucket. Buckets from `buckets` on hold repeats that are settled: anchors is empty there."""
-
-    def send(held: list[tuple[np.ndarray, ...]]):
-        ids, at, anchors, prints = (np.concatenate(x) for x in zip(*held, strict=True))
-        later = _later(_key(anchors, prints), ids)
-        if later.any():
-            yield (buckets + int(ids[0]) % buckets, ids[later], np.zeros(0, U64), at[later].astype(np.int32), np.zeros(0, np.int32), prints[later])
-            ids, at, anchors, prints = ids[~later], at[~later], anchors[~later], prints[~later]
-        if not len(ids):
-            return
-        new = np.ones(len(ids), bool)
-        new[1:] = (anchors[1:] != anchors[:-1]) | (ids[1:] != ids[:-1]) | (at[1:] != at[:-1] + 1)
-        heads = np.flatnonzero(new)
-        counts = np.diff(np.append(heads, len(ids))).astype(np.int32)
-        bucket = ((mix(anchors[heads]) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)  # least hashes lie low
-        order = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0, True])
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            own = order[a:b]
-            take = np.repeat(heads[own] - np.cumsum(counts[own]) + counts[own], counts[own]) + np.arange(counts[own].sum())
-            yield (int(bucket[own[0]]), ids[heads[own]], anchors[heads[own]], at[heads[own]].astype(np.int32), counts[own], prints[take])
-
-    def rows(held):
-        out = list(send(held))
-        columns = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(next(columns), pa.int32()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in columns)],
-            ["bucket", "ids", "anchors", "starts", "counts", "prints"],
-        )
+def extensions(texts: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(doc_id, text_key, at, anchor, span, prints) for each run of windows of texts (with the column anchors) that share an anchor among those.
+
+    span is the hash of all words of the run, prints are those of its windows.
+    """
+    names = [*KEY, "at", "anchor", "span", "prints"]
 
     def run(batches):
-        held, size = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for start, end, data, offsets in chunks(batch.column(1)):
+            for start, end, data, offsets in chunks(batch.column(2)):
                 words = Words(data, offsets, lower=False)
                 first, anchors, prints = windows(words, window, anchor)
-                if not len(first):
-                    continue
-                row = np.searchsorted(words.bounds, first, "right") - 1
-                held.append((ids[start:end][row], first - words.bounds[row], anchors, prints))
-                size += len(data)
-                if size >= SEND_BYTES:
-                    yield rows(held)
-                    held, size = [], 0
-        if held:
-            yield rows(held)
-
-    return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, RUNS)
-
-
-def _columns(table: pa.Table, **kinds) -> list[np.ndarray]:
-    return [np.concatenate([np.frombuffer(x, t) for x in table[n].to_pylist()]) for n, t in kinds.items()]
-
-
-def _settle(table: pa.Table, parts: int) -> pa.Table:
-    """The repeats of one bucket, dealt by document."""
-    ids, anchors, starts, counts, prints = _columns(table, ids=np.int64, anchors=U64, starts=np.int32, counts=np.int32, prints=np.uint32)
-    if len(anchors):
-        order = np.argsort(anchors, kind="stable")
-        new = np.r_[True, anchors[order][1:] != anchors[order][:-1]]
-        heads, group = np.flatnonzero(new), np.cumsum(new) - 1
-        shared = np.zeros(len(ids), bool)
-        shared[order] = (np.minimum.reduceat(ids[order], heads) < np.maximum.reduceat(ids[order], heads))[group]
-        wide = np.repeat(shared, counts)
-        into = np.arange(len(prints)) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = (np.repeat(starts, counts) + into)[wide].astype(np.int32)
-        ids, anchors, prints = np.repeat(ids, counts)[wide], np.repeat(anchors, counts)[wide], prints[wide]
-        later = _later(_key(anchors, prints), ids)
-        ids, starts, prints = ids[later], at[later], prints[later]
-    part = (mix(ids.view(U64)) % U64(parts)).astype(np.int32)
-    own = [np.flatnonzero(part == p) for p in np.unique(part)]
-    blobs = [pa.array([x[i].tobytes() for i in own], pa.binary()) for x in (ids, starts, prints)]
-    return pa.table([pa.array(np.unique(part), pa.int32()), *blobs], names=["part", "ids", "ats", "prints"])
-
-
-def _by_document(table: pa.Table) -> pa.Table:
-    ids, ats, prints = _columns(table, ids=np.int64, ats=np.int32, prints=np.uint32)
-    order = np.argsort(ids, kind="stable")
-    places = np.empty(len(ids), _PLACE)
-    places["at"], places["print"] = ats[order], prints[order]
-    edges = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0, True]) if len(ids) else np.zeros(1, int)
-    found = [places[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return pa.table({"doc_id": pa.array(ids[order][edges[:-1]], pa.int64()), "places": pa.array(found, pa.binary())})
-
-
-def repeated_windows(docs: DataFrame, window: int = 13, anchor: int = 5) -> DataFrame:
-    """(doc_id, places): the windows of each document whose words also stand in a document with a smaller id."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-size // BUCKET_BYTES))
-    parts = -(-buckets // 16)
-    found = _runs(docs, window, anchor, buckets).groupBy("bucket").applyInArrow(lambda table: _settle(table, parts), REPEATS)
-    return found.groupBy("part").applyInArrow(_by_document, "doc_id long, places binary")
-
-
-def _removed(data: np.ndarray, places: np.ndarray, window: int) -> tuple[Words, np.ndarray]:
-    """Whether each word of one text is covered by one of the windows, and is so in this very text."""
-    words = Words(data, np.array([0, len(data)]), lower=False)
-    n = len(words.starts)
-    at = places["at"][places["at"] + window <= n].astype(np.int64)
-    prints = places["print"][places["at"] + window <= n]
-    if len(at):
-        own = (words.grams(window)[at] >> U64(32)).astype(np.uint32)
-        at = at[own == prints]  # rows can repeat an id with other text
-    step = np.zeros(n + 1, np.int64)
+                row = _rows_of(words, first)
+                edges = np.searchsorted(row, np.arange(end - start + 1))
+                kept = [np.zeros(0, np.int64)]
+                for r in range(end - start):
+                    a, b = edges[r], edges[r + 1]
+                    if b > a:
+                        own = batch.column(3)[start + r].values.to_numpy(zero_copy_only=False)
+                        kept.append(a + np.flatnonzero(np.isin(anchors[a:b], own)))
+                take = np.concatenate(kept)
+                new = np.ones(len(take), bool)
+                new[1:] = (np.diff(take) != 1) | (anchors[take][1:] != anchors[take][:-1]) | (row[take][1:] != row[take][:-1])
+                heads = np.flatnonzero(new)
+                bounds = np.append(heads, len(take))
+                head, last = take[heads], take[bounds[1:] - 1]
+                spans = range_hashes(words.hashes(), first[head], first[last] + window).view(np.int64)
+                rows = pa.array(start + row[head])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(rows),
+                        batch.column(1).take(rows),
+                        pa.array((first[head] - words.bounds[row[head]]).astype(np.int32)),
+                        pa.array(anchors[head]),
+                        pa.array(spans),
+                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(prints[take])),
+                    ],
+                    names,
+                )
+
+    return texts.mapInArrow(run, "doc_id long, text_key long, at int, anchor long, span long, prints array<long>")
+
+
+def repeated_windows(texts: DataFrame, window: int = 13, anchor: int = 5) -> DataFrame:
+    """(doc_id, text_key, places): runs (at, n) of windows of a row of (doc_id, text_key, text) whose words also stand in a row with a smaller id."""
+    named = texts.filter("doc_id is not null")
+    own = materialize(seeds(named, window, anchor), "seeds")
+    each = own.select(*KEY, F.explode(F.array_distinct("anchors")).alias("anchor"))
+    shared = each.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
+    seeded = materialize(each.join(shared, "anchor").groupBy(*KEY).agg(F.collect_set("anchor").alias("anchors")), "seeded")
+    release(own)
+    found = materialize(extensions(named.join(seeded, KEY).select(*KEY, "text", "anchors"), window, anchor), "extensions")
+    release(seeded)
+
+    firsts = materialize(found.groupBy("anchor", "span").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "firsts")
+    differ = firsts.groupBy("anchor").agg(F.min("low").alias("x"), F.max("low").alias("y")).filter("x < y").select("anchor", F.lit(True).alias("differ"))
+    marks = firsts.join(differ, "anchor", "left").withColumn("differ", F.coalesce("differ", F.lit(False))).filter("low < high or differ")
+    placed = found.join(marks, ["anchor", "span"]).filter("doc_id > low or differ").select(*KEY, "at", F.size("prints").alias("n"), "anchor", F.when(F.col("doc_id") == F.col("low"), F.col("prints")).alias("prints"))
+    placed = materialize(placed, "placed")
+    release(found, firsts)
+    whole = placed.filter("prints is null").select(*KEY, "at", "n")
+    single = placed.filter("prints is not null").select(*KEY, "at", "anchor", F.posexplode("prints").alias("i", "print"))
+    lows = single.groupBy("anchor", "print").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor", "print", "low")
+    later = single.join(lows, ["anchor", "print"]).filter("doc_id > low").select(*KEY, (F.col("at") + F.col("i")).alias("at"), F.lit(1).alias("n"))
+    repeats = materialize(whole.unionByName(later).groupBy(*KEY).agg(F.collect_set(F.struct("at", "n")).alias("places")), "repeats")
+    release(placed)
+    return repeats
+
+
+def covered(n_words: int, at: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
+    """Whether each word stands in one of the n windows from each of these places on."""
+    step = np.zeros(n_words + 1, np.int64)
     np.add.at(step, at, 1)
-    np.add.at(step, np.minimum(at + window, n), -1)
-    return words, np.cumsum(step[:n]) > 0
+    np.add.at(step, at + n - 1 + window, -1)
+    return np.cumsum(step[:n_words]) > 0
 
 
 def remove_repeats(
@@ -189,18 +162,18 @@ def remove_repeats(
     remove each other's words; rows with a null id neither remove nor lose words. Extra columns are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = repeated_windows(own, window, anchor)
-    joined = own.join(found, "doc_id", "left").select("doc_id", "text", "places")
+    own = own.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    joined = own.join(repeated_windows(own, window, anchor), KEY, "left").select("doc_id", "text", F.col("places.at").alias("ats"), F.col("places.n").alias("ns"))
     names = ["doc_id", "n_words", "n_removed", "n_repeats", "kept_sha256"] + ["kept_text"] * with_text
 
-    def row(text: str | None, places: bytes | None) -> tuple:
+    def row(text: str | None, ats: list[int] | None, ns: list[int] | None) -> tuple:
         data = (text or "").encode()
         parts = data.split()
         n, gone, repeats = len(parts), 0, 0
-        if places:
-            _, covered = _removed(np.frombuffer(data, np.uint8), np.frombuffer(places, _PLACE), window)
-            gone, repeats = int(covered.sum()), int((np.diff(np.r_[0, covered.astype(np.int8)]) == 1).sum())
-            parts = [parts[i] for i in np.flatnonzero(~covered)]
+        if ats:
+            out = covered(n, np.array(ats), np.array(ns), window)
+            gone, repeats = int(out.sum()), int((np.diff(np.r_[0, out.astype(np.int8)]) == 1).sum())
+            parts = [parts[i] for i in np.flatnonzero(~out)]
         kept = b" ".join(parts)
         return n, gone, repeats, hashlib.sha256(kept).hexdigest(), *([kept.decode()] * with_text)
 
@@ -208,7 +181,7 @@ def remove_repeats(
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows = [row(t.as_py(), p.as_py()) for t, p in zip(part.column(1), part.column(2), strict=True)]
+                rows = [row(*(x.as_py() for x in columns)) for columns in zip(*(part.column(i) for i in (1, 2, 3)), strict=True)]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False))], names)
 

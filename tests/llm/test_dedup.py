@@ -41,6 +41,19 @@ def test_minhash_equals_brute_force(spark, size):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == {i: (len(sets[i]), expected[i], expected[i] == i) for i, _ in rows}
 
 
+def test_minhash_of_a_template(spark):
+    """Texts that fill in one template are far from each other and from any hub, but for a few pairs."""
+    r = rng(12)
+    template = noise(r, 300)
+    texts = [f"{template} {noise(r, 100, 10**6)}" for _ in range(60)]
+    texts += [t.rsplit(" ", 12)[0] for t in texts[:5]]
+    rows = list(enumerate(texts))
+    sets, expected = near_by_force(rows, 2)
+    assert len(set(expected.values())) == 60
+    found = minhash.near_duplicates(documents(spark, [(i, t, 9, "z") for i, t in rows]), shingle_words=2).collect()
+    assert {r.doc_id: r.component_id for r in found} == expected
+
+
 def test_minhash_odd_rows(spark):
     rows = [(1, "a b c d e f g", 0, ""), (1, "q r s t u v w", 0, ""), (2, "q r s t u v w", 0, ""), (None, "a b c d e f g", 0, ""), (3, None, 0, "")]
     found = sorted((str(r.doc_id), r.component_id, r.kept) for r in minhash.near_duplicates(documents(spark, rows)).collect())
@@ -118,6 +131,20 @@ def test_substring_equals_brute_force(spark):
     assert found == repeats_by_force(rows, 13)
 
 
+def test_substring_same_seed_other_words(spark):
+    """A phrase that many texts hold is their common seed; only windows with equal words are repeats."""
+    r = rng(7)
+    phrase = "all rights reserved by us"
+    texts = [f"{noise(r, 12, 10**6)} {phrase} {noise(r, 12, 10**6)}" for _ in range(200)]
+    left, right = noise(r, 8, 10**6), noise(r, 8, 10**6)
+    texts += [f"{left} {phrase} {noise(r, 9, 10**6)}", f"{noise(r, 9, 10**6)} {phrase} {right}", f"{left} {phrase} {right}", f"{left} {phrase} {right[:-1]}"]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring.remove_repeats(df).collect()}
+    assert found == repeats_by_force(rows, 13)
+    assert found[202][1] == 21 and found[203][1] == 20 and not any(found[i][1] for i in range(202))
+
+
 def test_substring_odd_rows(spark):
     same = " ".join(f"w{i}" for i in range(20))
     df = spark.createDataFrame([(1, same), (1, same), (None, same), (2, same)], "doc_id long, text string")
