@@ -9,7 +9,8 @@ Training minimises the non-negative unbiased risk
 by Newton steps; each step sums gradients and curvatures over all trusted and all unlabelled rows where they lie.
 The class prior is estimated before: among the rows that a first model (trusted against unlabelled) scores above a
 threshold, unlabelled mass over trusted mass is the prior times one where no negatives score so high; the least upper
-confidence bound over the thresholds is taken, on rows that the first model wasn't trained on.
+confidence bound over the thresholds is taken. The rows are in halves, and each half is scored by the first model of the other.
+Weights have a normal prior distribution (`WEIGHT_VARIANCE`), which counts where there are few trusted rows.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ for _name, _bytes in {
     _CLASS[list(_bytes)] = _CLASSES.index(_name)
 _LETTER = np.isin(_CLASS, [_CLASSES.index("lower"), _CLASSES.index("upper"), _CLASSES.index("other")])
 _ODD_END = np.isin(_CLASS, [_CLASSES.index(x) for x in ("symbol", "shout", "bar")])
+#: The weights' variance before any row is seen; the penalty of a mean risk over n trusted rows is 1 / (n * variance), LEAST_RIDGE at least.
+WEIGHT_VARIANCE, LEAST_RIDGE = 1 / 3, 0.01
 #: Cuts at which a share also enters as an indicator, so that the model is additive in steps of each share.
 _CUTS = (0.02, 0.1, 0.3, 0.6)
 
@@ -237,14 +240,19 @@ def _first_model(trusted: DataFrame, unlabelled: DataFrame, dims: int, ridge: fl
     return _newton(parts, dims, ridge, steps)
 
 
-def class_prior(trusted: DataFrame, unlabelled: DataFrame, w: np.ndarray, bins: int = 512, chance: float = 0.05) -> float:
-    """Share of positives among the unlabelled rows, from the score histograms of rows that w wasn't fitted on."""
+def class_prior(scored: list[tuple[DataFrame, DataFrame, np.ndarray]], bins: int = 512, chance: float = 0.05) -> float:
+    """Share of positives among the unlabelled rows, from the score histograms of (trusted, unlabelled, w): rows that w wasn't fitted on."""
 
-    def task(x: np.ndarray) -> np.ndarray:
-        return np.bincount(np.minimum((_sigmoid(x @ w) * bins).astype(int), bins - 1), minlength=bins).astype(float)
+    def histogram(rows: DataFrame, w: np.ndarray) -> np.ndarray:
+        def task(x: np.ndarray) -> np.ndarray:
+            return np.bincount(np.minimum((_sigmoid(x @ w) * bins).astype(int), bins - 1), minlength=bins).astype(float)
+
+        found = _sums(rows, task)
+        return np.cumsum(found[::-1]) if len(found) else np.zeros(bins)
 
-    p, u = (np.cumsum(_sums(rows, task)[::-1]) for rows in (trusted, unlabelled))
-    if not len(p) or not len(u):
+    p = sum((histogram(trusted, w) for trusted, _, w in scored), np.zeros(bins))
+    u = sum((histogram(unlabelled, w) for _, unlabelled, w in scored), np.zeros(bins))
+    if not p[-1] or not u[-1]:
         return 0.5
     spread = np.sqrt(np.log(4 / chance) / (2 * p[-1])) + np.sqrt(np.log(4 / chance) / (2 * u[-1]))
     p, u = p / p[-1], u / u[-1]
@@ -262,13 +270,19 @@ def _risk(trusted: DataFrame, unlabelled: DataFrame, prior: float):
     return parts
 
 
-def fit(trusted: DataFrame, unlabelled: DataFrame, ridge: float = 1e-3, steps: int = 14) -> tuple[np.ndarray, float]:
-    """(weights, class prior). Both tables have the columns half (0 or 1) and shapes; without trusted rows all weights are 0."""
+def fit(trusted: DataFrame, unlabelled: DataFrame, ridge: float | None = None, steps: int = 14) -> tuple[np.ndarray, float]:
+    """(weights, class prior). Both tables have the columns half (0 or 1) and shapes; without trusted rows all weights are 0.
+
+    ridge is the penalty on squared weights; unset, it follows from WEIGHT_VARIANCE.
+    """
     dims = design(np.zeros((1, N_SHAPES), np.float32)).shape[1]
-    if trusted.isEmpty():
+    n = trusted.count()
+    if not n:
         return np.zeros(dims), 0.5
+    ridge = max(LEAST_RIDGE, 1 / (n * WEIGHT_VARIANCE)) if ridge is None else ridge
     halves = [(trusted.filter(F.col("half") == h), unlabelled.filter(F.col("half") == h)) for h in (0, 1)]
-    prior = class_prior(*halves[1], _first_model(*halves[0], dims, ridge, steps)) if not halves[0][0].isEmpty() else 0.5
+    crossed = [(*other, _first_model(*own, dims, ridge, steps)) for own, other in (halves, halves[::-1]) if not own[0].isEmpty()]
+    prior = class_prior(crossed)
     return _newton(_risk(trusted, unlabelled, prior), dims, ridge, steps), prior
 
 
@@ -279,14 +293,14 @@ def _prepared(docs: DataFrame, held_out: Column | None, id_col: str, text_col: s
     return materialize(rows.withColumn("half", F.coalesce((F.floor(remainder / 3) % 2).cast("int"), F.lit(0))), "shapes")
 
 
-def _trained(rows: DataFrame, labels: DataFrame, label_col: str, ridge: float) -> np.ndarray:
+def _trained(rows: DataFrame, labels: DataFrame, label_col: str, ridge: float | None) -> np.ndarray:
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).alias("mark")).groupBy("doc_id").agg(F.min("mark").alias("mark"))
     unlabelled = rows.filter(~F.col("held_out")).select("doc_id", "half", "shapes")
     trusted = materialize(unlabelled.join(marks.filter("mark = 1"), "doc_id", "left_semi"), "trusted")
     return fit(trusted, unlabelled, ridge)[0]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", ridge: float = 1e-3) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", ridge: float | None = None) -> np.ndarray:
     """The model's weights, as score() fits them."""
     return _trained(_prepared(docs, None, id_col, text_col), labels, label_col, ridge)
 
@@ -311,7 +325,7 @@ def score(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
-    ridge: float = 1e-3,
+    ridge: float | None = None,
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs.
 
