@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mapweave.functions.text import with_word_forms
 from mapweave.runtime import materialize
 
 
@@ -21,16 +22,31 @@ def label_counts(labels: DataFrame, countries: DataFrame) -> DataFrame:
     """
     rows = labels.filter("label is not null").join(countries.filter("country is not null"), "article_id")
     base = rows.groupBy("country", "label").agg(F.count("*").alias("clc"))
-    base = base.withColumn("ncl", F.sum("clc").over(Window.partitionBy("country")))
+    by_country = base.groupBy("country").agg(F.sum("clc").alias("ncl"))
     by_label = base.groupBy("label").agg(F.sum("clc").alias("lcp"))
     members = rows.select("country", "article_id").distinct()
-    per_country = members.groupBy("country").agg(F.count("*").alias("n_country_articles"))
+    per_country = members.groupBy("country").agg(F.count("*").alias("n_country_articles")).join(by_country, "country")
     total = members.select("article_id").distinct().agg(F.count("*").alias("n_articles"))
     labels_total = by_label.agg(F.count("*").alias("n_labels"))
     one_row = F.broadcast(total.crossJoin(F.broadcast(labels_total)))  # one row, whatever the data
     return base.join(by_label, "label").join(per_country, "country").crossJoin(one_row)
 
 
+def rows_per(rows: DataFrame, key: str, name: str = "label_count") -> DataFrame:
+    """rows with the number of rows that have the same key, null keys dropped."""
+    return rows.join(rows.groupBy(key).agg(F.count("*").alias(name)), key)
+
+
+def members(rows: DataFrame, group: str, value: str, pad_to: int = 0) -> DataFrame:
+    """(group, values): the distinct values of each group in order, padded by empty strings to that length.
+
+    For values that are few in a group, as categories and candidate labels are.
+    """
+    values = F.array_sort(F.collect_set(F.col(value).cast("string")))
+    padded = F.concat("values", F.array_repeat(F.lit(""), F.greatest(F.lit(0), F.lit(pad_to) - F.size("values"))))
+    return rows.groupBy(group).agg(values.alias("values")).withColumn("values", padded)
+
+
 def tf_idf() -> Column:
     return F.col("clc") / F.col("ncl") * F.log(F.col("n_articles") / (F.col("lcp") + 10))
 
@@ -48,12 +64,11 @@ def hierarchy_score(scored: DataFrame, by_normalised: bool = False) -> DataFrame
 
     With by_normalised the last factor is the tfidf scaled to 0..1 within the country.
     """
-    by_country = Window.partitionBy("country")
-    low, high = F.min("tfidf").over(by_country), F.max("tfidf").over(by_country)
-    scaled = F.coalesce((F.col("tfidf") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
-    factor = scaled if by_normalised else F.col("tfidf")
+    ends = scored.groupBy("country").agg(F.min("tfidf").alias("__low"), F.max("tfidf").alias("__high"))
+    scaled = F.coalesce((F.col("tfidf") - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0)), F.lit(0.0))
     idf = F.log(F.col("n_labels") / (F.lit(6.0) * F.col("lcp")))
-    return scored.withColumn("scaled", scaled).withColumn("score", F.col("clc") / F.col("ncl") * idf * factor)
+    rows = scored.join(ends, "country").withColumn("scaled", scaled).drop("__low", "__high")
+    return rows.withColumn("score", F.col("clc") / F.col("ncl") * idf * F.col("scaled" if by_normalised else "tfidf"))
 
 
 def top_per_group(rows: DataFrame, group: str, n: int, *order: Column) -> DataFrame:
@@ -61,9 +76,11 @@ def top_per_group(rows: DataFrame, group: str, n: int, *order: Column) -> DataFr
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("place") <= n)
 
 
-def exclusive_top_n(scored: DataFrame, n: int, blacklist: list[str] | None = None, max_rounds: int = 1000) -> DataFrame:
+def exclusive_top_n(scored: DataFrame, n: int, blacklist: list[str] | None = None, max_rounds: int = 1000, distinct_stems: bool = False) -> DataFrame:
     """(country, label, score): at most n labels for a country, each label in one country only.
 
+    With distinct_stems that also holds for labels of equal stems (T3, T4): of those in one country only the best can be chosen.
+
     Same as going through all (country, label) rows by falling score (ties: label, country) and giving a label to the
     first country that still has room. Done by deferred acceptance: in each round every label proposes to its
     best country that hasn't rejected it, and every country keeps its best n; both sides order by the same score. A
@@ -73,6 +90,12 @@ def exclusive_top_n(scored: DataFrame, n: int, blacklist: list[str] | None = Non
     rows = rows.groupBy("country", "label").agg(F.max("score").alias("score"))
     if blacklist:
         rows = rows.filter(~F.col("label").isin(blacklist))
+    if distinct_stems:
+        stems = with_word_forms(rows.select("label").distinct())
+        top = rows.join(stems, "label").groupBy("country", "stem").agg(F.min(F.struct((-F.col("score")).alias("s"), "label")).alias("b"))
+        own = top.select("country", F.col("stem"), F.col("b.label").alias("own"), -F.col("b.s"))
+        chosen = exclusive_top_n(own.toDF("country", "label", "own", "score"), n, None, max_rounds)
+        return chosen.withColumnRenamed("label", "stem").join(own.select("country", "stem", F.col("own").alias("label")), ["country", "stem"]).select("country", "label", "score")
     best = Window.partitionBy("label").orderBy(F.desc("score"), "country")
     for _ in range(max_rounds):
         proposed = rows.withColumn("choice", F.row_number().over(best))
@@ -106,22 +129,13 @@ def popular_with_top_up(rows: DataFrame, group: str, score: str, id_col: str, th
 def dense_ids(values: DataFrame, column: str, *first_seen: str) -> DataFrame:
     """Ids from 0 for the distinct values of a column, in the order in which they are first seen.
 
-    Places are counted inside ranges of the order and moved by the sizes of the ranges before, so that no task
-    sees all values.
+    Values are dealt to ranges of that order that are about equal in size; places are counted inside a range and moved by the sizes
+    of the ranges before. Ranges are as many as tasks.
     """
     seen = values.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(F.struct(*first_seen)).alias("seen"))
-    lead = F.col(f"seen.{first_seen[0]}")
-    ranged = seen.withColumn("range", F.floor(lead / 256))
+    ranged = materialize(seen.repartitionByRange("seen", column).withColumn("range", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    lower = sizes.select(F.col("range").alias("lower"), F.col("n").alias("m"))
+    before = sizes.join(F.broadcast(lower), F.col("lower") < F.col("range"), "left").groupBy("range").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before"))  # a row for each task
     place = F.row_number().over(Window.partitionBy("range").orderBy("seen", column))
-    return ranged.withColumn("place", place).join(before.select("range", "before"), "range").select(column, (F.col("before") + F.col("place") - 1).alias("label_id"))
-
-
-def document_tfidf(counts: DataFrame, n_documents: DataFrame, top: int = 100) -> DataFrame:
-    """TF-IDF of (doc_id, token, tf): tf * log2(N / df), L2-normalised per document, the best `top` tokens."""
-    df = counts.groupBy("token").agg(F.count("*").alias("df"))
-    weighted = counts.join(df, "token").crossJoin(F.broadcast(n_documents))  # one row
-    weighted = weighted.withColumn("w", F.col("tf") * F.log2(F.col("n_documents") / F.col("df"))).filter("w > 1e-12")
-    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return top_per_group(weighted.withColumn("tfidf", F.col("w") / size), "doc_id", top, F.desc("tfidf"), F.asc("token"))
+    return ranged.withColumn("place", place).join(F.broadcast(before), "range").select(column, (F.col("before") + F.col("place") - 1).alias("label_id"))

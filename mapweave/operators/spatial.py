@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.operators.graph import connected_components
-from mapweave.runtime import materialize
+from mapweave.runtime import materialize, release
 
 
 def bounding_box(points: DataFrame, margin: float = 30.0) -> DataFrame:
@@ -133,27 +133,36 @@ def outlines(border_edges: DataFrame) -> DataFrame:
 
 
 def multipolygons(rings: DataFrame) -> DataFrame:
-    """(country, polygons): all rings of a country."""
-    return rings.groupBy("country").agg(F.array_sort(F.collect_list(F.struct("region", "ring", "hole", "points"))).alias("polygons"))
+    """(country, polygons): for each region of a country its rings, the outline first and then its holes."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("hole", "ring", "points"))), lambda r: r["points"])
+    per_region = rings.groupBy("country", "region").agg(ordered.alias("rings"))
+    return per_region.groupBy("country").agg(F.array_sort(F.collect_list(F.struct("region", "rings"))).alias("polygons"))
 
 
-def elevation(cells: DataFrame, step: float = 0.1, max_rounds: int = 200) -> DataFrame:
+def elevation(cells: DataFrame, step: float = 0.1) -> DataFrame:
     """(cx, cy, country, height): steps from the nearest cell outside, raised by `step` each.
 
-    A breadth-first relaxation: cells next to the outside are at one step, each round sets the neighbours of the last.
+    A breadth-first relaxation: cells next to the outside are at one step, each round sets the neighbours of the last,
+    until there are none. All land has an outside somewhere, so no cell is left.
     """
     land = materialize(cells.select("cx", "cy", "country"), "land")
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1)))))
     near = lambda t: t.select("cx", "cy", around.alias("s")).select((F.col("cx") + F.col("s.i")).alias("nx"), (F.col("cy") + F.col("s.j")).alias("ny"), "cx", "cy")
     shore = near(land).join(land.select(F.col("cx").alias("nx"), F.col("cy").alias("ny")), ["nx", "ny"], "left_anti").select("cx", "cy").distinct()
-    done = materialize(shore.withColumn("level", F.lit(1)), "level")
-    for level in range(2, max_rounds):
-        last = done.filter(F.col("level") == level - 1)
-        new = near(last).select(F.col("nx").alias("cx"), F.col("ny").alias("cy")).distinct().join(land, ["cx", "cy"], "left_semi").join(done, ["cx", "cy"], "left_anti")
-        done = materialize(done.unionByName(new.withColumn("level", F.lit(level))), "level")
-        if done.filter(F.col("level") == level).isEmpty():
-            break
-    return land.join(done, ["cx", "cy"]).select("cx", "cy", "country", (F.col("level") * step).alias("height"))
+    #: A cell two rounds back can't be reached again, so a round only looks at the last two.
+    rounds = [materialize(shore.withColumn("level", F.lit(1)), "level")]
+    while not rounds[-1].isEmpty():
+        last = rounds[-1].unionByName(rounds[-2]) if len(rounds) > 1 else rounds[-1]
+        new = near(rounds[-1]).select(F.col("nx").alias("cx"), F.col("ny").alias("cy")).distinct().join(land, ["cx", "cy"], "left_semi").join(last, ["cx", "cy"], "left_anti")
+        rounds.append(materialize(new.withColumn("level", F.lit(len(rounds) + 1)), "level"))
+    levels = land.sparkSession.createDataFrame([], rounds[0].schema)
+    for at in range(0, len(rounds), 50):  # unions of many tables make slow plans
+        part = rounds[at]
+        for table in rounds[at + 1 : at + 50]:
+            part = part.unionByName(table)
+        levels = materialize(levels.unionByName(part), "levels")
+    release(*rounds)
+    return land.join(levels, ["cx", "cy"]).select("cx", "cy", "country", (F.col("level") * step).alias("height"))
 
 
 def clockwise(points: DataFrame, group: str, cx: str, cy: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators on small tables."""
 
+import json
 import math
 import random
 
@@ -158,15 +159,73 @@ def test_label_matches_compare_words(spark):
     assert rows == {"tea green": (False, True), "abc": (False, False)}
 
 
-def test_vector_file(spark, tmp_path):
+def test_vector_files_have_heads_of_their_own(spark, tmp_path):
     (tmp_path / "v.txt").write_text("3 2\ntea 1 2\nmilk 1 x\nlong 1 2 3\nwater 0.5 -1\n")
-    rows = tables.read_vectors(spark, str(tmp_path / "v.txt")).collect()
-    assert {r.title: r.vector for r in rows} == {"tea": [1.0, 2.0], "water": [0.5, -1.0]}
+    (tmp_path / "w.txt").write_text("2 1\n7 8\nrum 9\n")
+    (tmp_path / "x.txt").write_text("gin 1 2\n")
+    rows = {r.title: (r.vector, r.as_head) for r in tables.read_vectors(spark, str(tmp_path)).collect()}
+    assert rows == {"tea": ([1.0, 2.0], True), "water": ([0.5, -1.0], True), "long": ([1.0, 2.0, 3.0], False), "7": ([8.0], True), "rum": ([9.0], True), "gin": ([1.0, 2.0], None)}
+    assert "long" not in {r.title for r in tables.read_vectors(spark, str(tmp_path), keep_other_lengths=False).collect()}
 
 
-def test_metric_log_keeps_the_last(spark, tmp_path):
-    (tmp_path / "log.json").write_text('{"a": 1}\n{"b": 2}\n{"a": 3}\n')
-    assert {r.metric: r.value for r in tables.read_metric_log(spark, str(tmp_path / "log.json")).collect()} == {"a": "3", "b": "2"}
+def test_titles_meet_vectors_by_their_names(spark):
+    vectors = spark.createDataFrame([("green_tea", [1.0])], "title string, vector array<double>")
+    concepts = spark.createDataFrame([(1, "green tea"), (2, "rum")], "article_id long, article_name string")
+    found, missed = tables.missing_titles(vectors, concepts)
+    assert [r.article_id for r in found.collect()] == [1] and [r.article_id for r in missed.collect()] == [2]
+
+
+@pytest.mark.parametrize("long_first", [True, False])
+def test_metric_log_keeps_the_last_of_all_files(spark, tmp_path, long_first):
+    filler = "".join(f'{{"other{i}": {i}}}\n' for i in range(50))
+    (tmp_path / "a-old.json").write_text((filler if long_first else "") + '{"a": 1}\n{"b": 2}\n{"a": 3}\n')
+    (tmp_path / "b-new.json").write_text(("" if long_first else filler) + '{"a": 4}\n')
+    found = {r.metric: r.value for r in tables.read_metric_log(spark, str(tmp_path)).collect()}
+    assert (found["a"], found["b"]) == ("4", "2")
+
+
+def test_parameters_are_appended(spark, tmp_path):
+    path = str(tmp_path / "log")
+    tables.append_parameters(spark, path, {"k": 8, "name": "food"})
+    assert {r.metric: r.value for r in tables.read_metric_log(spark, path).collect()} == {"k": "8", "name": "food"}
+
+
+def test_csv_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'a "quoted", name\nof two lines'), (2, None)], tables.ARTICLE)
+    tables.write_csv(rows, str(tmp_path / "c"))
+    assert tables.read_csv(spark, str(tmp_path / "c"), tables.ARTICLE, quoted_breaks=True).collect() == rows.collect()
+
+
+def test_experiment_ids(spark):
+    assert tables.next_experiment_id(spark.createDataFrame([(3,), (9,)], "experiment_id int")) == 10
+    assert tables.next_experiment_id(spark.createDataFrame([], "experiment_id int")) == 1
+
+
+def test_tables_side_by_side(spark):
+    one = spark.createDataFrame([("g", "b"), ("g", "a")], "group string, item string")
+    two = spark.createDataFrame([("g", "c"), ("h", "d")], "group string, item string")
+    rows = {(r.group, r.n): (r["item"], r["item_1"]) for r in tables.padded_side_by_side([one, two], "item").collect()}
+    assert rows == {("g", 1): ("a", "c"), ("g", 2): ("b", None), ("h", 1): (None, "d")}
+
+
+def test_members_are_padded(spark):
+    rows = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (2, None)], "g int, v string")
+    assert {r.g: r["values"] for r in labels.members(rows, "g", "v", 3).collect()} == {1: ["a", "b", ""], 2: ["", "", ""]}
+
+
+def test_dense_ids_follow_the_order(spark):
+    rows = spark.createDataFrame([(i * i % 997, f"v{i % 300}") for i in range(3000)] + [(10**15, "far"), (5, None)], "at long, v string")
+    first = {}
+    for r in sorted(rows.collect(), key=lambda r: (r["at"], r.v or "")):
+        if r.v is not None:
+            first.setdefault(r.v, len(first))
+    assert {r.v: r.label_id for r in labels.dense_ids(rows, "v", "at").collect()} == first
+
+
+def test_labels_of_one_stem_exclude_each_other(spark):
+    rows = [(0, "teas", 3.0), (0, "tea", 2.5), (1, "tea", 2.8), (0, "rum", 2.0), (1, "cake", 1.0), (1, "rums", 0.5)]
+    found = labels.exclusive_top_n(spark.createDataFrame(rows, "country int, label string, score double"), 2, distinct_stems=True)
+    assert {(r.country, r.label) for r in found.collect()} == {(0, "teas"), (0, "rum"), (1, "cake")}
 
 
 def test_sinks(spark):
@@ -175,7 +234,28 @@ def test_sinks(spark):
     assert "a&lt;b" in tables.svg(cells, titles, 2.0)
     with pytest.raises(ValueError):
         tables.svg(cells, titles, 2.0, most=0)
-    assert "<td>m</td>" in tables.html_report("r", spark.createDataFrame([("m", 1.0)], "metric string, value double"))
+    metrics = spark.createDataFrame([("m", 1.0), ("n", 2.0)], "metric string, value double")
+    assert "<td>m</td>" in tables.html_report("r", metrics)
+    with pytest.raises(ValueError):
+        tables.html_report("r", metrics, most=1)
+
+
+def test_geojson_puts_holes_into_their_outline(spark):
+    ring = [(x, y, 1) for x in range(3) for y in range(3) if (x, y) != (1, 1)]
+    cells = spatial.regions(spark.createDataFrame([*ring, (7, 7, 1)], "cx long, cy long, country int"))
+    polygons = spatial.multipolygons(spatial.outlines(spatial.borders(cells, 1.0)))
+    feature = tables.geojson(polygons, spark.createDataFrame([(1, "one")], "country int, label string")).first().feature
+    coordinates = json.loads(feature)["geometry"]["coordinates"]
+    assert sorted(len(p) for p in coordinates) == [1, 2]
+    document = json.loads(tables.feature_collection(tables.geojson(polygons, spark.createDataFrame([(1, "one")], "country int, label string"))))
+    assert document["features"][0]["properties"] == {"clusterID": 1, "label": "one"}
+
+
+def test_map_document_with_relevance(spark):
+    one = lambda value, name: spark.createDataFrame([(1, value)], f"article_id long, {name}")
+    layout = spark.createDataFrame([(1, 0.12345, -2.0)], "article_id long, x double, y double")
+    made = tables.map_document(one("tea", "article_name string"), one(10.0, "popularity double"), one(3, "country int"), layout, one(0.5, "distance double")).first().document
+    assert made == '{"Article":"tea","Popularity":10.000,"Country":3,"x":0.123,"y":-2.000,"relevance":0.500}'
 
 
 def test_popularity_stream(spark, sf, tmp_path):
