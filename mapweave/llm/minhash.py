@@ -136,7 +136,7 @@ def small_sets(k: int, r: int, percent: int) -> dict[int, tuple[list[int], int]]
 
 
 def inverted_lists(classes: DataFrame, k: int, r: int, percent: int) -> DataFrame:
-    """(value, node, n, score): classes by runs of retained values; score tells how central a class is."""
+    """(value, node, score), written: classes by runs of retained values; score tells how central a class is."""
     small = small_sets(k, r, percent)
 
     def keys(length: int) -> Column:
@@ -153,15 +153,19 @@ def inverted_lists(classes: DataFrame, k: int, r: int, percent: int) -> DataFram
     left_out = F.greatest(F.lit(0), F.when(F.col("n") <= len(small), F.element_at(least, F.least("n", F.lit(len(small))).cast("int"))).otherwise(general) - 1)
 
     postings = classes.select("node", F.col("n_shingles").alias("n"), "sketch").select("node", "n", F.explode(F.array_distinct(runs)).alias("value"))
-    often = postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    #: Written, so that Spark can split the postings of a hot value among tasks.
+    often = materialize(postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "often")
     by_node = Window.partitionBy("node", "n")
-    return (
+    lists = (
         postings.join(often, "value")
         .withColumn("place", F.row_number().over(by_node.orderBy(F.desc("df"), "value")))
         .withColumn("score", F.sum("df").over(by_node))
         .filter(F.col("place") > left_out)
-        .select("value", "node", "n", "score")
+        .select("value", "node", "score")
     )
+    lists = materialize(lists, "lists")
+    release(often)
+    return lists
 
 
 def _sizes_fit(a: str, b: str, percent: int) -> Column:
@@ -291,7 +295,7 @@ def near_duplicates(
     labels = materialize(named.groupBy("set_key").agg(F.min("doc_id").alias("node")), "labels")
     first_rows = (named["set_key"] == labels["set_key"]) & (named["doc_id"] == labels["node"])
     classes = named.join(labels, first_rows, "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "sketch")
-    lists = materialize(inverted_lists(classes, k, r, percent), "lists")
+    lists = inverted_lists(classes, k, r, percent)
     linked = F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent
     similar = F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
 

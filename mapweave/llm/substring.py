@@ -122,9 +122,10 @@ def repeated_windows(texts: DataFrame, window: int = 13, anchor: int = 5) -> Dat
     named = texts.filter("doc_id is not null")
     own = materialize(seeds(named, window, anchor), "seeds")
     each = own.select(*KEY, F.explode(F.array_distinct("anchors")).alias("anchor"))
-    shared = each.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
+    #: A written table on the side with one row a key leaves Spark free to split the hot keys of the other side.
+    shared = materialize(each.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor"), "shared")
     seeded = materialize(each.join(shared, "anchor").groupBy(*KEY).agg(F.collect_set("anchor").alias("anchors")), "seeded")
-    release(own)
+    release(own, shared)
     found = materialize(extensions(named.join(seeded, KEY).select(*KEY, "text", "anchors"), window, anchor), "extensions")
     release(seeded)
 
@@ -137,9 +138,10 @@ def repeated_windows(texts: DataFrame, window: int = 13, anchor: int = 5) -> Dat
     whole = placed.filter("prints is null").select(*KEY, "at", "n")
     single = placed.filter("prints is not null").select(*KEY, "at", "anchor", F.posexplode("prints").alias("i", "print"))
     lows = single.groupBy("anchor", "print").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor", "print", "low")
+    lows = materialize(lows, "lows")
     later = single.join(lows, ["anchor", "print"]).filter("doc_id > low").select(*KEY, (F.col("at") + F.col("i")).alias("at"), F.lit(1).alias("n"))
     repeats = materialize(whole.unionByName(later).groupBy(*KEY).agg(F.collect_set(F.struct("at", "n")).alias("places")), "repeats")
-    release(placed)
+    release(placed, lows)
     return repeats
 
 
