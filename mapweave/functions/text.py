@@ -46,7 +46,7 @@ def is_topic_category(category: Column | str) -> Column:
 
 def display_name(name: Column | str) -> Column:
     """Lower-case, trimmed, words joined by underscores."""
-    return F.regexp_replace(F.trim(F.lower(name)), " ", "_")
+    return F.regexp_replace(F.trim(F.lower(name)), r"\s+", "_")
 
 
 def wiki_links(text: Column | str) -> Column:
@@ -61,7 +61,54 @@ def cleaned(text: Column | str) -> Column:
     """Without formulas, headings, parentheses and one-letter words."""
     for pattern in (r"\{\\[^}]*\}", r"(?m)^=+[^=]*=+\s*$", r"\(.+\)", r"\b\p{L}\b"):
         text = F.regexp_replace(text, pattern, " ")
-    return F.trim(F.regexp_replace(text, r"[ \t]+", " "))
+    return F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"^\s+|\s+$", "")
+
+
+def sentences(text: Column | str) -> Column:
+    """The sentences of a text: cut after a full stop, question or exclamation mark before white space, and at blank lines."""
+    return F.filter(F.split(text, r"(?<=[.!?])\s+|\n\s*\n"), lambda x: F.length(F.trim(x)) > 0)
+
+
+def word_tokens(text: Column | str, stop: list[str] | None = None) -> Column:
+    """Words of more than one character that aren't on the list and look like neither a number nor an address, in order."""
+    words = F.split(F.lower(text), r"[\s.,;:!?()\[\]{}\"']+(?=\s|$)|\s+[(\[{\"']*|^[(\[{\"']+")
+    known = F.array(*(F.lit(w) for w in (STOP_WORDS if stop is None else stop)))
+    number, address = r"^[+-]?[0-9][0-9.,/]*%?$", r"^(https?://|www\.)|^[^\s/]+\.(com|org|net|edu|gov|io|de|fr|es)(/|$)"
+    return F.filter(words, lambda t: (F.length(t) > 1) & ~F.array_contains(known, t) & ~t.rlike(number) & ~t.rlike(address) & t.rlike(r"[\p{L}\p{N}]"))
+
+
+def list_cell(cell: Column | str) -> Column:
+    """A cell like "[1, 2]" as an array of whole numbers; null where it is no list."""
+    return F.from_json(cell, "array<int>")
+
+
+def two_words_a_line(text: Column | str) -> Column:
+    """The words of a title in lines of two."""
+    words = F.filter(F.split(F.col(text) if isinstance(text, str) else text, r"\s+"), lambda w: w != "")
+    lines = F.transform(F.sequence(F.lit(1), F.size(words), F.lit(2)), lambda i: F.array_join(F.slice(words, i, 2), " "))
+    return F.when(F.size(words) > 0, F.array_join(lines, "\n")).otherwise("")
+
+
+# English contractions and what they stand for.
+CONTRACTIONS = {"can't": "cannot", "won't": "will not", "n't": " not", "'re": " are", "'ll": " will", "'ve": " have", "'m": " am", "it's": "it is", "let's": "let us"}
+
+
+def expanded(text: Column | str) -> Column:
+    """Lower-case text with contractions written out (C20)."""
+    text = F.lower(text)
+    for short, long in CONTRACTIONS.items():
+        text = F.replace(text, F.lit(short), F.lit(long))
+    return text
+
+
+def without_accents(text: Column | str) -> Column:
+    """Letters without their accents, signs other than letters, digits and spaces removed (C20)."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.str.normalize("NFD").str.replace(r"[\u0300-\u036f]", "", regex=True)
+
+    return F.regexp_replace(run(text), r"[^\p{L}\p{N}\s]", "")
 
 
 def ngrams(words: Column | str, n: int) -> Column:

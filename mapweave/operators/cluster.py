@@ -1,4 +1,4 @@
-"""Cosine k-means and the joint clustering."""
+"""Cosine k-means and the joint clustering."""
 
 from __future__ import annotations
 
@@ -10,9 +10,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.functions.vectors import cosine_distance, euclidean, norm
+from mapweave.functions.vectors import cosine_distance, euclidean
 from mapweave.operators.labels import top_per_group
-from mapweave.runtime import materialize
+from mapweave.runtime import materialize, release
 
 
 def centroids(rows: DataFrame, vector: str = "vector", group: str = "country", damping: float = 1e-6) -> DataFrame:
@@ -87,6 +87,19 @@ def label_affinity(labels: DataFrame, countries: DataFrame) -> DataFrame:
     return shared.join(own, "article_id").filter("own > 0").select("article_id", "country", (F.col("product") / F.col("own")).alias("affinity"))
 
 
+def candidate_score(labels: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(article_id, country, affinity): sum of an article's weights for the candidate labels (country, label) of a country (K6)."""
+    own = candidates.select("country", "label").distinct()
+    return labels.join(own, "label").groupBy("article_id", "country").agg(F.sum("weight").alias("affinity"))
+
+
+def neighbour_share(neighbours: DataFrame, groups: DataFrame) -> DataFrame:
+    """(article_id, country, affinity): the part of an article's neighbours (id, other) that each country holds (K4)."""
+    size = neighbours.groupBy("id").agg(F.count("*").alias("size"))
+    held = neighbours.join(groups.select(F.col("article_id").alias("other"), "country"), "other").groupBy("id", "country").agg(F.count("*").alias("n"))
+    return held.join(size, "id").select(F.col("id").alias("article_id"), "country", (F.col("n") / F.col("size")).alias("affinity"))
+
+
 def joint_kmeans(
     rows: DataFrame,
     labels: DataFrame,
@@ -96,14 +109,20 @@ def joint_kmeans(
     label_sign: int = -1,
     max_iterations: int = 500,
     tolerance: float = 5e-5,
+    candidates: DataFrame | None = None,
+    neighbours: DataFrame | None = None,
+    two_stages: bool = False,
 ) -> DataFrame:
-    """(article_id, country, distance) of rows (article_id, vector, x, y) with labels (article_id, label, weight) (K2, K3, K5, K6).
+    """(article_id, country, distance) of rows (article_id, vector, x, y) with labels (article_id, label, weight) (K2-K7).
 
     D = cosine * (1 - plane - label) + plane distance * plane + label_sign * label distance * label. As in the reference, labels start from
     the groups of kmeans_cosine and centres from the first k rows, and a step ends with the means of its new groups, until no centre
     moves more than tolerance in L1 (an error where max_iterations aren't enough).
     plane_weight 0 gives vectors and labels only (K3), label_weight 0 vectors and the plane (K5), label_sign 1 the earlier sign
     (K2b). An article without labels is at label distance 1 from every country.
+    Instead of the label distance, candidates (country, label) give minus their summed weights (K6); neighbours (id, other) give, by label_sign 1,
+    one minus the part of an article's neighbours that kmeans_cosine put into the country (K4). With two_stages a step first assigns
+    without labels and measures label distances from the 20 best mean labels of those groups (K7).
     """
     start, _ = kmeans_cosine(rows, k, max_iterations, tolerance)
     base = materialize(rows.select("article_id", "vector", F.array("x", "y").alias("xy")), "plane")
@@ -111,18 +130,27 @@ def joint_kmeans(
     span = base.agg(F.max(F.array_max("xy")) - F.min(F.array_min("xy"))).first()[0] or 1.0
     state = materialize(start.select("article_id", "country"), "start")
     centres, flat = seeds(base, k), seeds(base, k, vector="xy")
+    fixed = materialize(candidate_score(labels, candidates) if candidates is not None else neighbour_share(neighbours, state), "affinity") if candidates is not None or neighbours is not None else None
+    far = (-F.coalesce("affinity", F.lit(0.0))) * label_weight if candidates is not None else (1 - F.coalesce("affinity", F.lit(0.0))) * (label_sign * label_weight)
+
+    def nearest(pairs: DataFrame, loss: Column) -> DataFrame:
+        best = pairs.select("article_id", F.struct(loss.alias("distance"), "country").alias("d")).groupBy("article_id").agg(F.min("d").alias("d"))
+        return materialize(best.select("article_id", F.col("d.country").alias("country"), F.col("d.distance").alias("distance")), "joint")
+
     for _ in range(max_iterations):
-        affinity = label_affinity(labels, label_vectors(labels, state))
-        pairs = base.withColumn("country", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-        pairs = pairs.join(affinity, ["article_id", "country"], "left")
         place = F.col("country") + 1
-        loss = (
-            cosine_distance("vector", F.element_at(_literal(centres), place)) * (1 - plane_weight - label_weight)
-            + euclidean("xy", F.element_at(_literal(flat), place)) / (span * 2**0.5) * plane_weight
-            + (1 - F.coalesce("affinity", F.lit(0.0))) * (label_sign * label_weight)
-        )
-        best = pairs.select("article_id", F.struct(loss.alias("distance"), "country").alias("d")).groupBy("article_id").agg(F.min("d").alias("d"))
-        state = materialize(best.select("article_id", F.col("d.country").alias("country"), F.col("d.distance").alias("distance")), "joint")
+        near = cosine_distance("vector", F.element_at(_literal(centres), place)) * (1 - plane_weight - label_weight) + euclidean("xy", F.element_at(_literal(flat), place)) / (span * 2**0.5) * plane_weight
+        pairs = base.withColumn("country", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+        before = state
+        if two_stages:
+            first = nearest(pairs, near)
+            means = top_mean_labels(labels, first.select("article_id", "country")).select("country", "label", "mean")
+            size = means.groupBy("country").agg(F.sqrt(F.sum(F.col("mean") * F.col("mean"))).alias("size"))
+            affinity = label_affinity(labels, means.join(size, "country").filter("size > 0").select("country", "label", (F.col("mean") / F.col("size")).alias("weight")))
+        else:
+            affinity = fixed if fixed is not None else label_affinity(labels, label_vectors(labels, state))
+        state = nearest(pairs.join(affinity, ["article_id", "country"], "left"), near + far)
+        release(before)
         members = base.join(state, "article_id")
         moved, flat = _means(members, centres), _means(members, flat, "xy")
         shift = _shift(centres, moved)
@@ -134,6 +162,13 @@ def joint_kmeans(
     return state
 
 
+def final_labels(labels: DataFrame, groups: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(country, label, total): of a country's candidate labels (country, label) the one with the largest sum of its members' weights (K9; ties: the first label)."""
+    sums = labels.join(groups.select("article_id", "country"), "article_id").groupBy("country", "label").agg(F.sum("weight").alias("total"))
+    held = candidates.select("country", "label").distinct().join(sums, ["country", "label"], "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+    return top_per_group(held, "country", 1, F.desc(F.round("total", 9)), F.asc("label")).select("country", "label", "total")
+
+
 def top_mean_labels(labels: DataFrame, groups: DataFrame, n: int = 20) -> DataFrame:
     """(country, label, mean, place): mean label weight over all members of a country, the best n."""
     sizes = groups.groupBy("country").agg(F.count("*").alias("members"))
@@ -141,6 +176,14 @@ def top_mean_labels(labels: DataFrame, groups: DataFrame, n: int = 20) -> DataFr
     return top_per_group(sums.withColumn("mean", F.col("total") / F.col("members")), "country", n, F.desc("mean"), F.asc("label"))
 
 
+def with_factors(rows: DataFrame, factors: DataFrame, k: int = 0, vector: str = "vector") -> DataFrame:
+    """vector followed by the label factors (article_id, factors), zeros where there are none, and with k by the country's place too."""
+    width = factors.agg(F.coalesce(F.max(F.size("factors")), F.lit(0)).alias("width"))
+    joined = rows.join(factors, "article_id", "left").crossJoin(F.broadcast(width))  # one row
+    joined = joined.withColumn("augmented", F.concat(vector, F.coalesce("factors", F.array_repeat(F.lit(0.0), F.col("width"))))).drop("factors", "width")
+    return with_one_hot(joined, k, "augmented") if k else joined
+
+
 def with_one_hot(rows: DataFrame, k: int, vector: str = "vector", group: str = "country") -> DataFrame:
     """vector followed by k places, 1 at the country's."""
     hot = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i == F.col(group)).cast("double"))
@@ -179,12 +222,6 @@ def label_svd(labels: DataFrame, k: int) -> DataFrame:
     return parts.toDF("article_id", *names).groupBy("article_id").agg(F.array(*(F.sum(n) for n in names)).alias("factors"))
 
 
-def unit(rows: DataFrame, vector: str = "vector", scale: float = 1.0) -> DataFrame:
-    """Vectors of norm `scale`; zero vectors stay."""
-    size = norm(vector)
-    return rows.withColumn(vector, F.when(size > 0, F.transform(vector, lambda x: x / size * scale)).otherwise(F.col(vector)))
-
-
 def kmeans_euclidean(rows: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """(article_id, country, distance): Spark's own k-means, with the cosine distance to the own centre (K8)."""
     points = rows.select("article_id", "vector", array_to_vector("vector").alias("features"))

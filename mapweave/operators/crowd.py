@@ -1,4 +1,4 @@
-"""Crowd-study analytics."""
+"""Crowd-study analytics."""
 
 from __future__ import annotations
 
@@ -41,8 +41,9 @@ def exposures(seen: DataFrame, keys: list[str]) -> DataFrame:
 def borda(votes: DataFrame, keys: list[str], places: int = 5) -> DataFrame:
     """votes, borda (the sum of places - rank), its mean, and the share of the group's points (A25, A26). Ranks start at 0."""
     scored = votes.groupBy(*keys).agg(F.count("*").alias("votes"), F.sum(places - F.col("rank")).cast("long").alias("borda"))
-    whole = F.sum("borda").over(Window.partitionBy(*keys[:-1])) if len(keys) > 1 else F.sum("borda").over(Window.partitionBy(F.lit(0)))
-    return scored.withColumn("avg_borda", F.col("borda") / F.col("votes")).withColumn("share", F.col("borda") / F.nullif(whole, F.lit(0)))
+    whole = scored.groupBy(*keys[:-1]).agg(F.sum("borda").alias("__whole"))
+    joined = scored.join(whole, keys[:-1]) if len(keys) > 1 else scored.crossJoin(F.broadcast(whole))  # one row
+    return joined.withColumn("avg_borda", F.col("borda") / F.col("votes")).withColumn("share", F.col("borda") / F.nullif("__whole", F.lit(0))).drop("__whole")
 
 
 def clean_labels(labels: DataFrame, exact: list[str], parts: list[str], column: str = "label") -> DataFrame:
@@ -58,11 +59,61 @@ def feature_matrix(scores: DataFrame, sources: list[str]) -> DataFrame:
     return scores.groupBy("country", "label").pivot("source", sources).agg(F.sum("score")).fillna(0.0, sources)
 
 
-def shuffled_groups(rows: DataFrame, id_col: str, size: int, rounds: int, seed: int = 11) -> DataFrame:
-    """(round, group, place, id): in each round the country's rows in a hashed order, cut into chunks."""
+def _hashed(*parts: Column | str) -> Column:
+    return F.md5(F.concat_ws("|", *parts))
+
+
+def shuffled_groups(rows: DataFrame, id_col: str, size: int, rounds: int, seed: int = 11, decoys: list[int] | None = None) -> DataFrame:
+    """(country, round, group, place, id): in each round the country's rows in a hashed order, cut into chunks.
+
+    With decoys every chunk has one of them, at a hashed place, among size - 1 rows; a chunk that is short is filled up with rows from the
+    start of the order.
+    """
     turn = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    order = Window.partitionBy("country", "round").orderBy(F.xxhash64(id_col, "round", F.lit(seed)), id_col)
-    return turn.withColumn("n", F.row_number().over(order) - 1).select("country", "round", F.floor(F.col("n") / size).alias("group"), (F.col("n") % size).alias("place"), id_col)
+    order = Window.partitionBy("country", "round").orderBy(_hashed(F.col(id_col).cast("string"), F.col("round").cast("string"), F.lit(str(seed))), id_col)
+    own = size - 1 if decoys else size
+    placed = turn.withColumn("n", F.row_number().over(order) - 1)
+    if not decoys:
+        return placed.select("country", "round", F.floor(F.col("n") / size).alias("group"), (F.col("n") % size).alias("place"), id_col)
+    sizes = placed.groupBy("country", "round").agg(F.count("*").alias("all"))
+    short = F.pmod(-F.col("all"), F.lit(own))
+    filled = placed.join(sizes, ["country", "round"])
+    filled = filled.select("country", "round", "n", id_col).unionByName(filled.filter(F.col("n") < F.least(short, "all")).select("country", "round", (F.col("n") + F.col("all")).alias("n"), id_col))
+    filled = filled.withColumn("group", F.floor(F.col("n") / own))
+    number = lambda what: F.conv(F.substring(_hashed(F.col("country").cast("string"), F.col("round").cast("string"), F.col("group").cast("string"), F.lit(what)), 1, 6), 16, 10).cast("long")
+    at = number("place") % size
+    inside = filled.withColumn("p", F.col("n") % own).select("country", "round", "group", (F.col("p") + F.when(F.col("p") >= at, 1).otherwise(0)).alias("place"), F.col(id_col).cast("long").alias(id_col))
+    extra = filled.select("country", "round", "group").distinct()
+    chosen = F.element_at(F.array(*(F.lit(d).cast("long") for d in decoys)), (number("decoy") % len(decoys) + 1).cast("int"))
+    return inside.unionByName(extra.select("country", "round", "group", at.alias("place"), chosen.alias(id_col)))
+
+
+def top_voted(votes: DataFrame, keys: list[str], blacklist: list[str], n: int = 10) -> DataFrame:
+    """(keys, label, points, place): the n labels with the most points that aren't on the list."""
+    points = votes.filter(~F.col("label").isin(blacklist)).groupBy(*keys, "label").agg(F.sum("points").alias("points"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("points"), "label"))
+    return points.withColumn("place", place).filter(F.col("place") <= n)
+
+
+def unit_tf_idf(labels: DataFrame, articles: DataFrame) -> DataFrame:
+    """(project, cluster, label, tfidf) of labels and articles (project, cluster, article) by study unit.
+
+    Labels meet the articles of their unit many to many (J21): tf is the label's part of the unit's pairs, with one more, idf the log of
+    the project's articles over the label's pairs and ten.
+    """
+    unit = ["project", "cluster"]
+    pairs = labels.join(articles, unit)
+    base = pairs.groupBy(*unit, "label").agg(F.count("*").alias("clc"))
+    ncl = base.groupBy(*unit).agg(F.sum("clc").alias("ncl"))
+    lc = base.groupBy("label").agg(F.sum("clc").alias("lc"))
+    n = articles.groupBy("project").agg(F.count_distinct("article").alias("n"))
+    joined = base.join(ncl, unit).join(lc, "label").join(n, "project")
+    return joined.select(*unit, "label", (F.col("clc") / (F.col("ncl") + 1) * F.log(F.col("n") / (F.col("lc") + 10))).alias("tfidf"))
+
+
+def training_rows(vectors: DataFrame, clusters: DataFrame, gold: DataFrame) -> DataFrame:
+    """Vectors with their country and its first gold label."""
+    return vectors.join(clusters.select("article_id", "country"), "article_id").join(gold.select("country", "label"), "country")
 
 
 def with_source_flags(rows: DataFrame, sources: dict[str, DataFrame], key: str) -> DataFrame:

@@ -139,3 +139,29 @@ def dense_ids(values: DataFrame, column: str, *first_seen: str) -> DataFrame:
     before = sizes.join(F.broadcast(lower), F.col("lower") < F.col("range"), "left").groupBy("range").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before"))  # a row for each task
     place = F.row_number().over(Window.partitionBy("range").orderBy("seen", column))
     return ranged.withColumn("place", place).join(F.broadcast(before), "range").select(column, (F.col("before") + F.col("place") - 1).alias("label_id"))
+
+
+def document_tfidf(counts: DataFrame, n_documents: DataFrame, top: int = 100) -> DataFrame:
+    """TF-IDF of (doc_id, token, tf): tf * log2(N / df), L2-normalised per document, the best `top` tokens.
+
+    Weights are ranked at nine digits, so that sums in another order don't change places.
+    """
+    df = counts.groupBy("token").agg(F.count("*").alias("df"))
+    weighted = counts.join(df, "token").crossJoin(F.broadcast(n_documents))  # one row
+    weighted = weighted.withColumn("w", F.col("tf") * F.log2(F.col("n_documents") / F.col("df"))).filter("w > 1e-12")
+    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
+    return top_per_group(weighted.withColumn("tfidf", F.col("w") / size), "doc_id", top, F.desc(F.round("tfidf", 9)), F.asc("token"))
+
+
+def expanded_categories(own: DataFrame, parents: DataFrame, levels: int) -> DataFrame:
+    """(article_id, category, level): an article's categories and their parents up to `levels` above.
+
+    own is (article_id, category), parents (category, parent). The hierarchy is joined once for each distinct category and level.
+    """
+    tops = own.select("category").distinct().withColumn("top", F.col("category")).withColumn("level", F.lit(0))
+    last = tops
+    for level in range(1, levels + 1):
+        above = parents.select(F.col("category").alias("top"), F.col("parent"))
+        last = last.join(above, "top").select("category", F.col("parent").alias("top"), F.lit(level).alias("level")).distinct()
+        tops = tops.unionByName(last)
+    return own.join(tops, "category").select("article_id", F.col("top").alias("category"), "level").distinct()

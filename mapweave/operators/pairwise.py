@@ -81,17 +81,16 @@ def ranks(pairs: DataFrame, rows: DataFrame, metric: str = "euclidean") -> DataF
     queries = rows.join(asked, "id")
 
     def task(a, b):
-        d = distances(a["vector"], b["vector"], metric)
-        same = a["id"][:, None] == b["id"][None, :]
-        out: dict[str, list] = {"id": [], "other": [], "before": []}
-        for i in range(len(d)):
-            own = distances(a["vector"][i : i + 1], np.array([list(x) for x in a["fars"][i]], float), metric)[0]
-            for other, dist in zip(a["others"][i], own, strict=True):
-                closer = ((d[i] < dist) | ((d[i] == dist) & (b["id"] < other))) & ~same[i] & (b["id"] != other)
-                out["id"].append(int(a["id"][i]))
-                out["other"].append(int(other))
-                out["before"].append(int(closer.sum()))
-        return out
+        ids, others = np.repeat(a["id"], [len(x) for x in a["others"]]), np.concatenate([np.array(x) for x in a["others"]])
+        own = np.repeat(np.arange(len(a["id"])), [len(x) for x in a["others"]])
+        fars = np.array([list(v) for x in a["fars"] for v in x], float)
+        d, before = distances(a["vector"], b["vector"], metric), np.zeros(len(ids), np.int64)
+        for at in range(0, len(ids), 256):
+            part = slice(at, at + 256)
+            asked = np.array([distances(a["vector"][i : i + 1], v[None], metric)[0, 0] for i, v in zip(own[part], fars[part], strict=True)])[:, None]
+            rest = (b["id"][None] != ids[part, None]) & (b["id"][None] != others[part, None])
+            before[part] = (((d[own[part]] < asked) | ((d[own[part]] == asked) & (b["id"][None] < others[part, None]))) & rest).sum(axis=1)
+        return {"id": ids, "other": others, "before": before}
 
     found = _over_blocks(queries, rows, task, "id long, other long, before long", ["others", "fars"], [])
     return found.groupBy("id", "other").agg((F.sum("before") + 1).alias("rank"))

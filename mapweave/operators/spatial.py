@@ -1,4 +1,4 @@
-"""Map geometry (G1-G3, G5, G6, G8-G11): boxes, water, regions on a raster, elevation and outlines.
+"""Map geometry (G1-G11): boxes, water, regions on a raster, elevation and outlines.
 
 The plane is cut into square cells and each cell belongs to the country of its nearest site. So borders are cell edges,
 regions are connected cells, and outlines are closed by construction.
@@ -6,11 +6,14 @@ regions are connected cells, and outlines are closed by construction.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.operators.graph import connected_components
+from mapweave.operators.plane import nearest_in_plane
 from mapweave.runtime import materialize, release
 
 
@@ -32,20 +35,58 @@ def water_rings(box: DataFrame, rings: int = 5, step: float = 1.0, apart: float
     return sides[0].unionByName(sides[1]).unionByName(sides[2]).unionByName(sides[3]).distinct()
 
 
-def denoised(points: DataFrame, edges: DataFrame, k: int, steps: int = 10) -> DataFrame:
+def random_water(points: DataFrame, box: DataFrame, share: float = 0.2, shape: float = 0.8, seed: int = 5) -> DataFrame:
+    """(x, y): a share as many points as there are, at Beta(shape, shape) places along both sides of the box, alike on every run.
+
+    A place is drawn by Johnk's method: of 24 pairs of hashed numbers the first that is accepted counts.
+    """
+    u = lambda axis, i, side: (F.pmod(F.xxhash64("n", F.lit(axis), i, F.lit(side), F.lit(seed)), F.lit(1 << 40)) + 1) / float(1 << 40)
+
+    def draw(axis: str) -> Column:
+        pair = lambda i: F.struct(F.pow(u(axis, i, 0), 1 / shape).alias("a"), F.pow(u(axis, i, 1), 1 / shape).alias("b"))
+        good = F.filter(F.transform(F.sequence(F.lit(1), F.lit(24)), pair), lambda p: p["a"] + p["b"] <= 1)
+        return F.coalesce(F.get(F.transform(good, lambda p: p["a"] / (p["a"] + p["b"])), F.lit(0)), F.lit(0.5))
+
+    counted = points.agg(F.floor(F.count("*") * share).cast("long").alias("n")).filter("n > 0")
+    rows = counted.crossJoin(F.broadcast(box)).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n"))))  # one row each
+    along = lambda a, b, axis: F.col(a) + (F.col(b) - F.col(a)) * draw(axis)
+    return rows.select(along("x0", "x1", "x").alias("x"), along("y0", "y1", "y").alias("y"))
+
+
+def with_water(points: DataFrame, box: DataFrame, water: int, share: float = 0.2, rings: int = 5) -> DataFrame:
+    """points (x, y, country) with the box's rings and random places as a country of its own number."""
+    own = points.select("x", "y", "country")
+    sea = water_rings(box, rings).select("x", "y").unionByName(random_water(points, box, share))
+    return own.unionByName(sea.withColumn("country", F.lit(water).cast(own.schema["country"].dataType)))
+
+
+def denoised(points: DataFrame, edges: DataFrame, tau: float = 10.0, steps: int = 35) -> DataFrame:
     """Points (id, x, y, country) whose diffused country signal is strongest in their own country.
 
-    A one-hot signal is averaged over neighbours and self, `steps` times, by joins on the edges.
+    edges (u, v, weight) have distances, which become affinities exp(-(d / mean d)**2). One-hot signals go through the heat kernel
+    exp(-tau * L / m) of the graph's Laplacian L, m being the bound max(d_u + d_v) of its largest eigenvalue: the sum of
+    exp(-tau) tau**i / i! * (1 - L / m)**i. A term is a join on the edges; those beyond `steps` weigh less than 1e-9 for tau = 10.
     """
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).unionByName(points.select(F.col("id").alias("u"), F.col("id").alias("v")))
-    both = materialize(both.distinct(), "neighbours")
-    signal = points.select(F.col("id").alias("v"), F.col("country").alias("c"), F.lit(1.0).alias("s"))
-    degree = both.groupBy("u").agg(F.count("*").alias("d"))
+    mean = edges.agg(F.avg("weight").alias("mean"))
+    near = edges.filter("u <> v").crossJoin(F.broadcast(mean)).withColumn("w", F.when(F.col("mean") > 0, F.exp(-F.pow(F.col("weight") / F.col("mean"), 2))).otherwise(1.0))  # one row
+    both = materialize(near.select("u", "v", "w").unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")), "neighbours")
+    degree = both.groupBy("u").agg(F.sum("w").alias("d"))
+    other = degree.select(F.col("u").alias("v"), F.col("d").alias("e"))
+    most = both.join(degree, "u").join(other, "v").agg(F.max(F.col("d") + F.col("e"))).first()[0] or 1.0
+    around = materialize(points.select(F.col("id").alias("u")).join(degree, "u", "left").select("u", (1 - F.coalesce("d", F.lit(0.0)) / most).alias("stay")), "degrees")
+    terms = [points.select(F.col("id").alias("u"), F.col("country").alias("c"), F.lit(1.0).alias("s"))]
     for _ in range(steps):
-        spread = both.join(signal, "v").groupBy("u", "c").agg(F.sum("s").alias("s")).join(degree, "u")
-        signal = materialize(spread.select(F.col("u").alias("v"), "c", (F.col("s") / F.col("d")).alias("s")), "signal")
-    best = signal.groupBy("v").agg(F.max_by("c", F.struct("s", -F.col("c"))).alias("best"))
-    return points.join(best, points["id"] == best["v"]).filter("best = country").drop("v", "best")
+        moved = both.join(terms[-1], "u").select(F.col("v").alias("u"), "c", (F.col("s") * F.col("w") / most).alias("s"))
+        kept = terms[-1].join(around, "u").select("u", "c", (F.col("s") * F.col("stay")).alias("s"))
+        terms.append(materialize(moved.unionByName(kept).groupBy("u", "c").agg(F.sum("s").alias("s")).filter("s > 1e-15"), "term"))
+    weight, heat = math.exp(-tau), None
+    for i, term in enumerate(terms):
+        weighed = term.withColumn("s", F.col("s") * weight)
+        heat, weight = weighed if heat is None else heat.unionByName(weighed), weight * tau / (i + 1)
+    heat = materialize(heat.groupBy("u", "c").agg(F.sum("s").alias("s")), "heat")
+    release(*terms, both, around)
+    best = heat.groupBy("u").agg(F.max_by("c", F.struct(F.round("s", 12), -F.col("c"))).alias("best"))
+    return points.join(best, points["id"] == best["u"]).filter("best = country").drop("u", "best")
 
 
 def raster(points: DataFrame, size: float) -> DataFrame:
@@ -55,25 +96,21 @@ def raster(points: DataFrame, size: float) -> DataFrame:
     return counts.groupBy("cx", "cy").agg(F.max_by("country", F.struct("n", -F.col("country"))).alias("country"))
 
 
-def voronoi_cells(points: DataFrame, size: float, reach: int = 4, max_rounds: int = 64) -> DataFrame:
-    """(cx, cy, country): cells within `reach` cells of a point take the country of the nearest cell with points.
-
-    Sites spread by one cell a round; a cell keeps its nearest site (ties: the lowest country), so a round is one aggregation.
-    """
-    state = raster(points, size).select("cx", "cy", F.col("cx").alias("sx"), F.col("cy").alias("sy"), "country")
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    for _ in range(min(reach, max_rounds)):
-        grown = state.select("*", F.explode(steps).alias("s")).select((F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), "sx", "sy", "country")
-        far = (F.col("cx") - F.col("sx")) ** 2 + (F.col("cy") - F.col("sy")) ** 2
-        best = grown.groupBy("cx", "cy").agg(F.min(F.struct(far.alias("d"), "country", "sx", "sy")).alias("b"))
-        state = materialize(best.select("cx", "cy", "b.sx", "b.sy", "b.country"), "cells")
-    return state.select("cx", "cy", "country")
-
-
 def _cell_id(x: Column, y: Column) -> Column:
     return (x + (1 << 30)) * (1 << 31) + y + (1 << 30)
 
 
+def voronoi_cells(points: DataFrame, size: float, box: DataFrame) -> DataFrame:
+    """(cx, cy, country): every cell of the box (one row: x0, x1, y0, y1) with the country of the nearest cell that holds points (ties: the lowest country)."""
+    sites = raster(points, size).withColumn("id", _cell_id(F.col("cx"), F.col("cy")))
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
+    cells = box.select("y0", "y1", span("x0", "x1").alias("cx")).repartition("cx").select("cx", span("y0", "y1").alias("cy"))
+    cells = cells.withColumn("id", _cell_id(F.col("cx"), F.col("cy")))
+    near = nearest_in_plane(sites.select("id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("country").alias("tie")), 1, cells.select("id", F.col("cx").alias("x"), F.col("cy").alias("y")))
+    placed = near.select("id", "other").join(sites.select(F.col("id").alias("other"), "country"), "other").select("id", "country")
+    return cells.join(placed, "id").select("cx", "cy", "country")
+
+
 def regions(cells: DataFrame) -> DataFrame:
     """(cx, cy, country, region): connected cells of one country, by sides; the region is its smallest cell's number."""
     named = materialize(cells.select("cx", "cy", "country", _cell_id(F.col("cx"), F.col("cy")).alias("cell")), "named")
@@ -177,12 +214,25 @@ def palette(height: Column, country: Column, countries: int) -> Column:
     return F.format_string("hsl(%d, 60%%, %d%%)", (country * 360 / countries).cast("int"), F.least(F.lit(85), (35 + height * 50).cast("int")))
 
 
-def noisy(edges: DataFrame, amount: float, seed: int = 7) -> DataFrame:
-    """Border edges split at a middle that is moved by up to `amount` of their length, alike from both sides."""
-    low = F.struct(F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"))
-    u = F.pmod(F.xxhash64(low, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20) * 2 - 1
-    mx = (F.col("x1") + F.col("x2")) / 2 + F.abs(F.col("y2") - F.col("y1")) * u * amount
-    my = (F.col("y1") + F.col("y2")) / 2 + F.abs(F.col("x2") - F.col("x1")) * u * amount
-    halves = F.array(F.struct(F.col("x1").alias("x1"), F.col("y1").alias("y1"), mx.alias("x2"), my.alias("y2")), F.struct(mx.alias("x1"), my.alias("y1"), F.col("x2").alias("x2"), F.col("y2").alias("y2")))
-    return edges.select("region", "country", F.explode(halves).alias("h")).select("region", "country", "h.*")
+def noisy(edges: DataFrame, amount: float, seed: int = 7, rounds: int = 4) -> DataFrame:
+    """Border edges halved `rounds` times at middles that are moved by up to `amount` of an edge's length, alike from both sides.
 
+    A middle is moved across its edge by a hash of the edge's ends in a fixed order, so that neighbours keep their common border.
+    """
+    end = lambda s, i: F.struct(s[f"x{i}"].alias("x"), s[f"y{i}"].alias("y"))
+
+    def halves(s: Column) -> Column:
+        a, b = end(s, 1), end(s, 2)
+        forward = a < b
+        u = F.pmod(F.xxhash64(F.least(a, b), F.greatest(a, b), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20) * 2 - 1
+        across = F.when(forward, u).otherwise(-u) * amount
+        # written so that both sides add the same numbers in the same order
+        mx = (F.least(s["x1"], s["x2"]) + F.greatest(s["x1"], s["x2"])) / 2 - (s["y2"] - s["y1"]) * across
+        my = (F.least(s["y1"], s["y2"]) + F.greatest(s["y1"], s["y2"])) / 2 + (s["x2"] - s["x1"]) * across
+        part = lambda x1, y1, x2, y2: F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+        return F.array(part(s["x1"], s["y1"], mx, my), part(mx, my, s["x2"], s["y2"]))
+
+    parts = F.array(F.struct("x1", "y1", "x2", "y2"))
+    for _ in range(rounds):
+        parts = F.flatten(F.transform(parts, halves))
+    return edges.select("region", "country", F.inline(parts))

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mapweave.functions.text import category_name, content_tokens, display_name, is_article_title, is_topic_category, merged_phrases, ngrams, tokens
+from mapweave.functions.text import category_name, content_tokens, display_name, is_article_title, is_topic_category, tokens
 from mapweave.operators import labels as L
 from mapweave.operators import topics
-from mapweave.plans.registry import SQL_LABELS, article_labels, article_tokens, countries, query, r6, table
+from mapweave.operators.cluster import label_svd
+from mapweave.plans.registry import SQL_LABELS, article_labels, article_tokens, countries, query, r6, table, vectors
+from mapweave.runtime import materialize
 from mapweave.sources.tables import latest_metrics, map_document, page_links as links_of, page_titles as titles_of
 from mapweave.streaming.popularity import windowed_popularity
 
+_V = "v as (select vec_id as id, embedding::double[] as e, label as country from embeddings where embedding is not null)"
 _TITLES = "select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages"
 _MONTHS = "['list','january','february','march','april','may','june','july','august','september','october','november','december']"
 
@@ -109,13 +112,9 @@ s as (select doc_id, token, w / sqrt(sum(w * w) over (partition by doc_id)) as t
 r as (select *, row_number() over (partition by doc_id order by round(tfidf, 9) desc, token) as place from s)
 select doc_id, token, round(tfidf, 6) as tfidf, place::int as place from r where place <= 100""")
 def doc_tfidf_top100(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A10, T6. Weights are ranked at nine digits, so that sums in another order don't change places."""
+    """A10, T6."""
     n = table(spark, sf_dir, "documents").agg(F.count("*").cast("double").alias("n_documents"))
-    counts = _token_counts(spark, sf_dir)
-    df = counts.groupBy("token").agg(F.count("*").alias("df"))
-    w = counts.join(df, "token").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * F.log2(F.col("n_documents") / F.col("df"))).filter("w > 1e-12")  # one row
-    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    ranked = L.top_per_group(w.withColumn("tfidf", F.col("w") / size), "doc_id", 100, F.desc(F.round("tfidf", 9)), F.asc("token"))
+    ranked = L.document_tfidf(_token_counts(spark, sf_dir), n)
     return ranked.select("doc_id", "token", r6("tfidf").alias("tfidf"), "place")
 
 
@@ -126,32 +125,45 @@ ab as (select a, b, count(*) as n from p where b is not null group by 1, 2 havin
 s as (select ab.a, ab.b, ab.n, (ab.n - 10) * v / (ua.n * ub.n) as score from ab join u ua on ua.word = ab.a join u ub on ub.word = ab.b cross join v)"""
 
 
-def _bigrams(spark: SparkSession, sf_dir: str, least: int = 10) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("w"))
-    single = words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n1"))
-    size = single.agg(F.count("*").cast("double").alias("v"))
-    pairs = words.select(F.explode(ngrams("w", 2)).alias("ab")).groupBy("ab").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    pairs = pairs.withColumn("a", F.split("ab", " ")[0]).withColumn("b", F.split("ab", " ")[1])
-    joined = pairs.join(single.select(F.col("word").alias("a"), F.col("n1").alias("na")), "a").join(single.select(F.col("word").alias("b"), F.col("n1").alias("nb")), "b")
-    score = (F.col("n") - least) * F.col("v") / (F.col("na") * F.col("nb"))
-    return joined.crossJoin(F.broadcast(size)).select("a", "b", "n", score.alias("score"))  # one row
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("w"))
 
 
 @query(f"with {_BIGRAMS} select a, b, n, round(score, 6) as score from s")
 def bigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bigrams seen ten times or more."""
-    return _bigrams(spark, sf_dir).withColumn("score", r6("score"))
+    return topics.collocations(_words(spark, sf_dir), 10, -1.0).withColumn("score", r6("score"))
 
 
-@query()
+def _merged_sql(source: str, out: str, least: int) -> str:
+    """Greedy joining from the left: of an unbroken row of pairs that are phrases the first, third and so on are joined."""
+    return f"""{out}_p as (select doc_id, i, w[i] as a, w[i + 1] as b from {source}, unnest(generate_series(1, len(w))) as t(i)),
+{out}_u as (select a as word, count(*) as n from {out}_p group by 1), {out}_v as (select count(*)::double as v from {out}_u),
+{out}_g as (select a, b from (select a, b, count(*) as n from {out}_p where b is not null group by 1, 2 having count(*) >= {least}) ab join {out}_u ua on ua.word = a join {out}_u ub on ub.word = b cross join {out}_v where (ab.n - {least}) * v / (ua.n * ub.n) > 10),
+{out}_m as (select p.*, g.a is not null as good from {out}_p p left join {out}_g g on p.a = g.a and p.b = g.b),
+{out}_k as (select *, case when good then row_number() over (partition by doc_id, good order by i) - i end as island from {out}_m),
+{out}_h as (select *, good and (i - min(i) over (partition by doc_id, island)) % 2 = 0 as joins from {out}_k),
+{out}_t as (select doc_id, i, case when joins then a || '_' || b else a end as word, coalesce(lag(joins) over (partition by doc_id order by i), false) as taken from {out}_h),
+{out} as (select s.doc_id, coalesce(x.w, []::varchar[]) as w from {source} s left join (select doc_id, list(word order by i) as w from {out}_t where not taken group by 1) x using (doc_id))"""
+
+
+@query(f"with {_SEQ}, {_merged_sql('t', 'once', 30)}, {_merged_sql('once', 'twice', 10)} select doc_id, array_to_string(w, ' ') as text from twice")
 def phrase_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with their collocations joined. A document only carries the phrases that it holds."""
-    words = table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("w"))
-    good = _bigrams(spark, sf_dir).filter("score > 10").select(F.concat_ws(" ", "a", "b").alias("ab"))
-    held = words.select("doc_id", F.explode(F.array_distinct(ngrams("w", 2))).alias("ab")).join(good, "ab").groupBy("doc_id").agg(F.collect_set("ab").alias("phrases"))
-    none = F.array().cast("array<string>")
-    merged = merged_phrases("w", F.coalesce("phrases", none))
-    return words.join(held, "doc_id", "left").select("doc_id", F.array_join(F.when(F.col("phrases").isNull(), F.col("w")).otherwise(merged), " ").alias("text"))
+    """A first pass with pairs seen 30 times, a second over its result with ten."""
+    once = materialize(topics.with_phrases(_words(spark, sf_dir), 30), "phrases")
+    return topics.with_phrases(once, 10).select("doc_id", F.array_join("w", " ").alias("text"))
+
+
+@query(f"""with {_SEQ}, c as (select doc_id, list_filter(w, lambda x: length(x) > 2) as w from t), n as (select count(*)::double as n from c),
+g as (select doc_id, i - 1 as first, length as length, array_to_string(w[i : i + length - 1], ' ') as phrase from c, unnest(generate_series(1, len(w))) as p(i), unnest([1, 2, 3]) as q(length) where i + length - 1 <= len(w)),
+f as (select doc_id, phrase, length, count(*) as tf from g group by all having count(*) >= 4 and min(first) < 200), z as (select doc_id, sum(tf) as a, sum(case when length > 1 then tf else 0 end) as l from f group by 1),
+d as (select word as phrase, count(distinct doc_id) as df from (select doc_id, unnest(w) as word from c) group by 1),
+s as (select doc_id, phrase, tf * log2(n / case when length > 1 then 1 else df end) * case when length > 1 then least(3.0, a / (l * 2.3::double)) else 1.0 end as score from f join z using (doc_id) left join d using (phrase) cross join n),
+r as (select *, row_number() over (partition by doc_id order by round(score, 9) desc, phrase) as place from s) select doc_id, phrase, round(score, 6) as score, place::int as place from r where place <= 10""")
+def kp_miner_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X4."""
+    words = table(spark, sf_dir, "documents").select("doc_id", content_tokens("text", 3, [""]).alias("w"))
+    return topics.kp_miner(words).withColumn("score", r6("score"))
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,27 +228,64 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(spark, sf_dir).select("country", "label", L.tf_idf().alias("score"))
 
 
-@query()
+def _exclusive_sql(n: int, blacklist: str = "''") -> str:
+    """The sequential choice: in each step the best row whose label is free and whose country has room."""
+    return f"""with recursive {SQL_LABELS}, s as materialized (select country, label, clc / ncl * ln(na / (lcp + 10)) as score from counts where label not in ({blacklist})),
+pick(k, country, label, score, used, full_) as (select 0, null::int, null::varchar, null::double, []::varchar[], []::int[]
+  union all select p.k + 1, b.best.country, b.best.label, b.best.score, list_append(p.used, b.best.label), list_append(p.full_, b.best.country)
+  from pick p, lateral (select arg_min({{'country': country, 'label': label, 'score': score}}, (-score, label, country)) as best from s
+    where not list_contains(p.used, s.label) and len(list_filter(p.full_, lambda x: x = s.country)) < {n}) b where b.best is not null)
+select country, label, round(score, 6) as score from pick where k > 0"""
+
+
+@query(_exclusive_sql(10))
 def label_exclusive_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten labels a country, none twice."""
     return L.exclusive_top_n(_scored(spark, sf_dir), 10).withColumn("score", r6("score"))
 
 
-@query()
+@query(_exclusive_sql(1, "'the', 'and'"))
 def label_best_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4, with a blacklist."""
     return L.exclusive_top_n(_scored(spark, sf_dir), 1, blacklist=["the", "and"]).withColumn("score", r6("score"))
 
 
+@query()
+def label_union_by_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five labels a country by tf-idf and five by PMI, no stem twice in either, equal rows once."""
+    counts = _counts(spark, sf_dir)
+    chosen = [L.exclusive_top_n(counts.select("country", "label", score.alias("score")), 5, distinct_stems=True).select("country", "label") for score in (L.tf_idf_smoothed(), L.pmi())]
+    return chosen[0].unionByName(chosen[1]).distinct()
+
+
+@query("select l_orderkey, l_linenumber, count(*) over (partition by l_partkey) as label_count from lineitem")
+def label_id_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3b."""
+    return L.rows_per(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey").select("l_orderkey", "l_linenumber", "label_count")
+
+
+@query("""with m as (select label as country, vec_id::varchar as v from embeddings), c as (select country, list(distinct v order by v) as l from m group by 1)
+select country, array_to_string(l, '|') || repeat('|', greatest(0, 600 - len(l))::int) as members from c""")
+def country_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Padded to 600."""
+    return L.members(countries(spark, sf_dir), "country", "article_id", 600).select("country", F.array_join("values", "|").alias("members"))
+
+
+@query(f"""with t as (select page_id, title from ({_TITLES}) order by page_id limit 100) select page_id, title from t where not regexp_matches(title, '[0-9]{{4}} ') and not regexp_matches(title, '[0-9]$')
+and not contains(title, 'Category') and not list_has_any(regexp_split_to_array(lower(title), '\\s+'), {_MONTHS})""")
+def title_filter_of_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the first hundred titles, and then the filter."""
+    return titles_of(table(spark, sf_dir, "pages")).orderBy("page_id").limit(100).filter(is_article_title("title"))
+
+
 @query("""select c.c_custkey as article_id, n.n_name as category, 0 as level from customer c join nation n on c.c_nationkey = n.n_nationkey
 union select c.c_custkey, r.r_name, 1 from customer c join nation n on c.c_nationkey = n.n_nationkey join region r on n.n_regionkey = r.r_regionkey""")
 def category_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A category and its parents; the hierarchy is joined once for each distinct category."""
+    """A category and its parents, one level up."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    own = nation.select("n_nationkey", F.col("n_name").alias("category"), F.lit(0).alias("level"))
-    parents = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select("n_nationkey", F.col("r_name").alias("category"), F.lit(1).alias("level"))
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("article_id"), F.col("c_nationkey").alias("n_nationkey"))
-    return customers.join(own.unionByName(parents), "n_nationkey").select("article_id", "category", "level").distinct()
+    parents = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(F.col("n_name").alias("category"), F.col("r_name").alias("parent"))
+    own = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("article_id"), F.col("n_name").alias("category"))
+    return L.expanded_categories(own, parents, 1)
 
 
 @query("""with c as (select p_partkey, 'Category:Types of ' || p_type || case when p_size % 3 = 0 then ' by ' || p_brand else '' end as category from part)
@@ -276,7 +325,7 @@ def combined_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.join(L.dense_ids(both, "label", "article_id"), "label").groupBy("article_id", "label_id").agg(F.count("*").alias("n"))
 
 
-@query("select distinct replace(trim(lower(p_type)), ' ', '_') as label, p_brand as source from part")
+@query("select distinct regexp_replace(trim(lower(p_type)), '\\s+', '_', 'g') as label, p_brand as source from part")
 def distinct_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U3, F19, C10."""
     return table(spark, sf_dir, "part").select(display_name("p_type").alias("label"), F.col("p_brand").alias("source")).dropDuplicates()
@@ -308,12 +357,29 @@ def merged_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(names, "article_id").join(countries(spark, sf_dir), "article_id").select("article_id", text.alias("document"))
 
 
-@query()
-def map_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J4, S10, F18."""
+def _document_sql(more: str = "", joins: str = "") -> str:
+    short = lambda x: f"({x})::decimal(18,3)::varchar"
+    return f"""with {_V}, p as ({_popularity_sql(365)}) select p.article_id, '{{"Article":"' || c_name || '","Popularity":' || {short("popularity")} || ',"Country":' || country::varchar || ',"x":' || {short("e[1]")} || ',"y":' || {short("e[2]")}{more} || '}}' as document
+from p join customer on c_custkey = p.article_id join v on v.id = p.article_id{joins}"""
+
+
+def _map_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("article_id"), F.col("c_name").alias("article_name"))
-    layout = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("article_id"), F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
-    return map_document(names, _popularity(spark, sf_dir, 365), countries(spark, sf_dir), layout)
+    return names, _popularity(spark, sf_dir, 365), countries(spark, sf_dir), vectors(spark, sf_dir).select("article_id", "x", "y")
+
+
+@query(_document_sql())
+def map_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4, S10, C17."""
+    return map_document(*_map_tables(spark, sf_dir))
+
+
+@query(_document_sql(""" || ',"relevance":' || (o_totalprice / 1000000)::decimal(18,3)::varchar""", " join orders on o_orderkey = p.article_id"))
+def map_documents_with_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order totals stand in for distances; articles without one have no field and are left out here."""
+    far = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("article_id"), (F.col("o_totalprice") / 1000000).alias("distance"))
+    names, *others = _map_tables(spark, sf_dir)
+    return map_document(names.join(far, "article_id", "left_semi"), *others, relevance=far)
 
 
 @query("select event_type as metric, arg_max(value, event_id) as value from events where value is not null group by 1")
@@ -333,11 +399,32 @@ def lda_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     shares = e.select(F.col("vec_id").alias("doc_id"), F.inline(F.array(F.struct((F.col("label") % 3).alias("topic"), F.lit(0.75).alias("prob")), F.struct(((F.col("label") + 1) % 3).alias("topic"), F.lit(0.25).alias("prob")))))
     words = _counts(spark, sf_dir).groupBy((F.col("country") % 3).alias("topic"), F.col("label").alias("word")).agg(F.sum("clc").cast("double").alias("n"))
-    words = words.withColumn("q", F.col("n") / F.sum("n").over(Window.partitionBy("topic")))
-    top = L.top_per_group(words, "topic", 150, F.desc("q"), F.asc("word")).select("topic", "word", "q")
-    mixed = shares.join(top, "topic").groupBy("doc_id", "word").agg(F.sum(F.col("prob") * F.col("q")).alias("prob"))
-    best = L.top_per_group(mixed, "doc_id", 100, F.desc(F.round("prob", 12)), F.asc("word"))
-    return best.select("doc_id", "word", F.round("prob", 9).alias("prob"), "place")
+    sizes = words.groupBy("topic").agg(F.sum("n").alias("size"))
+    words = words.join(sizes, "topic").withColumn("prob", F.col("n") / F.col("size"))
+    top = L.top_per_group(words, "topic", 150, F.desc("prob"), F.asc("word")).select("topic", "word", "prob")
+    return topics.lda_mixture(shares, top).select("doc_id", "word", F.round("prob", 9).alias("prob"), "place")
+
+
+@query("""with s as (select vec_id as doc_id, i - 1 as topic, embedding[i]::double as prob from embeddings, unnest(generate_series(1, 7)) as g(i)) select doc_id, arg_max(topic, (prob, -topic))::int as country from s group by 1""")
+def topic_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest of seven shares."""
+    shares = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.posexplode(F.slice("embedding", 1, 7)).alias("topic", "prob"))
+    return topics.topic_of_document(shares)
+
+
+@query()
+def lda_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A19 over a fitted model: each document's hundred likeliest words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", content_tokens("text").alias("words"))
+    return topics.lda_mixture(*topics.lda(docs)).withColumn("prob", F.round("prob", 9))
+
+
+@query()
+def lsi_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latent semantic factors, the decomposition of the documents' tf-idf weights."""
+    n = table(spark, sf_dir, "documents").agg(F.count("*").cast("double").alias("n_documents"))
+    weights = L.document_tfidf(_token_counts(spark, sf_dir), n)
+    return label_svd(weights.select(F.col("doc_id").alias("article_id"), F.col("token").alias("label"), F.col("tfidf").alias("weight")), 7)
 
 
 @query()
@@ -365,7 +452,10 @@ def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("letters").agg(F.sum("c").alias("n"), F.count("*").alias("words"))
 
 
-@query()
+@query(f"""with {SQL_LABELS}, r as (select country as topic, label as word, row_number() over (partition by country order by clc / ncl desc, label) as place from counts), top10 as (select * from r where place <= 10),
+df as (select label as word, count(*)::double as df from al group by 1), pr as (select x.topic, x.word as a, y.word as b from top10 x join top10 y on x.topic = y.topic and y.place < x.place),
+co as (select x.label as a, y.label as b, count(*) as n from al x join al y on x.doc_id = y.doc_id and x.label <> y.label where x.label in (select word from top10) and y.label in (select word from top10) group by 1, 2)
+select topic, round(avg(ln((coalesce(n, 0) + 1.0::double) / df)), 6) as u_mass from pr left join co using (a, b) join df on df.word = pr.b group by 1""")
 def topic_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Countries stand in for topics."""
     words = article_labels(spark, sf_dir).select(F.col("article_id").alias("doc_id"), F.col("label").alias("word"))

@@ -10,8 +10,8 @@ from mapweave.operators import cluster as C
 from mapweave.operators import labels as L
 from mapweave.operators import metrics as M
 from mapweave.operators import spatial as S
-from mapweave.operators.pairwise import nearest
-from mapweave.plans.registry import article_labels, query, r6, vectors
+from mapweave.operators.plane import nearest_in_plane
+from mapweave.plans.registry import SQL_LABELS, article_labels, query, r6, vectors
 from mapweave.sources.tables import geojson
 
 _V = "v as (select vec_id as id, embedding::double[] as e, label as country from embeddings where embedding is not null)"
@@ -35,10 +35,6 @@ k as (select * from (select *, row_number() over (partition by id order by dist,
 g as (select least(id, other) as u, greatest(id, other) as v, max(dist) as weight from k group by 1, 2)"""
 
 
-def _plane(rows: DataFrame) -> DataFrame:
-    return rows.select("id", F.array("x", "y").alias("vector"), "country")
-
-
 @query(f"with {_V}, c as {_centres('1e-6')} select country, i::int as pos, round(c[i], 6) as mean from c, unnest(generate_series(1, len(c))) as g(i)")
 def cluster_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A16."""
@@ -70,7 +66,15 @@ def lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.assign(v, C.seeds(v, 8)).select("article_id", "country", r6("distance").alias("distance"))
 
 
-@query()
+_KMEANS = f"""v2 as (select id, e, row_number() over (order by id) - 1 as n from v),
+lloyd(step, k, c, shift) as (select 0, n, e, 1e9::double from v2 where n < 8 union all
+  select s.step + 1, s.k, coalesce(m.c, s.c), max(list_sum(list_transform(list_zip(coalesce(m.c, s.c), s.c), lambda z: abs(z[1] - z[2])))) over () from lloyd s left join
+    (select k, list(x order by i) as c from (select k, i, sum(x) / (count(*) + 1e-6) as x from (select k, unnest(e) as x, unnest(generate_series(1, len(e))) as i from
+      (select v2.id, any_value(v2.e) as e, arg_min(o.k, ({_cos('v2.e', 'o.c')}, o.k)) as k from lloyd o cross join v2 group by v2.id)) group by 1, 2) group by 1) m on m.k = s.k where s.shift >= 5e-5),
+last as (select k, c from lloyd where step = (select max(step) from lloyd))"""
+
+
+@query(f"""with recursive {_V}, {_KMEANS} select id as article_id, arg_min(k, (d, k))::int as country, round(min(d), 6) as distance from (select v.id, k, {_cos('v.e', 'last.c')} as d from v cross join last) group by 1""")
 def kmeans_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1 to convergence."""
     return C.kmeans_cosine(vectors(spark, sf_dir), 8)[0].select("article_id", "country", r6("distance").alias("distance"))
@@ -90,6 +94,47 @@ def joint_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.joint_kmeans(vectors(spark, sf_dir), _weights(spark, sf_dir), 8).withColumn("distance", r6("distance"))
 
 
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five labels a country, by tf-idf over the vectors' own countries."""
+    counts = L.label_counts(article_labels(spark, sf_dir), vectors(spark, sf_dir).select("article_id", "country")).withColumn("score", L.tf_idf())
+    return L.top_per_group(counts, "country", 5, F.desc(F.round("score", 9)), F.asc("label")).select("country", "label")
+
+
+@query()
+def joint_kmeans_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6."""
+    return C.joint_kmeans(vectors(spark, sf_dir), _weights(spark, sf_dir), 8, candidates=_candidates(spark, sf_dir)).withColumn("distance", r6("distance"))
+
+
+@query()
+def joint_kmeans_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: five neighbours in the plane."""
+    v = vectors(spark, sf_dir)
+    return C.joint_kmeans(v, _weights(spark, sf_dir), 8, plane_weight=0.0, label_sign=1, neighbours=nearest_in_plane(v, 5)).withColumn("distance", r6("distance"))
+
+
+@query()
+def joint_kmeans_two_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7."""
+    return C.joint_kmeans(vectors(spark, sf_dir), _weights(spark, sf_dir), 8, two_stages=True).withColumn("distance", r6("distance"))
+
+
+@query(f"""with {SQL_LABELS}, sc as (select country, label, clc, row_number() over (partition by country order by round(clc / ncl * ln(na / (lcp + 10)), 9) desc, label) as place from counts), ca as (select country, label from sc where place <= 5),
+va as (select al.doc_id, al.label from al join embeddings e on al.doc_id = e.vec_id), vn as (select count(distinct doc_id) as n from va), vd as (select label, count(*) as df from va group by 1 having count(*) >= 5),
+wt as (select doc_id, va.label, ln(n / df) as weight from va join vd using (label) cross join vn), to_ as (select e.label as country, wt.label, sum(weight) as total from wt join embeddings e on e.vec_id = wt.doc_id group by 1, 2),
+r as (select ca.country, ca.label, coalesce(total, 0) as total from ca left join to_ using (country, label)) select country, label, round(total, 6) as total from (select *, row_number() over (partition by country order by round(total, 9) desc, label) as p from r) where p = 1""")
+def final_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9."""
+    return C.final_labels(_weights(spark, sf_dir), vectors(spark, sf_dir), _candidates(spark, sf_dir)).withColumn("total", r6("total"))
+
+
+@query()
+def vectors_with_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors, label factors and the country's place in one."""
+    found = C.with_factors(vectors(spark, sf_dir), C.label_svd(_weights(spark, sf_dir), 10), 10)
+    return found.select("article_id", F.transform("augmented", lambda x: F.round(x, 6)).alias("augmented"))
+
+
 @query("""with t as (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) as token from documents), al as (select distinct doc_id, token as label from t where length(token) > 2),
 b as (select e.label as country, al.label from al join embeddings e on al.doc_id = e.vec_id), s as (select country, label, count(*)::double as n from b group by 1, 2)
 select country, label, round(n / sqrt(sum(n * n) over (partition by country)), 6) as weight from s""")
@@ -127,7 +172,7 @@ def label_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_V}, {_LAYOUT_KNN.format(k=14)} select u, v, round(weight, 6) as weight from g")
 def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """14 neighbours in the plane."""
-    return M.knn_edges(_plane(vectors(spark, sf_dir)).select("id", "vector"), 14).select("u", "v", r6("weight").alias("weight"))
+    return M.knn_edges(vectors(spark, sf_dir), 14).select("u", "v", r6("weight").alias("weight"))
 
 
 @query(f"with {_V} select a.id as u, b.id as v, round(sqrt((a.e[1] - b.e[1]) ** 2 + (a.e[2] - b.e[2]) ** 2), 6) as distance from v a join v b on a.id < b.id and (a.e[1] - b.e[1]) ** 2 + (a.e[2] - b.e[2]) ** 2 <= 0.0004::double")
@@ -139,7 +184,7 @@ def range_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_V}, {_LAYOUT_KNN.format(k=5)}, s as (select k.id, avg((a.country = b.country)::int::double) as share from k join v a on a.id = k.id join v b on b.id = k.other group by 1) select id, round(share, 6) as share from s")
 def neighbour_homogeneity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M12, J15."""
-    return M.neighbour_homogeneity(_plane(vectors(spark, sf_dir)), 5).withColumn("share", r6("share"))
+    return M.neighbour_homogeneity(vectors(spark, sf_dir), 5).withColumn("share", r6("share"))
 
 
 @query(f"""with {_V}, {_LAYOUT_KNN.format(k=14)}, p as (select a.country as cu, b.country as cv from g join v a on a.id = g.u join v b on b.id = g.v), m as (select count(*)::double as m from p),
@@ -148,7 +193,7 @@ select round(sum(l / m - (d / (2 * m)) ** 2), 6) as modularity from t cross join
 def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1."""
     v = vectors(spark, sf_dir)
-    return M.modularity(M.knn_edges(_plane(v).select("id", "vector"), 14), v).select(r6("modularity").alias("modularity"))
+    return M.modularity(M.knn_edges(v, 14), v).select(r6("modularity").alias("modularity"))
 
 
 @query(f"""with {_V}, {_LAYOUT_KNN.format(k=5)}, f as (select a.id, b.id as other, {_euclid('a.e', 'b.e')} as dist from v a join v b on a.id <> b.id),
@@ -157,7 +202,7 @@ select round(1 - 2 / (max(n) * 5 * (2 * max(n) - 16)) * sum(greatest(rank - 5, 0
 def trustworthiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2: the plane against all dimensions."""
     v = vectors(spark, sf_dir)
-    return M.trustworthiness(v.select("id", "vector"), _plane(v).select("id", "vector")).select(r6("trustworthiness").alias("trustworthiness"))
+    return M.trustworthiness(v.select("id", "vector"), v).select(r6("trustworthiness").alias("trustworthiness"))
 
 
 @query(f"""with {_V}, p as (select a.id, a.country as own, b.country as c, avg({_euclid('a.e', 'b.e')}) as m from v a join v b on a.id <> b.id group by 1, 2, 3),
@@ -192,14 +237,22 @@ def adjusted_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.adjusted_rand(v, v.select("article_id", (F.col("id") % 10).alias("country"))).select(r6("adjusted_rand").alias("adjusted_rand"))
 
 
-@query()
+@query("""with t as (select label as a, vec_id % 10 as b, count(*)::double as n from embeddings group by 1, 2), ra as (select a, sum(n) as r from t group by 1), cb as (select b, sum(n) as c from t group by 1), z as (select sum(n) as n from t),
+mi as (select sum(t.n / z.n * ln(t.n * z.n / (r * c))) as mi from t join ra using (a) join cb using (b) cross join z), ha as (select -sum(r / z.n * ln(r / z.n)) as ha from ra cross join z), hb as (select -sum(c / z.n * ln(c / z.n)) as hb from cb cross join z),
+ov as (select r, c, z.n, unnest(generate_series(greatest(1, r + c - z.n)::bigint, least(r, c)::bigint)) as x from ra cross join cb cross join z),
+em as (select sum(x / n * ln(n * x / (r * c)) * exp(lgamma(r + 1) + lgamma(c + 1) + lgamma(n - r + 1) + lgamma(n - c + 1) - lgamma(n + 1) - lgamma(x + 1) - lgamma(r - x + 1) - lgamma(c - x + 1) - lgamma(n - r - c + x + 1))) as em from ov)
+select round((mi - em) / ((ha + hb) / 2 - em), 6) as ami from mi cross join ha cross join hb cross join em""")
 def adjusted_mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8."""
     v = vectors(spark, sf_dir)
     return M.adjusted_mutual_information(v, v.select("article_id", (F.col("id") % 10).alias("country"))).select(r6("ami").alias("ami"))
 
 
-@query()
+@query(f"""with {_V}, l as (select id, country, unnest(e) as x, unnest(generate_series(1, len(e))) as i from v), vo as (select country, sqrt(sum(p * p)) as size from (select country, i, var_pop(x) as p from l group by 1, 2) group by 1),
+vw as (select sqrt(sum(p * p)) as whole from (select i, var_pop(x) as p from l group by 1)), sc as (select avg(size) / max(whole) as scatter, sqrt(sum(size)) / count(*) as reach from vo cross join vw),
+c as {_centres('0')}, pr as (select a.country as one, b.country as other, a.c as ca, b.c as cb, list_transform(list_zip(a.c, b.c), lambda z: (z[1] + z[2]) / 2) as m from c a join c b on a.country < b.country),
+de as (select one, other, sum(({_euclid('e', 'm')} <= reach)::int)::double as m, greatest(sum(({_euclid('e', 'ca')} <= reach)::int), sum(({_euclid('e', 'cb')} <= reach)::int))::double as most
+  from pr join v on v.country = one or v.country = other cross join sc group by 1, 2) select round(any_value(scatter) + avg(coalesce(m / nullif(most, 0), 0)), 6) as s_dbw from de cross join sc""")
 def s_dbw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6."""
     return M.s_dbw(vectors(spark, sf_dir).select("id", "vector", "country")).select(r6("s_dbw").alias("s_dbw"))
@@ -242,43 +295,104 @@ def water_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rings.groupBy("ring").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sx"), F.round(F.sum("y"), 3).alias("sy"))
 
 
-@query()
+_DIFFUSED = f"""{_LAYOUT_KNN.format(k=10)}, gm as (select avg(weight) as mean from g), ew as (select u, v, exp(-((weight / mean) ** 2)) as w from g cross join gm),
+bo as (select u, v, w from ew union all select v, u, w from ew), dg as (select u, sum(w) as d from bo group by 1), mo as (select max(a.d + b.d) as most from bo join dg a on bo.u = a.u join dg b on bo.v = b.u),
+st as (select v.id as u, 1 - coalesce(d, 0) / most as stay from v left join dg on dg.u = v.id cross join mo),
+step as (select bo.u as src, bo.v as dst, bo.w / most as f from bo cross join mo union all select u, u, stay from st),
+terms(i, u, c, s, weight) as (select 0, id, country, 1.0::double, exp(-10.0::double) from v
+  union all select i + 1, dst, c, sum(s * f), any_value(weight) * 10.0 / (i + 1) from terms join step on src = u where i < 35 group by i, dst, c),
+heat as (select u, c, sum(s * weight) as s from terms group by 1, 2), winner as (select u, arg_max(c, (round(s, 12), -c)) as best from heat group by 1)"""
+
+
+@query(f"with recursive {_V}, {_DIFFUSED} select id, country from v join winner on u = id where best = country")
 def denoised_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G3."""
     v = vectors(spark, sf_dir)
-    return S.denoised(_points(spark, sf_dir), M.knn_edges(_plane(v).select("id", "vector"), 10), 10).select("id", "country")
+    return S.denoised(v.select("id", "x", "y", "country"), M.knn_edges(v, 10)).select("id", "country")
+
+
+#: Width of a map cell, and the country number of water.
+_CELL, _WATER = 2.0, 10
+
+
+def _map_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _points(spark, sf_dir)
+    box = S.bounding_box(points)
+    return S.voronoi_cells(S.with_water(points, box, _WATER, share=0.0), _CELL, box)
+
+
+_MAP = f"""{_BOX}, pts as (select embedding[1]::double * 100 as x, embedding[2]::double * 100 as y, label as country from embeddings),
+rg as (select r as ring, x0 - 10 * r as x0, x1 + 10 * r as x1, y0 - 10 * r as y0, y1 + 10 * r as y1 from b, unnest(generate_series(0, 4)) as g(r)),
+hh as (select ring, x0 + i as x, y0, y1 from rg, unnest(generate_series(0, floor(x1 - x0)::bigint)) as g(i)), ww as (select ring, y0 + i as y, x0, x1 from rg, unnest(generate_series(0, floor(y1 - y0)::bigint)) as g(i)),
+sea as (select ring, x, y0 as y from hh union select ring, x, y1 from hh union select ring, x0, y from ww union select ring, x1, y from ww),
+al as (select x, y, country from pts union all select x, y, {_WATER} from sea),
+oc as (select floor(x / {_CELL})::bigint as cx, floor(y / {_CELL})::bigint as cy, country, count(*) as n from al group by all),
+sites as (select cx, cy, arg_max(country, (n, -country)) as country from oc group by 1, 2),
+cells as (select cx, cy from b, unnest(generate_series(floor(x0 / {_CELL})::bigint, floor(x1 / {_CELL})::bigint)) as g(cx), unnest(generate_series(floor(y0 / {_CELL})::bigint, floor(y1 / {_CELL})::bigint)) as h(cy)),
+placed as (select c.cx, c.cy, arg_min(s.country, ((c.cx - s.cx) ** 2 + (c.cy - s.cy) ** 2, s.country)) as country from cells c cross join sites s group by 1, 2)"""
+
+
+@query(f"with {_MAP} select cx, cy, country from placed")
+def map_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole box, with water around the land."""
+    return _map_cells(spark, sf_dir)
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.regions(S.voronoi_cells(_points(spark, sf_dir), 2.0, reach=2))
+    return S.regions(_map_cells(spark, sf_dir).filter(F.col("country") != _WATER))
 
 
-@query()
+@query(f"""with recursive {_MAP}, land as (select *, (cx + (1 << 30)) * (1::bigint << 31) + cy + (1 << 30) as id from placed where country <> {_WATER}),
+sides as (select a.id as a, b.id as b from land a join land b on a.country = b.country and abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1),
+low(id, region) using key (id) as (select id, id from land union select s.b, min(l.region) from low l join sides s on l.id = s.a join recurring.low r on r.id = s.b where l.region < r.region group by s.b)
+select cx, cy, country, region from land join low using (id)""")
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G4, G8."""
+    """G8."""
     return _regions(spark, sf_dir)
 
 
 @query()
 def country_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed outlines as GeoJSON features."""
-    rings = S.outlines(S.borders(_regions(spark, sf_dir), 2.0))
+    rings = S.outlines(S.borders(_regions(spark, sf_dir), _CELL))
     names = vectors(spark, sf_dir).select("country").distinct().select("country", F.concat(F.lit("country "), "country").alias("label"))
     return geojson(S.multipolygons(rings), names)
 
 
-@query()
+_LAND = f"land as (select cx, cy, country from placed where country <> {_WATER})"
+
+
+@query(f"""with {_MAP}, {_LAND}, edges as (select cx, cy, country, s[1] as i, s[2] as j, cx + s[3] as x1, cy + s[4] as y1, cx + s[5] as x2, cy + s[6] as y2
+  from land, unnest([[0, -1, 0, 0, 1, 0], [1, 0, 1, 0, 1, 1], [0, 1, 1, 1, 0, 1], [-1, 0, 0, 1, 0, 0]]) as t(s))
+select e.country, count(*) as edges, round(sum(x1 * {_CELL}), 3) as x1, round(sum(y1 * {_CELL}), 3) as y1, round(sum(x2 * {_CELL}), 3) as x2, round(sum(y2 * {_CELL}), 3) as y2
+from edges e left join land o on o.cx = e.cx + i and o.cy = e.cy + j where o.country is distinct from e.country group by 1""")
+def border_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Border segments, summed up by country."""
+    edges = S.borders(_regions(spark, sf_dir), _CELL)
+    return edges.groupBy("country").agg(F.count("*").alias("edges"), *(F.round(F.sum(c), 3).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+@query(f"""with {_MAP}, {_LAND}, around as (select l.cx + s[1] as cx, l.cy + s[2] as cy from land l, unnest([[0, -1], [1, 0], [0, 1], [-1, 0]]) as t(s)),
+outside as (select distinct cx, cy from around anti join land using (cx, cy)), far as (select l.cx, l.cy, l.country, min(abs(l.cx - o.cx) + abs(l.cy - o.cy)) as level from land l cross join outside o group by all)
+select cx, cy, round(level * 0.1::double, 6) as height, 'hsl(' || floor(country * 360 / 10)::int || ', 60%, ' || least(85, floor(35 + level * 0.1::double * 50)::int) || '%)' as colour from far""")
 def elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G5, G11."""
-    high = S.elevation(S.voronoi_cells(_points(spark, sf_dir), 2.0, reach=2))
+    high = S.elevation(_map_cells(spark, sf_dir).filter(F.col("country") != _WATER))
     return high.select("cx", "cy", r6("height").alias("height"), S.palette(F.col("height"), F.col("country"), 10).alias("colour"))
 
 
+@query()
+def random_water(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The random fifth."""
+    points = _points(spark, sf_dir)
+    return S.random_water(points, S.bounding_box(points)).select(r6("x").alias("x"), r6("y").alias("y"))
+
+
 @query(f"with {_V}, {_LAYOUT_KNN.format(k=3)} select k.id, k.other, round({_euclid('a.e', 'b.e')}, 6) as distance from k join v a on a.id = k.id join v b on b.id = k.other")
 def neighbour_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The true distance of the three nearest in the plane."""
     v = vectors(spark, sf_dir)
-    near = nearest(_plane(v).select("id", "vector"), 3).select("id", "other")
+    near = nearest_in_plane(v, 3).select("id", "other")
     own, far = v.select("id", F.col("vector").alias("a")), v.select(F.col("id").alias("other"), F.col("vector").alias("b"))
     return near.join(own, "id").join(far, "other").select("id", "other", r6(euclidean("a", "b")).alias("distance"))
 

@@ -11,6 +11,7 @@ from mapweave.functions.text import category_name, is_article_title, lemma, merg
 from mapweave.functions.vectors import cosine_distance
 from mapweave.operators import cluster, crowd, labels, metrics, spatial
 from mapweave.operators.graph import connected_components
+from mapweave.operators.plane import nearest_in_plane
 from mapweave.sources import tables
 
 
@@ -320,6 +321,197 @@ def test_label_svd_of_small_matrices(spark):
     assert {r.article_id: [round(x, 9) for x in r.factors] for r in cluster.label_svd(one, 3).collect()} == {1: [0.6], 2: [0.8]}
 
 
+def _unit(a):
+    import numpy as np
+
+    return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+
+
+def _joint_by_hand(v, xy, m, k, mode, wanted, near):
+    """The variants of the joint clustering as a loop over whole matrices."""
+    import numpy as np
+
+    def means(a, g, old):
+        return np.array([a[g == c].sum(axis=0) / ((g == c).sum() + 1e-6) if (g == c).any() else old[c] for c in range(k)])
+
+    c, group = v[:k], None
+    for _ in range(500):
+        group = (1 - _unit(v) @ _unit(c).T).argmin(axis=1)
+        c, old = means(v, group, c), c
+        if np.abs(c - old).sum(axis=1).max() < 5e-5:
+            break
+    plane_weight = 0.0 if mode == "neighbours" else 0.05
+    share = np.array([[(group[near[i]] == c).mean() for c in range(k)] for i in range(len(v))])
+    c, flat = v[:k], xy[:k]
+    while True:
+        plane = np.linalg.norm(xy[:, None] - flat[None], axis=2) / ((xy.max() - xy.min()) * 2**0.5)
+        loss = (1 - _unit(v) @ _unit(c).T) * (0.92 - plane_weight) + plane * plane_weight
+        if mode == "two stages":
+            first = loss.argmin(axis=1)
+            tops = np.array([m[first == j].mean(axis=0) if (first == j).any() else np.zeros(m.shape[1]) for j in range(k)])
+            loss = loss - (1 - _unit(m) @ _unit(tops).T) * 0.08
+        elif mode == "neighbours":
+            loss = loss + (1 - share) * 0.08
+        else:
+            loss = loss - np.array([[m[i][wanted[c]].sum() for c in range(k)] for i in range(len(v))]) * 0.08
+        group = loss.argmin(axis=1)
+        c, old, flat = means(v, group, c), c, means(xy, group, flat)
+        if np.abs(c - old).sum(axis=1).max() < 5e-5:
+            return group.tolist()
+
+
+@pytest.mark.parametrize("mode", ["candidates", "neighbours", "two stages"])
+def test_joint_variants_equal_the_plain_loop(spark, mode):
+    import numpy as np
+
+    rng = np.random.default_rng(21)
+    n, k = 40, 3
+    v, xy = rng.random((n, 4)), rng.random((n, 2))
+    m = (rng.random((n, 12)) < 0.3) * rng.random((n, 12))
+    m[:, 0] += 0.1
+    wanted = [[0, 1, 2], [3, 4], [5, 6, 7]]
+    near = [np.argsort(np.linalg.norm(xy - xy[i], axis=1))[1:6] for i in range(n)]
+    rows = spark.createDataFrame([(i, v[i].tolist(), *xy[i].tolist()) for i in range(n)], "article_id long, vector array<double>, x double, y double")
+    weights = spark.createDataFrame([(int(i), f"l{j}", float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "article_id long, label string, weight double")
+    more = {
+        "candidates": {"candidates": spark.createDataFrame([(c, f"l{j}") for c, js in enumerate(wanted) for j in js], "country int, label string")},
+        "neighbours": {"neighbours": nearest_in_plane(rows.withColumnRenamed("article_id", "id"), 5), "plane_weight": 0.0, "label_sign": 1},
+        "two stages": {"two_stages": True},
+    }[mode]
+    found = {r.article_id: r.country for r in cluster.joint_kmeans(rows, weights, k, **more).collect()}
+    assert found == dict(enumerate(_joint_by_hand(v, xy, m, k, mode, wanted, near)))
+
+
+def test_nearest_in_plane_equals_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    points = np.vstack([rng.normal(size=(150, 2)), rng.normal(size=(100, 2)) * 1e-3 + 5, np.repeat(rng.normal(size=(4, 2)), 20, axis=0), [[1e6, 1e6]]])
+    ids = np.arange(len(points)) * 7 % 1009
+    rows = [(int(i), float(x), float(y)) for i, (x, y) in zip(ids, points, strict=True)]
+    df = spark.createDataFrame([*rows, (5000, None, 1.0), (5001, float("nan"), 0.0)], "id long, x double, y double")
+    found = {}
+    for r in nearest_in_plane(df, 6).collect():
+        found.setdefault(r.id, {})[r.place] = r.other
+    for i, x, y in rows:
+        d = np.sqrt((points[:, 0] - x) ** 2 + (points[:, 1] - y) ** 2)
+        d[ids == i] = np.inf
+        assert [found[i][p] for p in range(1, 7)] == ids[np.lexsort((ids, d))[:6]].tolist()
+    assert nearest_in_plane(df.limit(0), 3).count() == 0
+    three = df.filter("id < 1000").limit(3)
+    assert nearest_in_plane(three, 7).count() == 6
+    asked = spark.createDataFrame([(1, 4.0, 4.0), (2, -3.0, 1.0)], "id long, x double, y double")
+    for r in nearest_in_plane(df, 1, asked).collect():
+        at = {1: (4.0, 4.0), 2: (-3.0, 1.0)}[r.id]
+        assert r.distance == pytest.approx(np.linalg.norm(points - at, axis=1).min())
+
+
+def test_elevation_is_not_bounded(spark):
+    land = spark.range(121).select(F.col("id").alias("cx")).crossJoin(spark.range(121).select(F.col("id").alias("cy"))).withColumn("country", F.lit(0))
+    top = spatial.elevation(land).agg(F.max("height"), F.count("*")).first()
+    assert (round(top[0], 6), top[1]) == (6.1, 121 * 121)
+
+
+def test_water_surrounds_the_land(spark):
+    points = spark.createDataFrame([(0.0, 0.0, 0), (4.0, 3.0, 1)], "x double, y double, country int")
+    box = spatial.bounding_box(points, 8.0)
+    cells = {(r.cx, r.cy): r.country for r in spatial.voronoi_cells(spatial.with_water(points, box, 9), 1.0, box).collect()}
+    assert len(cells) == 21 * 20 and cells[0, 0] == 0 and cells[4, 3] == 1
+    assert all(cells[x, y] == 9 for x, y in ((-8, -8), (12, 11), (-8, 5)))
+    many = spark.createDataFrame([(float(i), 0.0, 0) for i in range(500)], "x double, y double, country int")
+    drawn = spatial.random_water(many, spatial.bounding_box(many)).collect()
+    assert len(drawn) == 100 and all(-30 <= r.x <= 529 and -30 <= r.y <= 30 for r in drawn)
+    assert 150 < sum(r.x for r in drawn) / 100 < 350
+
+
+def test_noise_splits_edges_alike_from_both_sides(spark):
+    edges = spark.createDataFrame([(1, 0, 0.0, 0.0, 1.0, 0.0), (2, 1, 1.0, 0.0, 0.0, 0.0)], "region long, country int, x1 double, y1 double, x2 double, y2 double")
+    rows = spatial.noisy(edges, 0.3, rounds=3).collect()
+    one = [(r.x1, r.y1, r.x2, r.y2) for r in rows if r.region == 1]
+    two = [(r.x2, r.y2, r.x1, r.y1) for r in rows if r.region == 2]
+    assert len(one) == 8 and sorted(one) == sorted(two)
+    assert len({p for x1, y1, x2, y2 in one for p in ((x1, y1), (x2, y2))}) == 9
+
+
+def test_points_run_clockwise(spark):
+    points = spark.createDataFrame([(0, 1.0, 0.0), (0, 0.0, 1.0), (0, -1.0, 0.0), (0, 0.0, -1.0)], "g int, x double, y double").withColumns({"cx": F.lit(0.0), "cy": F.lit(0.0)})
+    ring = [(p.x, p.y) for p in spatial.clockwise(points, "g", "cx", "cy").first().points]
+    assert ring == [(-1.0, 0.0), (0.0, 1.0), (1.0, 0.0), (0.0, -1.0)]
+
+
+def test_text_helpers(spark):
+    from mapweave.functions import text as T
+
+    def one(value, f):
+        return spark.createDataFrame([(value,)], "t string").select(f("t").alias("v")).first().v
+
+    assert one("One. Two! three?\n\nFour", T.sentences) == ["One.", "Two!", "three?", "Four"]
+    assert one("See www.a.org, the 3,000 cats (and a dog).", T.word_tokens) == ["see", "cats", "dog"]
+    assert one("[1, 2]", T.list_cell) == [1, 2]
+    assert one("green tea of China", T.two_words_a_line) == "green tea\nof China"
+    assert one("Café CAN'T wait!", lambda c: T.without_accents(T.expanded(c))) == "cafe cannot wait"
+    assert one("== Head ==\nx {\\math} y (gone) word", T.cleaned) == "word"
+    assert one("a  b\t c", T.display_name) == "a_b_c"
+
+
+def test_topics_are_kept(spark, tmp_path):
+    from mapweave.operators import topics
+
+    docs = spark.createDataFrame([(i, ["tea", "milk"] if i % 2 else ["rock", "sand"]) for i in range(12)], "doc_id long, words array<string>")
+    model, counts, known = topics.fit_topics(docs, k=2, iterations=5)
+    topics.save_topics(model, str(tmp_path / "model"))
+    again = topics.load_topics(str(tmp_path / "model"))
+    assert again.k if hasattr(again, "k") else True
+    assert (again.topicsMatrix().toArray() == model.topicsMatrix().toArray()).all()
+    mixed, words = topics.lda(docs, k=2, iterations=5)
+    assert topics.topic_of_document(mixed).count() == 12
+    best = topics.lda_mixture(mixed, words, 1)
+    assert {r.word for r in best.collect()} <= set(known)
+
+
+def test_best_regression_by_folds(spark):
+    from mapweave.operators import topics
+
+    rows = spark.createDataFrame([(float(i % 17), float(i % 5), 2.0 * (i % 17) - (i % 5)) for i in range(120)], "a double, b double, y double")
+    kind, model, assembler, errors = topics.best_regression(rows, ["a", "b"], "y", kinds=("linear", "tree"), folds=3)
+    assert kind == "linear" and errors["linear"] < 1e-6 < errors["tree"]
+    assert topics.predict(model, assembler, rows).count() == 120
+
+
+def test_phrases_of_three_words(spark):
+    from mapweave.operators import topics
+
+    noise = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, ["new", "york", "times", noise[i], noise[i + 1]]) for i in range(39)], "doc_id long, w array<string>")
+    twice = topics.with_phrases(topics.with_phrases(docs, 30, 0.1), 10, 0.1)
+    assert twice.filter("doc_id = 0").first().w[0] == "new_york_times"
+
+
+def test_expanded_categories(spark):
+    own = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "article_id long, category string")
+    parents = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "category string, parent string")
+    found = {(r.article_id, r.category, r.level) for r in labels.expanded_categories(own, parents, 2).collect()}
+    assert found == {(1, "a", 0), (1, "b", 1), (1, "c", 2), (2, "b", 0), (2, "c", 1), (2, "a", 2), (2, "c", 0), (2, "a", 1), (2, "b", 2)}
+
+
+def test_label_cleaning(spark):
+    rows = spark.createDataFrame([("none",), ("a stub of",), ("tea",), (None,)], "label string")
+    assert [r.label for r in crowd.clean_labels(rows, ["none"], ["stub"]).collect()] == ["tea"]
+
+
+def test_synonyms_stand_for_words(spark):
+    chosen, truth = (spark.createDataFrame([(0, x)], "country int, label string") for x in ("hot chai", "hot tea"))
+    synonyms = spark.createDataFrame([("tea", "chai")], "word string, synonym string")
+    assert not crowd.label_matches(chosen, truth).first().subset
+    assert crowd.label_matches(chosen, truth, synonyms).first().subset
+
+
+def test_hierarchy_score_by_scaled_values(spark):
+    rows = spark.createDataFrame([(0, "a", 1.0, 2, 4, 1, 100), (0, "b", 3.0, 1, 4, 1, 100)], "country int, label string, tfidf double, clc long, ncl long, lcp long, n_labels long")
+    found = {r.label: (r.scaled, r.score) for r in labels.hierarchy_score(rows, by_normalised=True).collect()}
+    assert found["a"] == (0.0, 0.0) and found["b"] == (1.0, pytest.approx(0.25 * math.log(100 / 6)))
+
+
 def test_joint_kmeans_equals_the_plain_loop(spark):
     import numpy as np
 
