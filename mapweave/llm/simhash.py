@@ -79,31 +79,51 @@ def hexadecimal(value: Column) -> Column:
     return F.lpad(F.lower(F.hex(value)), 16, "0")
 
 
+#: Rows that a range of ids should hold, and from how many times that a range is cut again.
+RANGE_ROWS, HEAVY = 256, 16
+
+
+def _ranged(docs: DataFrame) -> DataFrame:
+    """docs with place, range and group; ranges follow the order of ids, and groups of ranges that of ranges.
+
+    Ids are cut into ranges of equal width for RANGE_ROWS rows each on average; a range that holds many more, as when some ids lie far
+    from the others, is cut again over its own span. Null ids come last, in a range of their own.
+    """
+    low, high, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    width = max(1, (int(high or 0) - int(low or 0) + 1) * RANGE_ROWS // max(rows, 1))
+    wide = F.coalesce(F.expr(f"doc_id div {width}"), F.lit(-(abs(int(low or 0)) // width) - 1)).cast("long")
+    docs = docs.withColumn("wide", wide)
+    heavy = docs.groupBy("wide").agg(F.count("*").alias("n"), F.min("doc_id").alias("start"), F.max("doc_id").alias("end")).filter(f"n > {HEAVY * RANGE_ROWS} and start < end")
+    step = F.greatest(F.lit(1), F.floor((F.col("end").cast("double") - F.col("start") + 1) * RANGE_ROWS / F.col("n")))
+    heavy = materialize(heavy.select("wide", "start", step.alias("step")), "heavy")
+    fine = F.coalesce(F.floor((F.col("doc_id") - F.col("start")) / F.col("step")), F.lit(0))
+    docs = docs.join(heavy, "wide", "left").withColumn("fine", fine).withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    group = F.struct(F.floor(F.col("wide") / 4096), F.floor(F.col("fine") / 4096))
+    return docs.withColumn("range", F.struct("wide", "fine")).withColumn("group", group).drop("wide", "fine", "start", "step")
+
+
 def _with_next(docs: DataFrame, *carried: str) -> DataFrame:
     """docs with next_<column>: the row with the next smaller doc_id (for the smallest, the largest).
 
-    Rows are ordered inside ranges of about 256 ids. The last row of each range is also sent to the next range, so that texts
+    Rows are ordered inside ranges of ids. The last row of each range is also sent to the next range, so that texts
     are shuffled once; which rows these are is found beforehand from the ids alone. Null ids come last; rows with
     equal ids are ordered by their text.
     """
-    low, high, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, (int(high or 0) - int(low or 0) + 1) * 256 // max(rows, 1))
-    own_range = F.coalesce(F.expr(f"doc_id div {width}"), F.lit(-(abs(int(low or 0)) // width) - 1)).cast("long")
-    place = F.coalesce("doc_id", F.lit(-(1 << 63)))
-
-    tails = docs.select(own_range.alias("range"), place.alias("place")).groupBy("range").agg(F.max("place").alias("place"))
-    tails = tails.withColumn("group", F.floor(F.col("range") / 4096)).withColumn("next", F.lead("range").over(Window.partitionBy("group").orderBy("range")))
+    columns = docs.columns
+    ranges = _ranged(docs.select("doc_id"))
+    tails = ranges.groupBy("range", "group").agg(F.max("place").alias("place"))
+    tails = tails.withColumn("next", F.lead("range").over(Window.partitionBy("group").orderBy("range")))
     #: One row for about a million documents; the last range leads to the first.
     groups = tails.groupBy("group").agg(F.min("range").alias("first"))
     whole = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     groups = groups.select("group", F.coalesce(F.lead("first").over(Window.orderBy("group")), F.min("first").over(whole)).alias("wrap"))
     tails = materialize(tails.join(groups, "group").select("range", "place", F.coalesce("next", "wrap").alias("next")), "tails")
 
-    sent = docs.withColumn("range", own_range).withColumn("place", place).join(tails, ["range", "place"], "left")
+    sent = _ranged(docs).join(tails, ["range", "place"], "left")
     both = F.filter(F.array(F.struct(F.col("range").alias("r"), F.lit(1).alias("own")), F.struct(F.col("next").alias("r"), F.lit(0).alias("own"))), lambda x: x["r"].isNotNull())
-    sent = sent.select(*docs.columns, "place", F.explode(both).alias("to")).select(*docs.columns, "place", "to.r", "to.own")
+    sent = sent.select(*columns, "place", F.explode(both).alias("to")).select(*columns, "place", "to.r", "to.own")
     inside = Window.partitionBy("r").orderBy("own", "place", "text")
-    found = sent.select(*docs.columns, "own", *(F.lag(c).over(inside).alias(f"next_{c}") for c in carried))
+    found = sent.select(*columns, "own", *(F.lag(c).over(inside).alias(f"next_{c}") for c in carried))
     return found.filter("own = 1").drop("own")
 
 
