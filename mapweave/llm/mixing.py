@@ -5,7 +5,7 @@ of buckets) tell the domains apart, and gives every document posterior domain sh
 so that the expected token totals S_d = sum_i r_i * tokens_i * p_id come to the targets t_d: projected gradient
 descent on sum_d (S_d - t_d)**2 / (2 A_d), where A_d is S_d at rate 1, in the metric that weighs documents by their tokens.
 There a step of 1 can't overshoot: r_i <- max(0, r_i - sum_d p_id (S_d - t_d) / A_d). A step is one
-aggregation over a table of tokens and shares; only the D totals reach the driver. As a rate follows from its
+aggregation over the distinct shares and their tokens; only the D totals reach the driver. As a rate follows from its
 document's shares and the history of residuals, it is never stored between steps.
 """
 
@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.runtime import materialize
+from mapweave.runtime import materialize, release
 
 BUCKETS = 1 << 15
 
@@ -88,23 +88,31 @@ def _rate(history: list[list[float]]) -> Column:
     return F.aggregate(steps, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - dot(e)))
 
 
-def fit_rates(rows: DataFrame, targets: list[float], tolerance: float = 5e-4, max_steps: int = 60) -> list[list[float]]:
+def fit_rates(rows: DataFrame, targets: list[float], tolerance: float = 5e-4, max_steps: int = 1000) -> list[list[float]]:
     """Residual history whose rates bring the token totals of rows (tokens, shares) to the targets.
 
+    Documents of equal shares have equal rates, so steps run over the distinct shares and their tokens. Steps end when every total is
+    within tolerance of its target, or when rates no longer move the totals: then no rates that aren't negative come closer, as with a
+    target that is less than what other domains' documents bring. Raises an error where max_steps aren't enough for either.
     A domain without tokens can't be filled; it is left out.
     """
+    groups = materialize(rows.groupBy("shares").agg(F.sum("tokens").alias("tokens")).filter("tokens > 0"), "groups")
     history: list[list[float]] = []
-    base = None
+    base = before = None
+    whole = max(sum(targets), 1e-300)
     for _ in range(max_steps):
         rate = _rate(history) if history else F.lit(1.0)
         part = lambda i: F.coalesce(F.sum(rate * F.col("tokens") * F.element_at("shares", i + 1)), F.lit(0.0))
-        sums = list(rows.agg(*(part(i).alias(f"s{i}") for i in range(len(targets)))).first())
+        sums = list(groups.agg(*(part(i).alias(f"s{i}") for i in range(len(targets)))).first())
         base = base or sums
         gaps = [(s - t) / a if a > 0 else 0.0 for s, t, a in zip(sums, targets, base, strict=True)]
-        if max(abs(s - t) for s, t, a in zip(sums, targets, base, strict=True) if a > 0 or t == 0) <= tolerance * max(sum(targets), 1e-300):
-            break
+        near = max((abs(s - t) for s, t, a in zip(sums, targets, base, strict=True) if a > 0 or t == 0), default=0.0) <= tolerance * whole
+        if near or before is not None and max(abs(x - y) for x, y in zip(sums, before, strict=True)) <= 1e-9 * whole:
+            release(groups)
+            return history
         history.append(gaps)
-    return history
+        before = sums
+    raise RuntimeError(f"rates didn't settle in {max_steps} steps: totals {sums}, targets {targets}")
 
 
 def mix(
