@@ -54,6 +54,28 @@ TEMPLATES = {
         "Licensed under the BSD 2-Clause License.",
         """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
         conditions are met""",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+        following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+        following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE
+        COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+        CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED
+        TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+        THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE
+        USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+        following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+        following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder
+        nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior
+        written permission. THIS SOFTWARE IS PROVIDED BY THE
+        COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+        CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED
+        TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+        THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE
+        USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     ),
     "CC-BY-4.0": (
         "Licensed under CC BY 4.0.",
@@ -70,6 +92,40 @@ TEMPLATES = {
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     ),
+    "LGPL-2.1": (
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as
+        published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    ),
+    "AGPL-3.0": (
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
+    ),
+    "ISC": (
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+        the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS
+        ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE
+        AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA
+        OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+        PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    "Zlib": (
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+        damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+        commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this
+        software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an
+        acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked
+        as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source
+        distribution.""",
+    ),
+    "Unlicense": (
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell,
+        or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by
+        any means.""",
+    ),
 }
 
 SHORT = 24  # words; a longer template may also be met by shorter windows
@@ -152,12 +208,15 @@ class Scanner:
         return found
 
     def scan(self, text: str) -> list[tuple[float, str]]:
-        """The best template of each unit that has one, then of windows: the best first, and none that overlaps an equal or better match or one of its own licence."""
+        """The best template of each unit that has one, then of windows: the best first, and none that overlaps an equal or better match; one within a match of its own licence lifts that to its own coefficient."""
         plain = normalise(text)
         taken = [(*x, first, first + len(unit)) for unit, first in placed(plain) if (x := self.best(unit))]
         for dice, name, first, end in sorted(self.windows(plain.split()), key=lambda x: (-x[0], x[1], x[2])):
-            if not any(first < b and a < end and (d >= dice or name == n) for d, n, a, b in taken):
+            met = [i for i, (d, n, a, b) in enumerate(taken) if first < b and a < end and (d >= dice or name == n)]
+            if not met:
                 taken.append((dice, name, first, end))
+            elif all(taken[i][0] < dice for i in met):  # a better part of a match of its own licence
+                taken[met[0]] = (dice, *taken[met[0]][1:])
         return [x[:2] for x in taken]
 
 
