@@ -8,12 +8,13 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from mapweave.llm import licences, mixing, packing, pii, quality, simhash, warc
 
-from .helpers import noise, rng
+from .helpers import WORD, noise, rng
 
 
 def documents(spark, rows):
@@ -71,6 +72,21 @@ def test_mixing_meets_targets(spark):
     assert sum(x.doc_id % 4 == 0 for x in kept if x.doc_id < 600) < 40
 
 
+def test_mixing_of_targets_out_of_reach(spark):
+    """Every document is half of either domain, so that totals stay equal: the closest rates are found, and a bound on steps is an error."""
+    shares = spark.createDataFrame([(10, [0.5, 0.5]), (20, [0.5, 0.5])], "tokens long, shares array<double>")
+    history = mixing.fit_rates(shares, [20.0, 10.0])
+    rates = shares.select(mixing._rate(history).alias("r")).collect()
+    assert [round(x.r, 6) for x in rates] == [1.0, 1.0]
+    far = spark.createDataFrame([(1000, [0.9, 0.1]), (1000, [0.1, 0.9])], "tokens long, shares array<double>")
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(far, [1500.0, 500.0], max_steps=1)
+    history = mixing.fit_rates(far, [1500.0, 500.0], tolerance=1e-6)
+    assert len(history) > 5
+    rates = [x.r for x in far.select(mixing._rate(history).alias("r")).collect()]
+    assert rates[0] * 900 + rates[1] * 100 == pytest.approx(1500, rel=1e-4)
+
+
 def test_mixing_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, domain string")
     found = mixing.mix(documents(spark, [(1, "a b"), (None, None)]), none, {"x": 1.0, "y": 1.0}).collect()
@@ -119,6 +135,47 @@ def test_licences_across_paragraphs_and_within_prose(spark):
     assert found[4] == ("BSD", 2, "BSD,CC-BY-4.0") and found[5] == (None, 0, "")
 
 
+def licence_by_force(text, templates, least=0.8):
+    """The largest Dice coefficient of any run of words with any of the longer templates, and the first name that reaches it."""
+    words = re.findall("[a-z0-9]+", text.lower())
+    best = (0.0, "")
+    for name, forms in templates.items():
+        for form in forms:
+            own = re.findall("[a-z0-9]+", form.lower())
+            other = set(zip(own, own[1:], strict=False))
+            for a in range(len(words)):
+                seen, both = set(), 0
+                for x in range(a, len(words) - 1):
+                    pair = (words[x], words[x + 1])
+                    if pair not in seen:
+                        seen.add(pair)
+                        both += pair in other
+                    dice = 2 * both / (len(seen) + len(other))
+                    if dice > best[0] + 1e-12 or dice > best[0] - 1e-12 and name < best[1]:
+                        best = (max(dice, best[0]), name)
+    return (best[1], best[0]) if best[0] >= least else (None, None)
+
+
+def test_licences_by_force(spark):
+    r = rng(17)
+    templates = {name: tuple(f for f in forms if len(f.split()) > licences.SHORT) for name, forms in licences.TEMPLATES.items()}
+    templates = {name: forms for name, forms in templates.items() if forms}
+    rows = []
+    for name, forms in sorted(templates.items()):
+        words = forms[-1].split()
+        for edits in (0, len(words) // 12, len(words) // 5):
+            own = list(words)
+            for _ in range(edits):
+                own[r.randrange(len(own))] = f"x{r.randrange(99)}"
+            cut = r.randrange(1, len(own) - 1)
+            rows.append((len(rows), f"{noise(r, 30)} {' '.join(own[:cut])}\n\n{' '.join(own[cut:])} {noise(r, 30)}"))
+    found = {x.doc_id: (x.licence, x.dice) for x in licences.scan(documents(spark, rows), templates=templates).collect()}
+    for i, text in rows:
+        name, dice = licence_by_force(text, templates)
+        assert found[i][0] == name, (i, found[i], name, dice)
+        assert found[i][1] == (None if dice is None else pytest.approx(dice))
+
+
 def test_simhash(spark):
     r = rng(8)
     texts = [noise(r, r.randrange(3, 60), 300) for _ in range(300)] + ["", None, "a", "é ü ö ä ß x", "same text of six words here"] * 2 + ["w " * 70_000]
@@ -138,6 +195,38 @@ def test_simhash(spark):
     assert len({x.fingerprint for x in found.values() if not dict(rows)[x.doc_id]}) == 1
 
 
+def test_simhash_neighbours_of_far_ids(spark, monkeypatch):
+    """A few ids far from all others don't gather the texts in one range."""
+    monkeypatch.setattr(simhash, "RANGE_ROWS", 4)
+    ids = [*range(0, 600, 3), 10**15, -(10**15), 2**62, None]
+    rows = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    sizes = simhash._ranged(rows).groupBy("range").count().agg(F.max("count")).first()[0]
+    assert sizes <= 8
+    order = sorted((i for i in ids if i is not None), reverse=True) + [None]
+    found = {r.doc_id: r.next_text for r in simhash._with_next(rows, "text").collect()}
+    assert found == {i: f"text {order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
+
+
+def simhash_by_hand(text):
+    """Words and shingles hashed by the xxhash library, each hash seeded by the one before it; then a majority on every bit."""
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text.lower())]
+    own = [words[i : i + 5] for i in range(len(words) - 4)] if len(words) >= 5 else [words] if words else []
+    hashes = []
+    for shingle in own:
+        h = 42
+        for w in shingle:
+            h = xxhash.xxh64_intdigest(w.to_bytes(8, "little"), h)
+        hashes.append(h)
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def test_simhash_by_hand(spark):
+    r = rng(31)
+    texts = ["One two three four five six seven", "a a a a a a a b", "just three words", "", "é ü\tß x\ny z", *(noise(r, r.randrange(80), 40) for _ in range(40))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", simhash.fingerprint(F.col("t")).alias("f")).collect()
+    assert [r.f % (1 << 64) for r in rows] == [simhash_by_hand(r.t) for r in rows]
+
+
 def test_simhash_votes(spark):
     """The packed counters agree with counting bit by bit."""
     terms = [(x * 0x9E3779B97F4A7C15 + 12345) % (1 << 64) for x in range(1, 40_001)]
