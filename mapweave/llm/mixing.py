@@ -4,9 +4,9 @@ DataFrame expressions only. A Bernoulli naive-Bayes classifier learns from a lab
 of buckets) tell the domains apart, and gives every document posterior domain shares p_id. Rates r_i >= 0 are then fitted
 so that the expected token totals S_d = sum_i r_i * tokens_i * p_id come to the targets t_d: projected gradient
 descent on sum_d (S_d - t_d)**2 / (2 A_d), where A_d is S_d at rate 1, in the metric that weighs documents by their tokens.
-There a step of 1 can't overshoot: r_i <- max(0, r_i - sum_d p_id (S_d - t_d) / A_d). A step is one
-aggregation over the distinct shares and their tokens; only the D totals reach the driver. As a rate follows from its
-document's shares and the history of residuals, it is never stored between steps.
+There a step of 1 can't overshoot: r_i <- max(0, y_i - sum_d p_id (S_d - t_d) / A_d), where y_i is r_i moved on by a momentum. A step is one
+aggregation over a table of tokens and shares; only the D totals reach the driver. As a rate follows from its
+document's shares and the history of residuals, it is only stored every REPLAYED steps.
 """
 
 from __future__ import annotations
@@ -82,36 +82,57 @@ def posteriors(docs: DataFrame, domains: list[str], priors: list[float], weights
     return rows.withColumn("shares", F.transform("shares", lambda x: x / total)).drop(buckets)
 
 
-def _rate(history: list[list[float]]) -> Column:
-    steps = F.from_json(F.lit(json.dumps(history)), "array<array<double>>")
+#: Steps whose residuals are replayed for each row before its state is written.
+REPLAYED = 24
+
+
+def _stepped(history: list[tuple[list[float], float]]) -> Column:
+    """struct(r, y) after these steps (residuals, momentum), from the row's r and y: r is the rate, y the one moved on by the momentum."""
+    start = F.struct(F.col("__r").alias("r"), F.col("__y").alias("y"))
+    if not history:
+        return start
+    steps = F.from_json(F.lit(json.dumps([{"e": e, "m": m} for e, m in history])), "array<struct<e:array<double>,m:double>>")
     dot = lambda e: F.aggregate(F.zip_with("shares", e, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(steps, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - dot(e)))
+    zero = F.lit(0.0)
+
+    def step(state: Column, s: Column) -> Column:
+        moved = F.greatest(zero, state["y"] - dot(s["e"]))
+        return F.struct(moved.alias("r"), F.greatest(zero, moved + s["m"] * (moved - state["r"])).alias("y"))
+
+    return F.aggregate(steps, start, step)
 
 
-def fit_rates(rows: DataFrame, targets: list[float], tolerance: float = 5e-4, max_steps: int = 1000) -> list[list[float]]:
-    """Residual history whose rates bring the token totals of rows (tokens, shares) to the targets.
+def fit_rates(rows: DataFrame, targets: list[float], tolerance: float = 5e-4, max_steps: int = 1000) -> DataFrame:
+    """rows (tokens, shares and more) with a rate each, which bring the token totals to the targets.
 
-    Documents of equal shares have equal rates, so steps run over the distinct shares and their tokens. Steps end when every total is
-    within tolerance of its target, or when rates no longer move the totals: then no rates that aren't negative come closer, as with a
-    target that is less than what other domains' documents bring. Raises an error where max_steps aren't enough for either.
-    A domain without tokens can't be filled; it is left out.
+    Projected gradients with momentum. Steps end when every total is within tolerance of its target, or when rates no longer move the
+    totals: then no rates that aren't negative come closer, as where every document is half of either domain. Raises an error where
+    max_steps aren't enough for either. A domain without tokens can't be filled; it is left out.
     """
-    groups = materialize(rows.groupBy("shares").agg(F.sum("tokens").alias("tokens")).filter("tokens > 0"), "groups")
-    history: list[list[float]] = []
+    state = rows.withColumn("__r", F.lit(1.0)).withColumn("__y", F.lit(1.0))
+    history: list[tuple[list[float], float]] = []
     base = before = None
+    still = 0
     whole = max(sum(targets), 1e-300)
+    t = 1.0
     for _ in range(max_steps):
-        rate = _rate(history) if history else F.lit(1.0)
-        part = lambda i: F.coalesce(F.sum(rate * F.col("tokens") * F.element_at("shares", i + 1)), F.lit(0.0))
-        sums = list(groups.agg(*(part(i).alias(f"s{i}") for i in range(len(targets)))).first())
+        part = lambda i: F.coalesce(F.sum(F.col("y") * F.col("tokens") * F.element_at("shares", i + 1)), F.lit(0.0))
+        sums = list(state.select("tokens", "shares", _stepped(history)["y"].alias("y")).agg(*(part(i).alias(f"s{i}") for i in range(len(targets)))).first())
         base = base or sums
         gaps = [(s - t) / a if a > 0 else 0.0 for s, t, a in zip(sums, targets, base, strict=True)]
         near = max((abs(s - t) for s, t, a in zip(sums, targets, base, strict=True) if a > 0 or t == 0), default=0.0) <= tolerance * whole
-        if near or before is not None and max(abs(x - y) for x, y in zip(sums, before, strict=True)) <= 1e-9 * whole:
-            release(groups)
-            return history
-        history.append(gaps)
-        before = sums
+        still = still + 1 if before is not None and max(abs(x - y) for x, y in zip(sums, before, strict=True)) <= 1e-6 * whole else 0
+        if near or still == 3:
+            return state.withColumn("rate", _stepped(history)["y"]).drop("__r", "__y")
+        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        if before is not None and sum(g * (x - y) for g, x, y in zip(gaps, sums, before, strict=True)) > 0:
+            t = after = 1.0  # the momentum leads away from the targets
+        history.append((gaps, (t - 1) / after))
+        before, t = sums, after
+        if len(history) == REPLAYED:
+            moved = state.withColumn("__s", _stepped(history)).withColumn("__r", F.col("__s.r")).withColumn("__y", F.col("__s.y")).drop("__s")
+            before_it, state, history = state, materialize(moved, "rates"), []
+            release(before_it)
     raise RuntimeError(f"rates didn't settle in {max_steps} steps: totals {sums}, targets {targets}")
 
 
@@ -137,13 +158,13 @@ def mix(
     sums = rows.agg(*(F.coalesce(F.sum(F.col("tokens") * F.element_at("shares", i + 1)), F.lit(0.0)) for i in range(len(domains)))).first()
     part = {d: weights[d] / sum(weights.values()) for d in domains}
     total = sums[domains.index(anchor)] / part[anchor] if anchor else sum(sums)
-    history = fit_rates(rows, [total * part[d] for d in domains])
-    return rows.select(
+    fitted = fit_rates(rows, [total * part[d] for d in domains])
+    return fitted.select(
         "doc_id",
         *(F.col(f"__keep_{c}").alias(c) for c in keep),
         "tokens",
         *(F.element_at("shares", i + 1).alias(f"share_{d}") for i, d in enumerate(domains)),
-        (_rate(history) if history else F.lit(1.0)).alias("rate"),
+        "rate",
     )
 
 
