@@ -10,6 +10,7 @@ from mapweave.operators import cluster as C
 from mapweave.operators import labels as L
 from mapweave.operators import metrics as M
 from mapweave.operators import spatial as S
+from mapweave.operators.layout import neighbour_layout as neighbour_embedding
 from mapweave.operators.plane import nearest_in_plane
 from mapweave.plans.registry import SQL_LABELS, article_labels, query, r6, vectors
 from mapweave.sources.tables import geojson
@@ -364,7 +365,7 @@ _LAND = f"land as (select cx, cy, country from placed where country <> {_WATER})
 
 @query(f"""with {_MAP}, {_LAND}, edges as (select cx, cy, country, s[1] as i, s[2] as j, cx + s[3] as x1, cy + s[4] as y1, cx + s[5] as x2, cy + s[6] as y2
   from land, unnest([[0, -1, 0, 0, 1, 0], [1, 0, 1, 0, 1, 1], [0, 1, 1, 1, 0, 1], [-1, 0, 0, 1, 0, 0]]) as t(s))
-select e.country, count(*) as edges, round(sum(x1 * {_CELL}), 3) as x1, round(sum(y1 * {_CELL}), 3) as y1, round(sum(x2 * {_CELL}), 3) as x2, round(sum(y2 * {_CELL}), 3) as y2
+select e.country, count(*) as edges, round(sum(x1 * {_CELL}::double), 3) as x1, round(sum(y1 * {_CELL}::double), 3) as y1, round(sum(x2 * {_CELL}::double), 3) as x2, round(sum(y2 * {_CELL}::double), 3) as y2
 from edges e left join land o on o.cx = e.cx + i and o.cy = e.cy + j where o.country is distinct from e.country group by 1""")
 def border_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Border segments, summed up by country."""
@@ -407,3 +408,22 @@ def kmeans_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pca_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default layout."""
     return C.pca_layout(vectors(spark, sf_dir)).select("article_id", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query()
+def neighbour_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the countries as targets."""
+    v = vectors(spark, sf_dir)
+    found = neighbour_embedding(v, groups=v.select("article_id", "country"))
+    return found.select("article_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+@query()
+def layout_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2-G4, G8 over the plane of the largest variances instead of the first two dimensions, with random water."""
+    v = vectors(spark, sf_dir)
+    plane = C.pca_layout(v).select("article_id", (F.col("x") * 100).alias("x"), (F.col("y") * 100).alias("y"))
+    points = plane.join(v.select("article_id", "country"), "article_id")
+    box = S.bounding_box(points)
+    cells = S.voronoi_cells(S.with_water(points, box, _WATER), _CELL, box)
+    return S.regions(cells.filter(F.col("country") != _WATER))

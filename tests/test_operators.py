@@ -546,3 +546,20 @@ def test_joint_kmeans_equals_the_plain_loop(spark):
     assert {r.article_id: r.country for r in cluster.joint_kmeans(rows, labels, k).collect()} == dict(enumerate(group.tolist()))
     with pytest.raises(RuntimeError):
         cluster.joint_kmeans(rows, labels, k, max_iterations=1)
+
+
+def test_neighbour_layout_keeps_groups_together(spark):
+    import numpy as np
+
+    from mapweave.operators import layout
+
+    assert layout.curve(1.0, 0.1) == (pytest.approx(1.577, abs=2e-3), pytest.approx(0.895, abs=2e-3))
+    rng = np.random.default_rng(3)
+    rows = [(i, (np.eye(12)[i % 12] + rng.normal(size=12) * 0.15).tolist(), i % 12) for i in range(120)]
+    v = spark.createDataFrame(rows, "article_id long, vector array<double>, country int")
+
+    def share(xy):
+        placed = xy.join(v, "article_id").withColumnRenamed("article_id", "id")
+        return metrics.neighbour_homogeneity(placed, 3).agg(F.avg("share")).first()[0]
+
+    assert share(layout.neighbour_layout(v, k=8, rounds=25)) > 0.9 > 0.6 > share(cluster.pca_layout(v))
