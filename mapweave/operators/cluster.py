@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.functions.vectors import cosine_distance, euclidean
+from mapweave.functions.vectors import cosine_distance, diagonal_distance
 from mapweave.operators.labels import top_per_group
 from mapweave.runtime import materialize, release
 
@@ -139,7 +139,7 @@ def joint_kmeans(
 
     for _ in range(max_iterations):
         place = F.col("country") + 1
-        near = cosine_distance("vector", F.element_at(_literal(centres), place)) * (1 - plane_weight - label_weight) + euclidean("xy", F.element_at(_literal(flat), place)) / (span * 2**0.5) * plane_weight
+        near = cosine_distance("vector", F.element_at(_literal(centres), place)) * (1 - plane_weight - label_weight) + diagonal_distance("xy", F.element_at(_literal(flat), place), span) * plane_weight
         pairs = base.withColumn("country", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
         before = state
         if two_stages:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.functions.vectors import cosine_distance, euclidean
+from mapweave.functions.vectors import cosine_distance, euclidean, l2_normalised
 from mapweave.operators import cluster as C
 from mapweave.operators import labels as L
 from mapweave.operators import metrics as M
@@ -427,3 +427,10 @@ def layout_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = S.bounding_box(points)
     cells = S.voronoi_cells(S.with_water(points, box, _WATER), _CELL, box)
     return S.regions(cells.filter(F.col("country") != _WATER))
+
+
+@query(f"with {_V} select id, i::int as pos, round(1000 * e[i] / sqrt({_DOT.format('e', 'e')}), 6) as value from v, unnest(generate_series(1, len(e))) as g(i)")
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of norm 1000."""
+    rows = vectors(spark, sf_dir).select("id", F.posexplode(F.transform(l2_normalised("vector"), lambda x: x * 1000)).alias("p", "value"))
+    return rows.select("id", (F.col("p") + 1).alias("pos"), r6("value").alias("value"))

@@ -512,7 +512,8 @@ def test_hierarchy_score_by_scaled_values(spark):
     assert found["a"] == (0.0, 0.0) and found["b"] == (1.0, pytest.approx(0.25 * math.log(100 / 6)))
 
 
-def test_joint_kmeans_equals_the_plain_loop(spark):
+@pytest.mark.parametrize(("label", "flat_part", "sign"), [(0.08, 0.05, -1), (0.2, 0.05, 1), (0.08, 0.0, -1), (0.0, 0.05, -1)])
+def test_joint_kmeans_equals_the_plain_loop(spark, label, flat_part, sign):
     import numpy as np
 
     rng = np.random.default_rng(8)
@@ -536,14 +537,14 @@ def test_joint_kmeans_equals_the_plain_loop(spark):
         steps += 1
         sums = np.array([m[group == j].sum(axis=0) for j in range(k)])
         plane = np.linalg.norm(xy[:, None] - flat[None], axis=2) / ((xy.max() - xy.min()) * 2**0.5)
-        group = ((1 - unit(v) @ unit(c).T) * 0.87 + plane * 0.05 - (1 - unit(m) @ unit(sums).T) * 0.08).argmin(axis=1)
+        group = ((1 - unit(v) @ unit(c).T) * (1 - flat_part - label) + plane * flat_part + sign * (1 - unit(m) @ unit(sums).T) * label).argmin(axis=1)
         c, old, flat = means(v, group, c), c, means(xy, group, flat)
         if np.abs(c - old).sum(axis=1).max() < 5e-5:
             break
     rows = spark.createDataFrame([(i, v[i].tolist(), *xy[i].tolist()) for i in range(n)], "article_id long, vector array<double>, x double, y double")
     labels = spark.createDataFrame([(int(i), f"l{j}", float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "article_id long, label string, weight double")
-    assert steps > 2
-    assert {r.article_id: r.country for r in cluster.joint_kmeans(rows, labels, k).collect()} == dict(enumerate(group.tolist()))
+    assert steps > 1
+    assert {r.article_id: r.country for r in cluster.joint_kmeans(rows, labels, k, label, flat_part, sign).collect()} == dict(enumerate(group.tolist()))
     with pytest.raises(RuntimeError):
         cluster.joint_kmeans(rows, labels, k, max_iterations=1)
 
