@@ -105,12 +105,3 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         end = min(max(end, row + 1), len(column))
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
-
-
-def binary_lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """A binary column whose row i has the bytes of values[bounds[i]:bounds[i + 1]]."""
-    width = values.dtype.itemsize
-    place = (np.asarray(bounds, np.int64) * width).astype(np.int64)
-    return pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(place) - 1, [None, pa.py_buffer(place), pa.py_buffer(np.ascontiguousarray(values))]
-    ).cast(pa.binary())
