@@ -83,23 +83,41 @@ def hexadecimal(value: Column) -> Column:
 RANGE_ROWS, HEAVY = 256, 16
 
 
-def _ranged(docs: DataFrame) -> DataFrame:
-    """docs with place, range and group; ranges follow the order of ids, and groups of ranges that of ranges.
-
-    Ids are cut into ranges of equal width for RANGE_ROWS rows each on average; a range that holds many more, as when some ids lie far
-    from the others, is cut again over its own span. Null ids come last, in a range of their own.
+def _cut(docs: DataFrame, cuts: list[tuple[float, DataFrame | None]]) -> DataFrame:
+    """docs with c0, c1, ...: the numbers of an id's ranges, from the widest on. They follow the order of ids."""
+    for k, (step, heavy) in enumerate(cuts):
+        if heavy is None:
+            docs = docs.withColumn("c0", F.coalesce(F.floor(F.col("doc_id").cast("double") / step), F.lit(-(1 << 62))))
+        else:
+            fine = F.coalesce(F.floor((F.col("doc_id") - F.col("start")) / F.col("step")), F.lit(0))
+            docs = docs.join(heavy, [f"c{i}" for i in range(k)], "left").withColumn(f"c{k}", fine).drop("start", "step")
+    return docs
+
+
+def _cuts(ids: DataFrame, most: int = 12) -> list[tuple[float, DataFrame | None]]:
+    """How to cut ids into ranges of about RANGE_ROWS rows, by ids alone.
+
+    First all ids by one width; then, as long as some range holds HEAVY times as many (some ids lie far from the others), such ranges by their
+    own span. A level's table has a row for each of these. Rows of one id stay together.
     """
-    low, high, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, (int(high or 0) - int(low or 0) + 1) * RANGE_ROWS // max(rows, 1))
-    wide = F.coalesce(F.expr(f"doc_id div {width}"), F.lit(-(abs(int(low or 0)) // width) - 1)).cast("long")
-    docs = docs.withColumn("wide", wide)
-    heavy = docs.groupBy("wide").agg(F.count("*").alias("n"), F.min("doc_id").alias("start"), F.max("doc_id").alias("end")).filter(f"n > {HEAVY * RANGE_ROWS} and start < end")
-    step = F.greatest(F.lit(1), F.floor((F.col("end").cast("double") - F.col("start") + 1) * RANGE_ROWS / F.col("n")))
-    heavy = materialize(heavy.select("wide", "start", step.alias("step")), "heavy")
-    fine = F.coalesce(F.floor((F.col("doc_id") - F.col("start")) / F.col("step")), F.lit(0))
-    docs = docs.join(heavy, "wide", "left").withColumn("fine", fine).withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    group = F.struct(F.floor(F.col("wide") / 4096), F.floor(F.col("fine") / 4096))
-    return docs.withColumn("range", F.struct("wide", "fine")).withColumn("group", group).drop("wide", "fine", "start", "step")
+    low, high, rows = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    cuts: list[tuple[float, DataFrame | None]] = [(max(1.0, (int(high or 0) - int(low or 0) + 1) * RANGE_ROWS / max(rows, 1)), None)]
+    while len(cuts) < most:
+        keys = [f"c{i}" for i in range(len(cuts))]
+        held = _cut(ids, cuts).groupBy(*keys).agg(F.count("*").alias("n"), F.min("doc_id").alias("start"), F.max("doc_id").alias("end"))
+        step = F.greatest(F.lit(1.0), (F.col("end") - F.col("start") + 1) * float(RANGE_ROWS) / F.col("n"))
+        heavy = materialize(held.filter(f"n > {HEAVY * RANGE_ROWS} and start < end").select(*keys, "start", step.alias("step")), "heavy")
+        if heavy.isEmpty():
+            break
+        cuts.append((0.0, heavy))
+    return cuts
+
+
+def _ranged(docs: DataFrame, cuts: list[tuple[float, DataFrame | None]]) -> DataFrame:
+    """docs with place, range and group; ranges follow the order of ids, and groups of ranges that of ranges. Null ids come last, in a range of their own."""
+    names = [f"c{i}" for i in range(len(cuts))]
+    out = _cut(docs, cuts).withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    return out.withColumn("range", F.struct(*names)).withColumn("group", F.struct(*(F.floor(F.col(c) / 4096).alias(c) for c in names))).drop(*names)
 
 
 def _with_next(docs: DataFrame, *carried: str) -> DataFrame:
@@ -110,7 +128,8 @@ def _with_next(docs: DataFrame, *carried: str) -> DataFrame:
     equal ids are ordered by their text.
     """
     columns = docs.columns
-    ranges = _ranged(docs.select("doc_id"))
+    cuts = _cuts(docs.select("doc_id"))
+    ranges = _ranged(docs.select("doc_id"), cuts)
     tails = ranges.groupBy("range", "group").agg(F.max("place").alias("place"))
     tails = tails.withColumn("next", F.lead("range").over(Window.partitionBy("group").orderBy("range")))
     #: One row for about a million documents; the last range leads to the first.
@@ -119,7 +138,7 @@ def _with_next(docs: DataFrame, *carried: str) -> DataFrame:
     groups = groups.select("group", F.coalesce(F.lead("first").over(Window.orderBy("group")), F.min("first").over(whole)).alias("wrap"))
     tails = materialize(tails.join(groups, "group").select("range", "place", F.coalesce("next", "wrap").alias("next")), "tails")
 
-    sent = _ranged(docs).join(tails, ["range", "place"], "left")
+    sent = _ranged(docs, cuts).join(tails, ["range", "place"], "left")
     both = F.filter(F.array(F.struct(F.col("range").alias("r"), F.lit(1).alias("own")), F.struct(F.col("next").alias("r"), F.lit(0).alias("own"))), lambda x: x["r"].isNotNull())
     sent = sent.select(*columns, "place", F.explode(both).alias("to")).select(*columns, "place", "to.r", "to.own")
     inside = Window.partitionBy("r").orderBy("own", "place", "text")

@@ -208,9 +208,12 @@ def test_simhash(spark):
 def test_simhash_neighbours_of_far_ids(spark, monkeypatch):
     """A few ids far from all others don't gather the texts in one range."""
     monkeypatch.setattr(simhash, "RANGE_ROWS", 4)
+    monkeypatch.setattr(simhash, "HEAVY", 2)
     ids = [*range(0, 600, 3), 10**15, -(10**15), 2**62, None]
     rows = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
-    sizes = simhash._ranged(rows).groupBy("range").count().agg(F.max("count")).first()[0]
+    cuts = simhash._cuts(rows)
+    assert len(cuts) >= 3
+    sizes = simhash._ranged(rows, cuts).groupBy("range").count().agg(F.max("count")).first()[0]
     assert sizes <= 8
     order = sorted((i for i in ids if i is not None), reverse=True) + [None]
     found = {r.doc_id: r.next_text for r in simhash._with_next(rows, "text").collect()}
