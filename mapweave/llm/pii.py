@@ -130,7 +130,11 @@ def listed(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of the base kinds, a hash of the base spans, and all spans of each row."""
+    """Counts of the base kinds, a hash of the base spans, and all spans of each row.
+
+    A null or empty text has none: counts of 0, the hash of nothing and an empty list. Rows are judged one by one, repeated rows and rows with
+    a null id like any other. Extra columns are ignored.
+    """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = find_spans(own).select("doc_id", "spans")
     count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")

@@ -306,7 +306,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def accepted(docs: DataFrame, w: np.ndarray, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, whose text scores 0.5 or more under the weights."""
+    """The rows of docs, with all columns, whose text scores 0.5 or more under the weights.
+
+    Null and empty texts are scored like any other; rows are judged one by one, whatever their ids.
+    """
     place = docs.columns.index(text_col)
 
     def run(batches):

@@ -162,12 +162,13 @@ def _make(folder: str) -> None:
 def normalise(files: DataFrame, folder: str) -> DataFrame:
     """Rewrite each file of files.file with a member for each record; the index rows (file, offset, length).
 
-    Beside each file lies its index as lines of JSON, name.idx. Members of the input may hold any number of records.
+    Beside each file lies its index as lines of JSON, name.idx. Members of the input may hold any number of records. Names begin with a
+    hash of the input's path, so that files of one name in several folders stay apart. No files give no rows.
     """
     folder = _uri(folder)
 
     def one(file: str):
-        name = f"{folder}/{file.rpartition('/')[2]}"
+        name = f"{folder}/{hashlib.sha1(file.encode()).hexdigest()[:12]}-{file.rpartition('/')[2]}"
         rows: list[tuple[int, int]] = []
         system, place = _open(file)
 
@@ -254,7 +255,10 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id
 
 
 def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Index rows of the normalised archives of pages, written to the shared folder."""
+    """Index rows of the normalised archives of pages, written to the shared folder.
+
+    Every row is a record: null and empty html, null ids and repeated rows as with_revisits() says. Without pages there are no records.
+    """
     spark: SparkSession = pages.sparkSession
     folder = shared_path(spark, "warc")
     written = materialize(write_monolithic(with_revisits(pages, least_bytes), f"{folder}/whole"), "written")
@@ -263,6 +267,6 @@ def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write pages, normalise the archives, and read every record back by its offset."""
+    """Write pages, normalise the archives, and read every record back by its offset: a row for each page, odd ones as in with_revisits()."""
     index = archive(pages, least_bytes)
     return read_records(index.sortWithinPartitions("file", "offset")).drop("html")

@@ -315,6 +315,35 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(x.html for x in kept) == sorted(h or "" for _, _, h in rows)
 
 
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "<a>"), (2, "v", "<b>")], "page_id long, url string, html string")
+    written = [warc.write_monolithic(warc.with_revisits(pages.filter(f"page_id = {i}")).coalesce(1), str(tmp_path / f"in{i}")).collect() for i in (1, 2)]
+    files = [r.file for rows in written for r in rows if r.records]
+    assert len(files) == 2 and len({f.rpartition("/")[2] for f in files}) == 1
+    index = warc.normalise(spark.createDataFrame([(f,) for f in files], "file string"), str(tmp_path / "out"))
+    assert sorted(x.html for x in warc.read_records(index).collect()) == ["<a>", "<b>"]
+
+
+def test_rows_without_ids_have_their_spans(spark):
+    rows = [(None, "mail a@b.org"), (None, "mail a@b.org"), (1, "mail a@b.org"), (1, None)]
+    assert sorted((str(x.doc_id), x.n_email, x.spans) for x in pii.digest(documents(spark, rows)).collect()) == [("1", 0, ""), ("1", 1, "email:5:12"), ("None", 1, "email:5:12"), ("None", 1, "email:5:12")]
+
+
+def test_licences_of_odd_rows(spark):
+    rows = [(None, "Released under the MIT License."), (1, "Released under the MIT License."), (1, "Released under the MIT License."), (2, None)]
+    found = sorted((str(x.doc_id), x.licence) for x in licences.scan(documents(spark, rows)).collect() if x.licence)
+    assert found == [("1", "MIT"), ("1", "MIT"), ("None", "MIT")]
+
+
+def test_mixing_of_repeated_ids(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (2, "rude words here"), (None, "x y")]
+    labels = spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, domain string")
+    found = mixing.mix(documents(spark, rows), labels, {"x": 0.5, "y": 0.5}).collect()
+    assert sorted(str(x.doc_id) for x in found) == ["1", "1", "2", "None"] and all(x.rate >= 0 for x in found)
+    kept = mixing.sampled(documents(spark, rows), labels, {"x": 0.5, "y": 0.5}, None, ["doc_id", "text"]).collect()
+    assert sum(x.doc_id is None for x in kept) == 1
+
+
 def test_inflating_many_members():
     import gzip
     import io
