@@ -77,7 +77,13 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete tables that materialize() wrote and that nothing will read any more."""
+    """Delete tables that materialize() wrote and that nothing will read any more.
+
+    An operator of many steps leaves plans and metrics of finished queries on the driver's heap, which grows to its limit before they
+    are collected; they are collected here, so that what the driver takes follows what it needs.
+    """
     for table in tables:
         if path := _PLACES.pop(table, None):
             delete_path(table.sparkSession, path)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
