@@ -58,7 +58,9 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     This cuts the lineage: any executor can read the files again after another one is lost. The shuffle files of
-    this step aren't needed once the table stands; release() removes the table itself.
+    this step aren't needed once the table stands; release() removes the table itself. An operator of many steps leaves plans and metrics of
+    finished queries on the driver's heap, which grows to its limit before they are collected: they are collected here, so that
+    a small driver lasts.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
@@ -71,19 +73,14 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
             spark.conf.unset(_CLEAN_UP)
         else:
             spark.conf.set(_CLEAN_UP, before)
+    spark.sparkContext._jvm.System.gc()
     table = spark.read.schema(df.schema).parquet(path)
     _PLACES[table] = path
     return table
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete tables that materialize() wrote and that nothing will read any more.
-
-    An operator of many steps leaves plans and metrics of finished queries on the driver's heap, which grows to its limit before they
-    are collected; they are collected here, so that what the driver takes follows what it needs.
-    """
+    """Delete tables that materialize() wrote and that nothing will read any more."""
     for table in tables:
         if path := _PLACES.pop(table, None):
             delete_path(table.sparkSession, path)
-    if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
