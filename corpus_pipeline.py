@@ -38,7 +38,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     near nothing and stay. Rows with a null id stay.
     """
     own = docs.select(*COLUMNS)
-    gone = minhash.near_duplicates(own, shingle_words=5, percent=80).filter("not kept").select("doc_id").distinct()
+    gone = materialize(minhash.near_duplicates(own, shingle_words=5, percent=80).filter("not kept").select("doc_id").distinct(), "gone")
     row = F.xxhash64(*COLUMNS)
     again = own.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__rows"), F.min(row).alias("__row")).filter("__rows > 1")
     again = materialize(again.join(gone, "doc_id", "left_anti"), "again")
