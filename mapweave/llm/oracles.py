@@ -91,10 +91,45 @@ select doc_id, {", ".join(f"coalesce(n_{k[0]}, 0) as n_{k[0]}" for k in kinds)},
 from texts left join counted using (doc_id)"""
 
 
+def _hex_group(i: int) -> str:
+    return f"('0x' || substr(seed, {8 * i + 1}, 8))::bigint"
+
+
+INFILL = f"""with texts as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(doc_id::varchar, '')) as seed from documents),
+drawn as (select *, {_hex_group(0)} % (n + 1) as c1, {_hex_group(1)} % (n + 1) as c2,
+  case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or {_hex_group(2)} % 100 >= 90 then 'plain' when {_hex_group(3)} % 100 < 20 then 'spm' else 'psm' end as form from texts),
+cut as (select *, least(c1, c2) as low, greatest(c1, c2) as high from drawn),
+pieces as (select *, substr(t, 1, low) as prefix, substr(t, low + 1, high - low) as middle, substr(t, high + 1) as suffix from cut)
+select doc_id, n, form, case when form <> 'plain' then low end as prefix_chars, case when form <> 'plain' then high - low end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(t) as restored_sha256 from pieces"""
+
+
+def _balls(k: int = 16, rounds: int = 3) -> str:
+    """Every distance is computed; centroids (c, m) are lists of whole numbers."""
+    parts = [
+        """w as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v, row_number() over () as r
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        f"c0 as (select row_number() over (order by sha256('1:' || vec_id), v) - 1 as c, v as m from w order by sha256('1:' || vec_id), v limit {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"d{i} as (select r, vec_id, v, c, list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from w cross join c{i})")
+        parts.append(f"a{i} as (select r, any_value(vec_id) as vec_id, any_value(v) as v, min(d) as d, arg_min(c, (d, c)) as c from d{i} group by r)")
+        if i < rounds:
+            parts.append(f"s{i} as (select c, p, sum(x) as s, count(*) as n from (select c, unnest(v) as x, unnest(generate_series(1, 64)) as p from a{i}) group by c, p)")
+            parts.append(f"f{i} as (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by p) as m from s{i} group by c)")
+            parts.append(f"c{i + 1} as (select c{i}.c, coalesce(f{i}.m, c{i}.m) as m from c{i} left join f{i} using (c))")
+    return f"""with {", ".join(parts)}
+select vec_id, a.c as cluster, d as distance, (sum(d) over (partition by a.c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia,
+  sha256(array_to_string(m, ',')) as centroid_sha256 from a{rounds} a join c{rounds} using (c)"""
+
+
 ORACLES = {
     "op1_minhash": MINHASH,
     "op2_embedding": EMBEDDING,
     "op7_pii": _pii(),
     "op8_warc": WARC,
     "op10_substring": SUBSTRING,
+    "op12_infill": INFILL,
+    "op13_balls": _balls(),
 }

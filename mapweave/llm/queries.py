@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import embedding, licences, minhash, mixing, packing, pii, quality, simhash, substring, warc
+from mapweave.llm import balls, embedding, infill, licences, minhash, mixing, packing, pii, quality, simhash, substring, toxicity, warc
 from mapweave.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -68,6 +68,22 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(_table(spark, sf_dir, "documents"), **packing.byte_level(public_tokenizers), capacity=2048)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels.toxic marks the documents; rows whose crc32 modulo 3 is 1 are held out; 1 is predicted from 0.7 on."""
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units are code points; 90 in 100 documents are rearranged, 20 in 100 of these with the suffix first."""
+    made = infill.transform(_table(spark, sf_dir, "documents"), unit=infill.CODE_POINT, seed=1, rate=90, spm=20)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op13_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 clusters of vectors of 64 components, three rounds."""
+    return balls.cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_embedding": op2_embedding,
@@ -79,4 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_substring": op10_substring,
+    "op11_toxicity": op11_toxicity,
+    "op12_infill": op12_infill,
+    "op13_balls": op13_balls,
 }
