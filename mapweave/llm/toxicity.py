@@ -97,20 +97,22 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _gradients(rows: DataFrame, w: Weights) -> DataFrame:
-    """(place, g): summed gradients of the log loss over rows (mark, text), by coordinate; place -1 is the constant."""
+    """(place, g): summed gradients of the log loss over rows (mark, places), by coordinate; place -1 is the constant."""
 
     def run(batches):
         table = w.table()
         for batch in batches:
-            mark = batch.column(0).to_numpy().astype(float)
-            for start, end, data, offsets in chunks(_lower(batch.column(1))):
-                error = _sigmoid(w.margins(table, data, offsets)) - mark[start:end]
-                keys = np.unique(np.concatenate([(row << w.bits) | place for row, place in terms(data, offsets, w.bits)]))
-                sums = np.bincount(keys & ((1 << w.bits) - 1), error[keys >> w.bits], 1 << w.bits)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                own, mark = part.column(1), part.column(0).to_numpy().astype(float)
+                row = np.repeat(np.arange(len(own)), np.diff(own.offsets.to_numpy()))
+                place = own.flatten().to_numpy()
+                error = _sigmoid(w.bias + np.bincount(row, table[place], len(own))) - mark
+                sums = np.bincount(place, error[row], 1 << w.bits)
                 seen = np.flatnonzero(sums)
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(sums[seen], error.sum()))], ["place", "g"])
 
-    return rows.select("mark", "text").mapInArrow(run, "place long, g double").groupBy("place").agg(F.sum("g").alias("g"))
+    return rows.select("mark", "places").mapInArrow(run, "place long, g double").groupBy("place").agg(F.sum("g").alias("g"))
 
 
 def weight(z: Column, n: Column, alpha: float, beta: float, l1: Column, l2: float) -> Column:
@@ -120,24 +122,27 @@ def weight(z: Column, n: Column, alpha: float, beta: float, l1: Column, l2: floa
 
 @dataclass(frozen=True)
 class Rates:
-    """alpha and beta set the steps; l1 is counted in gradients of a whole pass; batches and passes say how the rows are gone through."""
+    """alpha and beta set the steps; l1 is for one row and grows with the root of their number, as the noise of a sum of gradients does.
 
-    alpha: float = 0.5
+    The rows are dealt to batches, and these are gone through `passes` times.
+    """
+
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 10.0
-    l2: float = 1.0
+    l1: float = 0.3
+    l2: float = 0.1
     batches: int = 4
-    passes: int = 4
+    passes: int = 5
 
 
 def fit(sample: DataFrame, bits: int = 20, rates: Rates = Rates(), most_weights: int = 200_000) -> Weights:
-    """Weights from rows (mark, batch, text), mark 0 or 1. The constant starts at the log-odds of the marks; it has no l1."""
+    """Weights from rows (mark, batch, places), mark 0 or 1. The constant starts at the log-odds of the marks; it has no l1."""
     n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("mark"), F.lit(0))).first()
     if not n:
         return Weights(bits)
     w = Weights(bits, start := float(np.log((positive + 0.5) / (n - positive + 0.5))))
     state = None
-    l1 = F.when(F.col("place") < 0, 0.0).otherwise(rates.l1)
+    l1 = F.when(F.col("place") < 0, 0.0).otherwise(rates.l1 * n**0.5)
     own = weight(F.col("z"), F.col("n"), rates.alpha, rates.beta, l1, rates.l2)
     for step in range(rates.passes * rates.batches):
         told = _gradients(sample.filter(F.col("batch") == step % rates.batches), w).select("place", F.lit(0.0).alias("z"), F.lit(0.0).alias("n"), "g")
@@ -157,8 +162,8 @@ def fit(sample: DataFrame, bits: int = 20, rates: Rates = Rates(), most_weights:
     return w
 
 
-def labelled(docs: DataFrame, labels: DataFrame, held_out: Column, label_col: str, most_labelled: int, batches: int) -> DataFrame:
-    """(mark, batch, text) of the labelled documents that aren't held out: all of them, or about most_labelled chosen by a hash of their ids.
+def labelled(docs: DataFrame, labels: DataFrame, held_out: Column, label_col: str, most_labelled: int, batches: int, bits: int) -> DataFrame:
+    """(mark, batch, places) of the labelled documents that aren't held out: all of them, or about most_labelled chosen by a hash of their ids.
 
     A document that is marked both ways counts as marked 1; rows that repeat an id are all taken.
     """
@@ -169,7 +174,16 @@ def labelled(docs: DataFrame, labels: DataFrame, held_out: Column, label_col: st
     if n > most_labelled:
         marks = marks.filter(drawn(1, 1_000_000) < int(1_000_000 * most_labelled / n))
     rows = docs.join(marks, "doc_id").select("mark", drawn(2, batches).cast("int").alias("batch"), "text")
-    return materialize(rows, "labelled", "batch")
+
+    def run(arrived):
+        for batch in arrived:
+            for start, end, data, offsets in chunks(_lower(batch.column(2))):
+                keys = np.unique(np.concatenate([np.zeros(0, np.int64), *((row << bits) | place for row, place in terms(data, offsets, bits))]))
+                ends = np.searchsorted(keys, np.arange(end - start + 1) << bits).astype(np.int32)
+                places = pa.ListArray.from_arrays(ends, pa.array((keys & ((1 << bits) - 1)).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, end - start) for i in (0, 1)), places], ["mark", "batch", "places"])
+
+    return materialize(rows.mapInArrow(run, "mark int, batch int, places array<int>"), "labelled", "batch")
 
 
 def score(
@@ -193,7 +207,7 @@ def score(
     """
     out = F.coalesce((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1) if held_out is None else held_out, F.lit(False))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = labelled(own, labels, out, label_col, most_labelled, rates.batches)
+    sample = labelled(own, labels, out, label_col, most_labelled, rates.batches, bits)
     w = fit(sample, bits, rates)
     release(sample)
 
