@@ -2,8 +2,8 @@
 
 Near vectors attract each other along the edges of their neighbour graph, all others are pushed apart through a few partners that are drawn
 anew, by a hash, in every round. A round is two joins and one aggregation over the points, so no point is ever gathered with all
-others. The fits run a fixed number of rounds with falling steps, alike on every run. Curves: 1 / (1 + a d**(2 b)), as in uniform manifold
-approximation; a = b = 1 is the heavy-tailed curve of t-distributed embeddings.
+others. Steps fall from round to round, alike on every run, until the points hardly move. Curves: 1 / (1 + a d**(2 b)), as in uniform manifold
+approximation; a = b = 1 is the heavy-tailed curve of t-distributed embeddings, which operators/tsne.py fits by their own divergence.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from mapweave.operators.cluster import pca_layout
 from mapweave.operators.labels import dense_ids
-from mapweave.operators.pairwise import nearest
+from mapweave.operators.neighbours import nearest_graph
 from mapweave.runtime import materialize, release
 
 
@@ -67,7 +67,8 @@ def fuzzy_edges(neighbours: DataFrame, k: int) -> DataFrame:
 def neighbour_layout(
     rows: DataFrame,
     k: int = 15,
-    rounds: int = 30,
+    still: float = 0.01,
+    max_rounds: int = 300,
     spread: float = 20.0,
     min_dist: float = 0.1,
     partners: int = 5,
@@ -77,15 +78,16 @@ def neighbour_layout(
     ab: tuple[float, float] | None = None,
     seed: int = 4,
 ) -> DataFrame:
-    """(article_id, x, y) of (article_id, vector): a neighbour embedding by cosine distance (K13; with ab = (1, 1) in place of K14).
+    """(article_id, x, y) of (article_id, vector): a neighbour embedding by cosine distance.
 
-    It starts from the plane of the largest variances; steps are `pace` times the summed forces at first and fall to none. groups (article_id, country) weakens edges between countries to exp(-5 *
-    group_weight / (1 - group_weight)) of their weight. Neighbours come from all pairs of blocks of vectors, whose
-    work grows with the square of the rows; rounds grow with the rows.
+    It starts from the plane of the largest variances; steps are `pace` times the summed forces at first and fall by 7 % a round. It is at rest
+    when points move by less than `still` of their mean distance from the middle, on average; that max_rounds don't bring it there is an error.
+    groups (article_id, country) weakens edges between countries to exp(-5 * group_weight / (1 - group_weight)) of their weight. Neighbours
+    are those of operators/neighbours.py, so that all work follows the rows.
     """
     a, b = ab or curve(1.0, min_dist / spread)  # in units of spread, which the result is scaled by
     own = materialize(rows.select("article_id", "vector").filter("vector is not null"), "vectors")
-    edges = fuzzy_edges(nearest(own.select(F.col("article_id").alias("id"), "vector"), k, "cosine"), k)
+    edges = fuzzy_edges(nearest_graph(own.select(F.col("article_id").alias("id"), "vector"), k, "cosine"), k)
     if groups is not None:
         g = groups.select("article_id", "country")
         edges = edges.join(g.withColumnsRenamed({"article_id": "u", "country": "cu"}), "u", "left").join(g.withColumnsRenamed({"article_id": "v", "country": "cv"}), "v", "left")
@@ -100,7 +102,7 @@ def neighbour_layout(
     count = state.count()
     clip = lambda c: F.least(F.lit(4.0), F.greatest(F.lit(-4.0), c))
     far = lambda: (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
-    for i in range(rounds):
+    for i in range(max_rounds):
         there = state.select(F.col("id").alias("v"), F.col("x").alias("ox"), F.col("y").alias("oy"))
         met = both.join(state.select(F.col("id").alias("u"), "x", "y"), "u").join(there, "v").withColumn("d", far())
         pull = F.when(F.col("d") > 0, F.lit(-2.0 * a * b) * F.pow("d", b - 1) / (1 + a * F.pow("d", b))).otherwise(0.0) * F.col("weight")
@@ -112,9 +114,15 @@ def neighbour_layout(
             asked.join(other, "m").withColumn("d", far()).select(F.col("id").alias("u"), *(clip(push * (F.col(c) - F.col(f"o{c}"))).alias(f"d{c}") for c in "xy"))
         )
         step = moved.groupBy(F.col("u").alias("id")).agg(F.sum("dx").alias("dx"), F.sum("dy").alias("dy"))
-        rate = pace * (1 - i / rounds)
-        added = state.join(step, "id", "left").select("id", *((F.col(c) + F.coalesce(f"d{c}", F.lit(0.0)) * rate).alias(c) for c in "xy"), "n")
-        before, state = state, materialize(added, "layout")
+        rate = pace * 0.93**i
+        dx, dy = (F.coalesce(f"d{c}", F.lit(0.0)) * rate for c in "xy")
+        added = state.join(step, "id", "left").select("id", (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), "n", F.sqrt(dx * dx + dy * dy).alias("moved"))
+        before, state = state, materialize(added, "layout", collect=False)
         release(before)
+        moved, radius = state.agg(F.coalesce(F.avg("moved"), F.lit(0.0)), F.coalesce(F.avg(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))), F.lit(1.0))).first()
+        if moved <= still * radius:
+            break
+    else:
+        raise RuntimeError(f"the layout did not come to rest in {max_rounds} rounds")
     release(both)
     return state.select(F.col("id").alias("article_id"), (F.col("x") * spread).alias("x"), (F.col("y") * spread).alias("y"))

@@ -10,7 +10,9 @@ from mapweave.operators import cluster as C
 from mapweave.operators import labels as L
 from mapweave.operators import metrics as M
 from mapweave.operators import spatial as S
+from mapweave.operators import tsne, voronoi
 from mapweave.operators.layout import neighbour_layout as neighbour_embedding
+from mapweave.operators.neighbours import nearest_graph
 from mapweave.operators.plane import nearest_in_plane
 from mapweave.plans.registry import SQL_LABELS, article_labels, query, r6, vectors
 from mapweave.sources.tables import geojson
@@ -382,6 +384,36 @@ def elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return high.select("cx", "cy", r6("height").alias("height"), S.palette(F.col("height"), F.col("country"), 10).alias("colour"))
 
 
+#: The grid on which the exact graph has its points.
+_GRAIN = 2.0**-20
+
+
+@query(f"""with p as (select vec_id as id, label as country, round(embedding[1]::double * 100 / {_GRAIN}) * {_GRAIN} as x, round(embedding[2]::double * 100 / {_GRAIN}) * {_GRAIN} as y from embeddings),
+b as (select min(x) - 10 as x0, max(x) + 10 as x1, min(y) - 10 as y0, max(y) + 10 as y1 from p),
+m as (select a.id as a, b.id as b, a.country is distinct from b.country as is_border, (a.x + b.x) / 2 as mx, (a.y + b.y) / 2 as my, a.y - b.y as dx, b.x - a.x as dy, a.x as ax, a.y as ay from p a join p b on a.id < b.id),
+halves as (select m.a, m.b, 2 * (c.x - ax) * dx + 2 * (c.y - ay) * dy as k, c.x ** 2 + c.y ** 2 - ax ** 2 - ay ** 2 - 2 * (c.x - ax) * mx - 2 * (c.y - ay) * my as r from m join p c on c.id <> m.a and c.id <> m.b
+  union all select a, b, dx, x1 - mx from m cross join b union all select a, b, -dx, mx - x0 from m cross join b union all select a, b, dy, y1 - my from m cross join b union all select a, b, -dy, my - y0 from m cross join b),
+span as (select a, b, max(r / k) filter (where k < 0) as low, min(r / k) filter (where k > 0) as high, bool_or(k = 0 and r < 0) as none from halves group by a, b)
+select a, b, is_border, round((high - low) * sqrt(dx ** 2 + dy ** 2), 4) as length from span join m using (a, b) where not none and high - low > 1e-9""")
+def voronoi_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which centres are neighbours, and how long a border they share."""
+    _, corners, edges = voronoi.voronoi_graph(_points(spark, sf_dir), margin=10.0, grain=_GRAIN)
+    ends = {c: corners.select(F.col("corner").alias(c), F.col("x").alias(f"x{c}"), F.col("y").alias(f"y{c}")) for c in "vw"}
+    dx, dy = F.col("xv") - F.col("xw"), F.col("yv") - F.col("yw")
+    return edges.join(ends["v"], "v").join(ends["w"], "w").select("a", "b", "is_border", F.round(F.sqrt(dx * dx + dy * dy), 4).alias("length"))
+
+
+@query()
+def voronoi_relief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights of all centres, those of the water too, whose ids are below 0."""
+    points = _points(spark, sf_dir)
+    sea = S.with_water(points.limit(0), S.bounding_box(points), _WATER, share=0.0)
+    number = -F.pmod(F.xxhash64("x", "y"), F.lit(1 << 62)) - 1
+    centres, _, edges = voronoi.voronoi_graph(points.unionByName(sea.withColumn("id", number)), margin=10.0, grain=_GRAIN)
+    _, heights = voronoi.relief(centres, edges, _WATER)
+    return centres.join(heights, "id").select("id", "country", "is_border", r6("elevation").alias("elevation"))
+
+
 @query()
 def random_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The random fifth."""
@@ -406,7 +438,7 @@ def kmeans_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pca_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The default layout."""
+    """The plane of the largest variances, where layouts start."""
     return C.pca_layout(vectors(spark, sf_dir)).select("article_id", r6("x").alias("x"), r6("y").alias("y"))
 
 
@@ -418,6 +450,20 @@ def neighbour_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("article_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
+@query()
+def tsne_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By cosine distance, perplexity 30."""
+    found = tsne.layout(vectors(spark, sf_dir), perplexity=30, still=0.02)
+    return found.select("article_id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round("divergence", 3).alias("divergence"))
+
+
+@query(f"""with {_V}, d as (select a.id, b.id as other, {_cos('a.e', 'b.e')} as d from v a join v b on a.id <> b.id),
+k as (select *, row_number() over (partition by id order by round(d, 12), other) as place from d) select id, other, round(d, 6) as distance, place::int as place from k where place <= 10""")
+def cosine_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J14, J15 in all dimensions: the neighbour graph that the layouts start from."""
+    return nearest_graph(vectors(spark, sf_dir), 10, "cosine").select("id", "other", r6("distance").alias("distance"), "place")
+
+
 @query()
 def layout_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G2-G4, G8 over the plane of the largest variances instead of the first two dimensions, with random water."""

@@ -54,13 +54,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, *partition_by: str, collect: bool = True) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     This cuts the lineage: any executor can read the files again after another one is lost. The shuffle files of
     this step aren't needed once the table stands; release() removes the table itself. An operator of many steps leaves plans and metrics of
     finished queries on the driver's heap, which grows to its limit before they are collected: they are collected here, so that
-    a small driver lasts.
+    a small driver lasts. Loops of short steps do without that (collect).
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
@@ -73,7 +73,8 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
             spark.conf.unset(_CLEAN_UP)
         else:
             spark.conf.set(_CLEAN_UP, before)
-    spark.sparkContext._jvm.System.gc()
+    if collect:
+        spark.sparkContext._jvm.System.gc()
     table = spark.read.schema(df.schema).parquet(path)
     _PLACES[table] = path
     return table

@@ -563,4 +563,4 @@ def test_neighbour_layout_keeps_groups_together(spark):
         placed = xy.join(v, "article_id").withColumnRenamed("article_id", "id")
         return metrics.neighbour_homogeneity(placed, 3).agg(F.avg("share")).first()[0]
 
-    assert share(layout.neighbour_layout(v, k=8, rounds=25)) > 0.9 > 0.6 > share(cluster.pca_layout(v))
+    assert share(layout.neighbour_layout(v, k=8)) > 0.9 > 0.6 > share(cluster.pca_layout(v))
