@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mapweave.functions.text import with_word_forms
+from mapweave.operators.quantiles import quantiles
 from mapweave.runtime import materialize
 
 
@@ -116,7 +117,7 @@ def average_rank(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 def below_percentile(rows: DataFrame, value: str, p: float) -> DataFrame:
     """Rows whose value is strictly below the exact, interpolated percentile of all (F8)."""
-    cut = rows.agg(F.percentile(value, F.lit(p)).alias("cut"))
+    cut = quantiles(rows, value, p).withColumnRenamed("quantile", "cut")
     return rows.crossJoin(F.broadcast(cut)).filter(F.col(value) < F.col("cut")).drop("cut")  # cut is one row
 
 

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mapweave.operators.graph import connected_components
 from mapweave.operators.plane import nearest_in_plane
@@ -133,40 +133,46 @@ def borders(region_cells: DataFrame, size: float) -> DataFrame:
     return open_.select("region", "country", at("cx", "ax").alias("x1"), at("cy", "ay").alias("y1"), at("cx", "bx").alias("x2"), at("cy", "by").alias("y2"))
 
 
+def ring_edges(border_edges: DataFrame) -> DataFrame:
+    """(region, country, low, place, x1, y1, x2, y2): each border edge with its ring, named by the ring's least edge, and its place from there.
+
+    The edge that goes on from an edge's end is the one that turns most to the left, so that at a corner that a region touches twice the
+    ring stays in the same cell. Rings are found by pointer doubling: in each round an edge learns the least edge among twice as many as before, and how
+    far it is, until no edge learns anything. No region or ring has to fit in a task, and rounds are the logarithm of the longest ring.
+    """
+    corners = F.struct("x1", "y1", "x2", "y2")
+    edges = materialize(border_edges.select("region", "country", "x1", "y1", "x2", "y2").withColumn("edge", F.monotonically_increasing_id()), "edges")
+    after = edges.select("region", F.col("edge").alias("to"), F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("x2").alias("x3"), F.col("y2").alias("y3"))
+    ax, ay, bx, by = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("x3") - F.col("x2"), F.col("y3") - F.col("y2")
+    turn = F.atan2(ax * by - ay * bx, ax * bx + ay * by)
+    onward = edges.join(after, ["region", "x2", "y2"]).groupBy("edge").agg(F.max_by("to", turn).alias("to"))
+    state = materialize(edges.join(onward, "edge").select("edge", "to", corners.alias("low"), F.lit(0).cast("long").alias("far"), F.lit(True).alias("learnt")), "pointers")
+    reach = 1
+    while not state.filter("learnt").isEmpty():
+        there = state.select(F.col("edge").alias("to"), F.col("to").alias("next"), F.col("low").alias("their_low"), F.col("far").alias("their_far"))
+        less = F.col("their_low") < F.col("low")
+        told = state.join(there, "to").select(
+            "edge", F.col("next").alias("to"), F.least("low", "their_low").alias("low"), F.when(less, F.col("their_far") + reach).otherwise(F.col("far")).alias("far"), less.alias("learnt")
+        )
+        before, state = state, materialize(told, "pointers", collect=False)
+        release(before)
+        reach *= 2
+    rings = edges.join(state.select("edge", "low", "far"), "edge")
+    sizes = rings.groupBy("region", "low").agg(F.count("*").alias("n"))
+    return rings.join(sizes, ["region", "low"]).select("region", "country", "low", F.pmod(F.col("n") - F.col("far"), F.col("n")).alias("place"), "x1", "y1", "x2", "y2")
+
+
 def outlines(border_edges: DataFrame) -> DataFrame:
     """(region, country, ring, hole, points): closed rings along each region's border, holes running the other way.
 
-    A task holds the border of one region; borders are much shorter than regions are large.
+    Points come in order from ring_edges(); a hole is a ring of negative area. A row of the result holds one ring.
     """
-
-    def run(edges: pd.DataFrame) -> pd.DataFrame:
-        after: dict[tuple, list[tuple]] = {}
-        for e in edges.sort_values(["x1", "y1", "x2", "y2"]).itertuples():
-            after.setdefault((e.x1, e.y1), []).append((e.x2, e.y2))
-        out = []
-        while after:
-            start = min(after)
-            ring, at, before = [start], start, None
-            while True:
-                choices = after[at]
-                # at a corner that the region touches twice, keep to the left turn that stays in the same cell
-                pick = 0
-                if len(choices) > 1 and before is not None:
-                    turn = lambda c, b=before, a=at: (a[0] - b[0]) * (c[1] - a[1]) - (a[1] - b[1]) * (c[0] - a[0])
-                    pick = max(range(len(choices)), key=lambda i: turn(choices[i]))
-                nxt = choices.pop(pick)
-                if not choices:
-                    del after[at]
-                ring.append(nxt)
-                before, at = at, nxt
-                if at == start:
-                    break
-            area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False)) / 2
-            out.append((edges.region.iloc[0], edges.country.iloc[0], len(out), area < 0, [{"x": x, "y": y} for x, y in ring]))
-        return pd.DataFrame(out, columns=["region", "country", "ring", "hole", "points"])
-
-    schema = "region long, country int, ring int, hole boolean, points array<struct<x:double,y:double>>"
-    return border_edges.groupBy("region").applyInPandas(run, schema)
+    area = F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "x1", "y1")))
+    rings = ring_edges(border_edges).groupBy("region", "country", "low").agg(area.alias("area"), ordered.alias("p"))
+    points = F.transform(F.concat("p", F.slice("p", 1, 1)), lambda e: F.struct(e["x1"].alias("x"), e["y1"].alias("y")))
+    number = F.row_number().over(Window.partitionBy("region").orderBy("low")) - 1  # rings, not edges
+    return rings.select("region", "country", number.alias("ring"), (F.col("area") < 0).alias("hole"), points.alias("points"))
 
 
 def multipolygons(rings: DataFrame) -> DataFrame:

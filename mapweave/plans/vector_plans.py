@@ -14,6 +14,7 @@ from mapweave.operators import tsne, voronoi
 from mapweave.operators.layout import neighbour_layout as neighbour_embedding
 from mapweave.operators.neighbours import nearest_graph
 from mapweave.operators.plane import nearest_in_plane
+from mapweave.operators.quantiles import quantiles
 from mapweave.plans.registry import SQL_LABELS, article_labels, query, r6, vectors
 from mapweave.sources.tables import geojson
 
@@ -273,7 +274,9 @@ def distance_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select label as country, round(median(embedding[1]::double), 6) as x, round(median(embedding[2]::double), 6) as y from embeddings group by 1")
 def country_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A13."""
-    return vectors(spark, sf_dir).groupBy("country").agg(r6(F.median("x")).alias("x"), r6(F.median("y")).alias("y"))
+    v = vectors(spark, sf_dir)
+    x, y = (quantiles(v, c, 0.5, "country").select(F.col("country").alias(f"country_{c}"), r6("quantile").alias(c)) for c in "xy")
+    return x.join(y, F.col("country_x").eqNullSafe(F.col("country_y"))).select(F.col("country_x").alias("country"), "x", "y")
 
 
 _BOX = "b as (select min(embedding[1]::double * 100) - 30 as x0, max(embedding[1]::double * 100) + 30 as x1, min(embedding[2]::double * 100) - 30 as y0, max(embedding[2]::double * 100) + 30 as y1 from embeddings)"
