@@ -154,6 +154,15 @@ def phrase_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.with_phrases(once, 10).select("doc_id", F.array_join("w", " ").alias("text"))
 
 
+@query(f"""with {_SEQ}, k as (select word, count(*) as n from (select unnest(w) as word from t) group by 1),
+r(tail, put) as (values ('s', ''), ('ses', 's'), ('ves', 'f'), ('xes', 'x'), ('zes', 'z'), ('ches', 'ch'), ('shes', 'sh'), ('men', 'man'), ('ies', 'y')),
+c as (select k.word, o.word as lemma, o.n as m from k join r on ends_with(k.word, r.tail) join k o on o.word = k.word[: length(k.word) - length(r.tail)] || r.put)
+select word, n, coalesce((select c.lemma from c where c.word = k.word order by c.m desc, c.lemma limit 1), word) as lemma from k""")
+def lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Singulars that the documents themselves hold."""
+    return topics.lemmas(_words(spark, sf_dir).select(F.explode("w").alias("word")))
+
+
 @query(f"""with {_SEQ}, c as (select doc_id, list_filter(w, lambda x: length(x) > 2) as w from t), n as (select count(*)::double as n from c),
 g as (select doc_id, i - 1 as first, length as length, array_to_string(w[i : i + length - 1], ' ') as phrase from c, unnest(generate_series(1, len(w))) as p(i), unnest([1, 2, 3]) as q(length) where i + length - 1 <= len(w)),
 f as (select doc_id, phrase, length, count(*) as tf from g group by all having count(*) >= 4 and min(first) < 200), z as (select doc_id, sum(tf) as a, sum(case when length > 1 then tf else 0 end) as l from f group by 1),

@@ -7,9 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mapweave.functions.text import category_name, is_article_title, lemma, merged_phrases, ngrams, porter_stem, wiki_links, with_word_forms
+from mapweave.functions.text import category_name, is_article_title, joined_at, lemma, ngrams, porter_stem, wiki_links, with_word_forms
 from mapweave.functions.vectors import cosine_distance
-from mapweave.operators import cluster, crowd, labels, metrics, spatial
+from mapweave.operators import cluster, crowd, labels, metrics, spatial, topics
 from mapweave.operators.graph import connected_components
 from mapweave.operators.plane import nearest_in_plane
 from mapweave.sources import tables
@@ -34,7 +34,46 @@ def test_wiki_links_start_at_the_lead(spark):
 def test_ngrams_and_phrases(spark):
     df = spark.createDataFrame([(["new", "york", "new", "york"],), (["a"],), ([],)], "w array<string>")
     assert [r.n for r in df.select(ngrams("w", 2).alias("n")).collect()] == [["new york", "york new", "new york"], [], []]
-    assert df.select(merged_phrases("w", F.array(F.lit("new york"))).alias("m")).first().m == ["new_york", "new_york"]
+    four = df.filter("size(w) = 4")
+    assert four.select(joined_at("w", F.array(F.lit(1), F.lit(3))).alias("m")).first().m == ["new_york", "new_york"]
+    assert four.select(joined_at("w", F.array(F.lit(2))).alias("m")).first().m == ["new", "york_new", "york"]
+    assert [r.m for r in df.select(joined_at("w", F.array().cast("array<int>")).alias("m")).collect()] == [["new", "york", "new", "york"], ["a"], []]
+
+
+def greedily_joined(words, good):
+    out, i = [], 0
+    while i < len(words):
+        step = 2 if tuple(words[i : i + 2]) in good else 1
+        out.append("_".join(words[i : i + step]))
+        i += step
+    return out
+
+
+def test_phrases_as_a_greedy_scan(spark):
+    import random
+    import time
+
+    g = random.Random(6)
+    common = ["a", "a", "b", "c", "d"]
+    docs = [(i, [g.choice(common) if g.random() < 0.3 else f"w{g.randrange(400)}" for _ in range(g.randrange(60))]) for i in range(60)] + [(7, ["a"] * 9), (None, ["a", "b"]), (100, []), (101, [w for _ in range(50_000) for w in ("long", f"text{g.randrange(3)}")])]
+    frame = spark.createDataFrame(docs, "doc_id long, w array<string>")
+    good = {(r.a, r.b) for r in topics.collocations(frame, 5, 0.005).collect()}
+    assert good
+    began = time.time()
+    rows = topics.with_phrases(frame, 5, 0.005).collect()
+    assert time.time() - began < 60
+    number = lambda i: -1 if i is None else i
+    got = sorted([number(r["doc_id"]), *r["w"]] for r in rows)
+    expected = sorted([number(i), *greedily_joined(w, good)] for i, w in docs)
+    assert [len(x) for x in got] == [len(x) for x in expected]
+    assert all(a == b for a, b in zip(got, expected, strict=True))
+
+
+def test_lemmas_need_the_singular(spark):
+    words = "glasses glass series buses bus ponies pony churches church wolves wolf women woman news axes ax axe axe class boss s".split()
+    found = {r.word: r.lemma for r in topics.lemmas(spark.createDataFrame([(w,) for w in [*words, None]], "word string")).collect()}
+    changed = {"glasses": "glass", "buses": "bus", "ponies": "pony", "churches": "church", "wolves": "wolf", "women": "woman", "axes": "axe"}
+    assert found == {w: changed.get(w, w) for w in words}
 
 
 @pytest.mark.parametrize(("word", "stem"), [("caresses", "caress"), ("ponies", "poni"), ("relational", "relat"), ("hopping", "hop"), ("falling", "fall"), ("happy", "happi"), ("sky", "sky"), ("adoption", "adopt"), ("rate", "rate"), ("controll", "control")])
