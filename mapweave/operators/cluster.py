@@ -1,4 +1,4 @@
-"""Cosine k-means and the joint clustering."""
+"""Cosine k-means and the joint clustering (K1-K9, K11, K12, A16-A18, A31, T9); label_svd (K10) is in factors."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.functions.vectors import cosine_distance, diagonal_distance
+from mapweave.operators.factors import label_svd  # noqa: F401
 from mapweave.operators.labels import top_per_group
 from mapweave.runtime import materialize, release
 
@@ -190,38 +191,6 @@ def with_one_hot(rows: DataFrame, k: int, vector: str = "vector", group: str = "
     return rows.withColumn("augmented", F.concat(vector, hot))
 
 
-def label_svd(labels: DataFrame, k: int) -> DataFrame:
-    """(article_id, factors): left singular vectors of the article x label matrix for the k largest singular values, the largest first.
-
-    The sparse matrix is decomposed as it is, a column for each label, by RowMatrix.computeSVD; left vectors are M * v / s. The driver holds
-    some 2k vectors as long as there are labels. Signs make the largest loading of each factor positive; a matrix of a lower
-    rank than k has fewer factors.
-    """
-    import numpy as np
-    from pyspark.mllib.linalg import Vectors, VectorUDT
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    spark = labels.sparkSession
-    sums = materialize(labels.groupBy("article_id", "label").agg(F.sum("weight").alias("w")), "weights")
-    numbered = sums.select("label").distinct().orderBy("label").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    columns = materialize(spark.createDataFrame(numbered, "label string, j long"), "columns")
-    width = columns.count()
-    cells = materialize(sums.join(columns, "label").select("article_id", "j", "w"), "cells")
-    if not width:
-        return cells.select("article_id", F.array(F.lit(0.0)).alias("factors"))
-    grouped = cells.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("j", "w"))).alias("row"))
-    as_row = F.udf(lambda row: Vectors.sparse(width, [x["j"] for x in row], [x["w"] for x in row]), VectorUDT())
-    rows = grouped.select(as_row("row").alias("v")).persist()  # read once for each step of the solver
-    found = RowMatrix(rows, numCols=width).computeSVD(min(k, width), computeU=False)
-    values, loadings = found.s.toArray(), found.V.toArray()
-    rows.unpersist()
-    kept = loadings / values * np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(len(values))])
-    table = spark.createDataFrame(((j, x) for j, x in enumerate(kept.tolist())), "j long, loading array<double>")
-    parts = cells.join(table, "j").select("article_id", *(F.get("loading", F.lit(i)) * F.col("w") for i in range(len(values))))
-    names = [f"f{i}" for i in range(len(values))]
-    return parts.toDF("article_id", *names).groupBy("article_id").agg(F.array(*(F.sum(n) for n in names)).alias("factors"))
-
-
 def kmeans_euclidean(rows: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """(article_id, country, distance): Spark's own k-means, with the cosine distance to the own centre (K8)."""
     points = rows.select("article_id", "vector", array_to_vector("vector").alias("features"))

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from mapweave.functions.text import with_word_forms
 from mapweave.operators.quantiles import quantiles
+from mapweave.operators.ranks import best, numbered
 from mapweave.runtime import materialize
 
 
@@ -84,8 +85,9 @@ def exclusive_top_n(scored: DataFrame, n: int, blacklist: list[str] | None = Non
 
     Same as going through all (country, label) rows by falling score (ties: label, country) and giving a label to the
     first country that still has room. Done by deferred acceptance: in each round every label proposes to its
-    best country that hasn't rejected it, and every country keeps its best n; both sides order by the same score. A
-    rejected label's row is dropped for good, so rounds end when nothing is rejected.
+    best country that hasn't rejected it, and every country keeps its best n; both sides order by the same score. What a
+    country keeps only gets better, so its n-th best proposal is a threshold: rows behind it, proposed or not, are dropped for good,
+    and rounds end when no proposal lies behind one. Thresholds come from the best n of parts of a country.
     """
     rows = scored.select("country", "label", "score").filter("country is not null and label is not null and score is not null")
     rows = rows.groupBy("country", "label").agg(F.max("score").alias("score"))
@@ -97,22 +99,30 @@ def exclusive_top_n(scored: DataFrame, n: int, blacklist: list[str] | None = Non
         own = top.select("country", F.col("stem"), F.col("b.label").alias("own"), -F.col("b.s"))
         chosen = exclusive_top_n(own.toDF("country", "label", "own", "score"), n, None, max_rounds)
         return chosen.withColumnRenamed("label", "stem").join(own.select("country", "stem", F.col("own").alias("label")), ["country", "stem"]).select("country", "label", "score")
-    best = Window.partitionBy("label").orderBy(F.desc("score"), "country")
+    choice = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "country"))  # one row a country
     for _ in range(max_rounds):
-        proposed = rows.withColumn("choice", F.row_number().over(best))
-        place = F.row_number().over(Window.partitionBy("country", F.col("choice") == 1).orderBy(F.desc("score"), "label"))
-        judged = materialize(proposed.withColumn("rejected", (F.col("choice") == 1) & (place > n)), "proposals")
-        if judged.filter("rejected").isEmpty():
-            return judged.filter("choice = 1").select("country", "label", "score")
+        proposed = materialize(rows.withColumn("choice", choice), "proposals", collect=False)
+        first = proposed.filter("choice = 1").select("country", "label", "score")
+        last = best(first, "country", n, F.desc("score"), F.asc("label")).filter(F.col("place") == n).select("country", F.col("score").alias("__s"), F.col("label").alias("__l"))
+        full = materialize(last, "thresholds", collect=False)  # one row a country
+        beyond = F.coalesce((F.col("score") < F.col("__s")) | ((F.col("score") == F.col("__s")) & (F.col("label") > F.col("__l"))), F.lit(False))
+        judged = proposed.join(full, "country", "left").withColumn("rejected", beyond)
+        if judged.filter("rejected and choice = 1").isEmpty():
+            return first
         rows = judged.filter("not rejected").select("country", "label", "score")
     raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
 
 
 def average_rank(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """min_rank and avg_rank of value within the group, largest first."""
-    low = F.rank().over(Window.partitionBy(group).orderBy(F.desc(value)))
-    ties = F.count("*").over(Window.partitionBy(group, value))
-    return rows.withColumn("min_rank", low).withColumn("avg_rank", low + (ties - 1) / 2.0)
+    """min_rank and avg_rank of value within the group, largest first (W2). Nulls rank last, equal to each other.
+
+    Ranks are found for the distinct values of a group with the number of their rows, and joined to the rows.
+    """
+    counted = rows.groupBy(F.col(group).alias("__g"), F.col(value).alias("__v")).agg(F.count("*").alias("__ties"))
+    placed = numbered(counted, "__g", [F.desc("__v")], "min_rank", F.col("__ties"))
+    joined = rows.join(placed, F.col(group).eqNullSafe(F.col("__g")) & F.col(value).eqNullSafe(F.col("__v")))
+    joined = joined.withColumn("avg_rank", F.col("min_rank") + (F.col("__ties") - 1) / 2.0)
+    return joined.select(*rows.columns, F.col("min_rank").cast("int").alias("min_rank"), "avg_rank")
 
 
 def below_percentile(rows: DataFrame, value: str, p: float) -> DataFrame:
@@ -122,9 +132,9 @@ def below_percentile(rows: DataFrame, value: str, p: float) -> DataFrame:
 
 
 def popular_with_top_up(rows: DataFrame, group: str, score: str, id_col: str, threshold: float, least: int) -> DataFrame:
-    """Rows above the threshold, and in groups with fewer than `least` of them the next best."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), id_col))
-    return rows.withColumn("place", place).filter((F.col(score) > threshold) | (F.col("place") <= least))
+    """Rows above the threshold, and in groups with fewer than `least` of them the next best, with their places."""
+    placed = numbered(rows, group, [F.desc(score), F.asc(id_col)])
+    return placed.withColumn("place", F.col("place").cast("int")).filter((F.col(score) > threshold) | (F.col("place") <= least))
 
 
 def dense_ids(values: DataFrame, column: str, *first_seen: str) -> DataFrame:

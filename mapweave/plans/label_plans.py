@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from mapweave.functions.text import category_name, content_tokens, display_name, is_article_title, is_topic_category, tokens
 from mapweave.operators import labels as L
 from mapweave.operators import topics
-from mapweave.operators.cluster import label_svd
+from mapweave.operators.factors import label_svd
+from mapweave.operators.ranks import numbered
 from mapweave.plans.registry import SQL_LABELS, article_labels, article_tokens, countries, query, r6, table, vectors
 from mapweave.runtime import materialize
 from mapweave.sources.tables import latest_metrics, map_document, page_links as links_of, page_titles as titles_of
@@ -85,7 +86,8 @@ select article_id, country, case when x < 1 then 30.0 when x < 15 then 18.0 when
 def popularity_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W4, by country."""
     p = _popularity(spark, sf_dir, 365).join(countries(spark, sf_dir), "article_id")
-    x = F.row_number().over(Window.partitionBy("country").orderBy(F.desc("popularity"), "article_id")) - 1
+    p = numbered(p, "country", [F.desc("popularity"), F.asc("article_id")])
+    x = F.col("place") - 1
     size = F.when(x < 1, 30.0).when(x < 15, 18.0).when(x < 45, 10.0).when(x < 100, 6.0).when(x < 250, 3.0).otherwise(0.5)
     return p.select("article_id", "country", size.alias("size"))
 
