@@ -10,6 +10,7 @@ from mapweave.functions.text import category_name, content_tokens, display_name,
 from mapweave.operators import labels as L
 from mapweave.operators import topics
 from mapweave.operators.factors import label_svd
+from mapweave.operators.hdp import hdp
 from mapweave.operators.ranks import numbered
 from mapweave.plans.registry import SQL_LABELS, article_labels, article_tokens, countries, query, r6, table, vectors
 from mapweave.runtime import materialize
@@ -438,6 +439,13 @@ def lsi_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_svd(weights.select(F.col("doc_id").alias("article_id"), F.col("token").alias("label"), F.col("tfidf").alias("weight")), 7)
 
 
+@query()
+def hdp_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many topics as the documents ask for, their shares and words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", content_tokens("text").alias("words"))
+    return hdp(docs)[1]
+
+
 @query()
 def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven topics and their words."""
