@@ -54,6 +54,17 @@ def clean_labels(labels: DataFrame, exact: list[str], parts: list[str], column:
     return kept
 
 
+def stacked(*sources: DataFrame, fill: float = 0.0) -> DataFrame:
+    """The rows of all sources, one after another, with every column that any has: numbers that a source lacks, or that are null, are `fill`.
+
+    Columns go by name. Texts and other values that aren't numbers stay null; equal rows stay apart. A column's type must fit in all sources.
+    """
+    rows = sources[0]
+    for more in sources[1:]:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    return rows.fillna(fill)
+
+
 def feature_matrix(scores: DataFrame, sources: list[str]) -> DataFrame:
     """A row per (country, label) with a column per source, 0 where it has no score."""
     return scores.groupBy("country", "label").pivot("source", sources).agg(F.sum("score")).fillna(0.0, sources)
@@ -88,9 +99,10 @@ def shuffled_groups(rows: DataFrame, id_col: str, size: int, rounds: int, seed:
     return inside.unionByName(extra.select("country", "round", "group", at.alias("place"), chosen.alias(id_col)))
 
 
-def top_voted(votes: DataFrame, keys: list[str], blacklist: list[str], n: int = 10) -> DataFrame:
-    """(keys, label, points, place): the n labels with the most points that aren't on the list."""
-    points = votes.filter(~F.col("label").isin(blacklist)).groupBy(*keys, "label").agg(F.sum("points").alias("points"))
+def top_voted(votes: DataFrame, keys: list[str], blacklist: DataFrame, n: int = 10) -> DataFrame:
+    """(keys, label, points, place): the n labels with the most points that aren't on the list (label), null labels left out."""
+    allowed = votes.filter("label is not null").join(blacklist.select("label").distinct(), "label", "left_anti")
+    points = allowed.groupBy(*keys, "label").agg(F.sum("points").alias("points"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("points"), "label"))
     return points.withColumn("place", place).filter(F.col("place") <= n)
 

@@ -60,12 +60,24 @@ def with_water(points: DataFrame, box: DataFrame, water: int, share: float = 0.2
     return own.unionByName(sea.withColumn("country", F.lit(water).cast(own.schema["country"].dataType)))
 
 
-def denoised(points: DataFrame, edges: DataFrame, tau: float = 10.0, steps: int = 35) -> DataFrame:
+def heat_weights(tau: float, rest: float = 1e-9) -> list[float]:
+    """exp(-tau) tau**i / i! from i = 0, for as many terms as leave less than `rest` of their sum of 1."""
+    if not 0 <= tau < math.inf:
+        raise ValueError(f"tau must be finite and not negative: {tau}")
+    weights = [math.exp(-tau)]
+    # Past tau each term is less than `ratio` of the one before, which bounds what is left.
+    while (ratio := tau / len(weights)) >= 1 or weights[-1] * ratio / (1 - ratio) >= rest:
+        i = len(weights)
+        weights.append(math.exp(i * math.log(tau) - tau - math.lgamma(i + 1)))
+    return weights
+
+
+def denoised(points: DataFrame, edges: DataFrame, tau: float = 10.0, rest: float = 1e-9) -> DataFrame:
     """Points (id, x, y, country) whose diffused country signal is strongest in their own country.
 
     edges (u, v, weight) have distances, which become affinities exp(-(d / mean d)**2). One-hot signals go through the heat kernel
     exp(-tau * L / m) of the graph's Laplacian L, m being the bound max(d_u + d_v) of its largest eigenvalue: the sum of
-    exp(-tau) tau**i / i! * (1 - L / m)**i. A term is a join on the edges; those beyond `steps` weigh less than 1e-9 for tau = 10.
+    exp(-tau) tau**i / i! * (1 - L / m)**i. A term is a join on the edges; there are as many as leave less than `rest` of the weight, whatever tau is.
     """
     mean = edges.agg(F.avg("weight").alias("mean"))
     near = edges.filter("u <> v").crossJoin(F.broadcast(mean)).withColumn("w", F.when(F.col("mean") > 0, F.exp(-F.pow(F.col("weight") / F.col("mean"), 2))).otherwise(1.0))  # one row
@@ -75,14 +87,15 @@ def denoised(points: DataFrame, edges: DataFrame, tau: float = 10.0, steps: int
     most = both.join(degree, "u").join(other, "v").agg(F.max(F.col("d") + F.col("e"))).first()[0] or 1.0
     around = materialize(points.select(F.col("id").alias("u")).join(degree, "u", "left").select("u", (1 - F.coalesce("d", F.lit(0.0)) / most).alias("stay")), "degrees")
     terms = [points.select(F.col("id").alias("u"), F.col("country").alias("c"), F.lit(1.0).alias("s"))]
-    for _ in range(steps):
+    weights = heat_weights(tau, rest)
+    for _ in weights[1:]:
         moved = both.join(terms[-1], "u").select(F.col("v").alias("u"), "c", (F.col("s") * F.col("w") / most).alias("s"))
         kept = terms[-1].join(around, "u").select("u", "c", (F.col("s") * F.col("stay")).alias("s"))
-        terms.append(materialize(moved.unionByName(kept).groupBy("u", "c").agg(F.sum("s").alias("s")).filter("s > 1e-15"), "term"))
-    weight, heat = math.exp(-tau), None
-    for i, term in enumerate(terms):
+        terms.append(materialize(moved.unionByName(kept).groupBy("u", "c").agg(F.sum("s").alias("s")).filter("s > 0"), "term", collect=False))
+    heat = None
+    for weight, term in zip(weights, terms, strict=True):
         weighed = term.withColumn("s", F.col("s") * weight)
-        heat, weight = weighed if heat is None else heat.unionByName(weighed), weight * tau / (i + 1)
+        heat = weighed if heat is None else heat.unionByName(weighed)
     heat = materialize(heat.groupBy("u", "c").agg(F.sum("s").alias("s")), "heat")
     release(*terms, both, around)
     best = heat.groupBy("u").agg(F.max_by("c", F.struct(F.round("s", 12), -F.col("c"))).alias("best"))

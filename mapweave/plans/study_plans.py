@@ -110,12 +110,23 @@ def coherency_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("algorithm")).agg(F.sum(F.col("event_id") % 5 + 1).alias("points"))
 
 
+@query("""with t as (select p_brand as country, p_type as label, sum(p_retailprice) as tfidf, null::bigint as votes from part where p_size <= 30 group by 1, 2),
+k as (select p_brand as country, p_type as label, null::double as tfidf, count(*) as votes from part where p_size > 20 group by 1, 2)
+select country, label, round(coalesce(tfidf, 0), 4) as tfidf, coalesce(votes, 0)::bigint as votes from (select * from t union all select * from k)""")
+def stacked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label sources with columns of their own, one after another."""
+    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("country"), F.col("p_type").alias("label"), "p_size", "p_retailprice")
+    scores = part.filter("p_size <= 30").groupBy("country", "label").agg(F.sum("p_retailprice").alias("tfidf"))
+    votes = part.filter("p_size > 20").groupBy("country", "label").agg(F.count("*").alias("votes"))
+    return R.stacked(scores, votes).withColumn("tfidf", F.round("tfidf", 4))
+
+
 @query("""with v as (select p_brand as country, p_type as label, sum(p_size)::bigint as points from part where p_type not like 'PROMO%' group by 1, 2),
 r as (select *, row_number() over (partition by country order by points desc, label) as place from v) select country, label, points, place::int as place from r where place <= 10""")
 def top_voted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes stand in for votes, promoted types for the list."""
     part = table(spark, sf_dir, "part")
-    listed = [r[0] for r in part.filter(F.col("p_type").startswith("PROMO")).select("p_type").distinct().collect()]  # at most the types there are
+    listed = part.filter(F.col("p_type").startswith("PROMO")).select(F.col("p_type").alias("label"))
     votes = part.select(F.col("p_brand").alias("country"), F.col("p_type").alias("label"), F.col("p_size").cast("long").alias("points"))
     return R.top_voted(votes, ["country"], listed)
 

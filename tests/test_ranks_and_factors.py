@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mapweave.operators import factors, labels, ranks
+from mapweave.operators import crowd, factors, labels, ranks, spatial
 
 
 def test_places_of_a_hot_group_as_plain(spark):
@@ -68,3 +68,23 @@ def test_factors_that_do_not_settle_are_an_error(spark):
     rows = [(i, f"l{j}", float((i * 7 + j * 13) % 11)) for i in range(30) for j in range(30)]
     with pytest.raises(RuntimeError, match="off by"):
         factors.label_svd(spark.createDataFrame(rows, "article_id long, label string, weight double"), 3, extra=0, tolerance=1e-15, max_rounds=1)
+
+
+@pytest.mark.parametrize("tau", [0.0, 0.5, 10.0, 50.0, 1000.0])
+def test_terms_of_the_heat_kernel_leave_next_to_nothing(tau):
+    weights = spatial.heat_weights(tau)
+    assert 0 <= 1 - sum(weights) < 2e-9 and (tau == 0 or len(weights) > tau)
+
+
+def test_listed_labels_get_no_place(spark):
+    votes = spark.createDataFrame([(1, "a", 5), (1, "b", 9), (1, None, 7), (1, "a", 1), (2, "b", 3)], "country int, label string, points long")
+    listed = spark.createDataFrame([("b",), ("b",), (None,)], "label string")
+    assert [tuple(r) for r in crowd.top_voted(votes, ["country"], listed).collect()] == [(1, "a", 6, 1)]
+
+
+def test_stacked_sources_have_every_column(spark):
+    a = spark.createDataFrame([("x", 1.5), ("x", 1.5), (None, None)], "label string, tfidf double")
+    b = spark.createDataFrame([(7, "y")], "votes long, label string")
+    rows = [tuple(r) for r in crowd.stacked(a, b).select("label", "tfidf", "votes").collect()]
+    assert sorted(rows, key=str) == sorted([("x", 1.5, 0), ("x", 1.5, 0), (None, 0.0, 0), ("y", 0.0, 7)], key=str)
+    assert crowd.stacked(a.limit(0), b.limit(0)).count() == 0
