@@ -32,6 +32,19 @@ def valid_workers(answers: DataFrame, least_checks: float = 0.5, most_flags: flo
     return share.filter((F.col("check_share") >= least_checks) & (F.col("flag_share") <= most_flags))
 
 
+def valid_workers_of_all(answers: DataFrame, checks: int, items: int, least_checks: float = 0.5, most_flags: float = 0.5) -> DataFrame:
+    """(worker, check_share, flag_share) of the workers to keep, by what their responses showed them.
+
+    answers has worker, response, is_check and flagged, and may hold only what was flagged: each response counts as `checks` check items of
+    `items` items in all, whether they are among the answers or not. Null flags count as none; answers without a worker or response are left out.
+    """
+    own = answers.filter("worker is not null and response is not null")
+    flag = F.coalesce(F.col("flagged"), F.lit(False))
+    per = own.groupBy("worker", "response").agg(F.sum((flag & F.coalesce(F.col("is_check"), F.lit(False))).cast("long")).alias("caught"), F.sum(flag.cast("long")).alias("flags"))
+    share = per.groupBy("worker").agg((F.sum("caught") / (F.count("*") * checks)).alias("check_share"), (F.sum("flags") / (F.count("*") * items)).alias("flag_share"))
+    return share.filter((F.col("check_share") >= least_checks) & (F.col("flag_share") <= most_flags))
+
+
 def exposures(seen: DataFrame, keys: list[str]) -> DataFrame:
     """exposures, flags and their ratio by keys."""
     counts = seen.groupBy(*keys).agg(F.count("*").alias("exposures"), F.sum(F.col("flagged").cast("long")).alias("flags"))

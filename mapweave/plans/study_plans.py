@@ -29,6 +29,19 @@ def worker_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.valid_workers(_seen(spark, sf_dir)).select("worker", r6("check_share").alias("check_share"), r6("flag_share").alias("flag_share"))
 
 
+@query("""with a as (select user_id % 50 as worker, user_id as response, event_id % 4 = 0 as is_check, value > 30 as flagged from events),
+r as (select worker, response, sum((flagged and is_check)::int) as caught, sum(flagged::int) as flags from a group by 1, 2),
+w as (select worker, sum(caught) / (count(*) * 18)::double as check_share, sum(flags) / (count(*) * 72)::double as flag_share from r group by 1)
+select worker, round(check_share, 6) as check_share, round(flag_share, 6) as flag_share from w where check_share >= 0.5 and flag_share <= 0.5""")
+def worker_filter_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of all items that a worker's responses showed; users stand in for responses, of 72 items with 18 checks."""
+    answers = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 50).alias("worker"), F.col("user_id").alias("response"), (F.col("event_id") % 4 == 0).alias("is_check"), (F.col("value") > 30).alias("flagged"),
+    )
+    kept = R.valid_workers_of_all(answers, 18, 72)
+    return kept.select("worker", r6("check_share").alias("check_share"), r6("flag_share").alias("flag_share"))
+
+
 @query(f"""with {_SEEN}, b as (select country, label, count(*) as votes, sum(5 - rank)::bigint as borda from s group by 1, 2)
 select country, label, votes, borda, round(borda / votes::double, 6) as avg_borda, round(borda / sum(borda) over (partition by country)::double, 6) as share from b""")
 def borda_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

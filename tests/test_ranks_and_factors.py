@@ -88,3 +88,13 @@ def test_stacked_sources_have_every_column(spark):
     rows = [tuple(r) for r in crowd.stacked(a, b).select("label", "tfidf", "votes").collect()]
     assert sorted(rows, key=str) == sorted([("x", 1.5, 0), ("x", 1.5, 0), (None, 0.0, 0), ("y", 0.0, 7)], key=str)
     assert crowd.stacked(a.limit(0), b.limit(0)).count() == 0
+
+
+def test_shares_of_all_shown_items(spark):
+    rows = [("a", 1, True, True), ("a", 1, True, True), ("a", 1, False, None), ("a", 2, False, True), ("b", 3, True, True), ("c", 4, True, True), ("c", 4, True, True), ("c", 4, False, True), ("c", 4, False, True), ("c", 4, False, True)]
+    rows += [(None, 5, True, True), ("a", None, True, True)]
+    answers = spark.createDataFrame(rows, "worker string, response int, is_check boolean, flagged boolean")
+    # a caught 2 of 4 and flagged 3 of 16, b caught 1 of 2 and flagged 1 of 8, c flagged 5 of 8.
+    found = {r.worker: (r.check_share, r.flag_share) for r in crowd.valid_workers_of_all(answers, 2, 8).collect()}
+    assert found == {"a": (0.5, 3 / 16), "b": (0.5, 1 / 8)}
+    assert crowd.valid_workers_of_all(answers.limit(0), 2, 8).count() == 0
