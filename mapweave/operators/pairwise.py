@@ -1,27 +1,24 @@
-"""Vectors against all vectors in blocks: nearest neighbours, ranks and distance sums.
+"""Vectors against all vectors: ranks by distance (M2) and distance sums by country.
 
-Vectors are dealt to blocks of a bounded number of rows, and each task holds one pair of blocks at a time. What leaves a task is
-k rows for each query and block, a count, or a sum; the pairs themselves don't.
+Rows are dealt to balls, which pivots split until a ball holds a bounded number of rows. The triangle inequality settles most
+questions about a ball by its centre, radius and number of members; only what it leaves open compares vectors, one pair of balls
+a task. Balls are written once and meet by their numbers. What leaves a task is a count or a sum; pairs of rows don't.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-BLOCK = 1024
 
+from mapweave.runtime import materialize, release
 
-def _blocks(rows: DataFrame, side: str, extra: list[str]) -> DataFrame:
-    count = max(1, -(-rows.count() // BLOCK))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)))
-    items = dealt.groupBy("block").agg(F.collect_list(F.struct("id", "vector", *extra)).alias("items"))
-    return items.select(F.col("block").alias(f"block_{side}"), *(F.col(f"items.{c}").alias(f"{c}_{side}") for c in ("id", "vector", *extra)))
+BLOCK = 1024
+#: Relative slack of the bounds, far above the rounding of a distance.
+SLACK = 1e-9
 
 
 def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -35,83 +32,279 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
-def _over_blocks(left: DataFrame, right: DataFrame, task: Callable, schema: str, left_extra: list[str], right_extra: list[str]) -> DataFrame:
-    """task(queries, data) for every pair of blocks; both are dicts of columns, vector a matrix. It gives a dict of columns."""
-    a, b = _blocks(left, "a", left_extra), _blocks(right, "b", right_extra)
-    n = max(1, -(-right.count() // BLOCK))
-    aimed = a.withColumn("block_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("block_b", F.col("block_b").cast("long"))
-    joined = aimed.join(b, "block_b")
-    names = [(c, "a") for c in ("id", "vector", *left_extra)] + [(c, "b") for c in ("id", "vector", *right_extra)]
-    types = schema.split(", ")
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """The rows of a list of vectors."""
+    return np.asarray(vectors.flatten(), float).reshape(len(vectors), -1)
+
+
+def _squared(a: str, b: str):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+def spread_out(points: np.ndarray, most: int) -> np.ndarray:
+    """Places of up to `most` different points, each the farthest from those before it, from the first on."""
+    chosen, apart = [0], distances(points, points[:1], "euclidean")[:, 0]
+    while len(chosen) < most and apart.max() > 0:
+        chosen.append(int(apart.argmax()))
+        apart = np.minimum(apart, distances(points, points[chosen[-1:]], "euclidean")[:, 0])
+    return np.array(chosen)
+
+
+def _pivots(batches, ways: int):
+    """(cell, candidates) to (cell, pivots)."""
+    for batch in batches:
+        found = []
+        for row in range(batch.num_rows):
+            points = _matrix(batch.column(1)[row].values)
+            found.append([points[i] for i in spread_out(points, ways)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.list_(pa.float64())))], ["cell", "pivots"])
+
+
+def _dealt(rows: DataFrame, size: int, ways: int) -> DataFrame:
+    """(id, vector, ball), written: each level splits every cell of more than size rows around some of its own rows.
+
+    About four times as many rows as ways are drawn by hash, and of these the ones that lie farthest apart are pivots. What no pivot can
+    split, equal vectors for instance, is dealt by hash in the end, so that no ball grows with a cell.
+    """
+    placed = rows.select("id", "vector", F.lit(0).cast("long").alias("cell"))
+    count = rows.count()
+    depth = math.ceil(math.log(count / size, ways)) if count > size else 0
+    for level in range(depth):
+        sizes = placed.groupBy("cell").agg(F.count("*").alias("members")).filter(F.col("members") > size)
+        chance = F.pmod(F.xxhash64(F.lit(level), "id"), F.lit(1 << 30)) / (1 << 30)
+        drawn = placed.join(sizes, "cell").filter(chance * F.col("members") < 4 * ways)
+        candidates = drawn.groupBy("cell").agg(F.array_sort(F.collect_set("vector")).alias("candidates"))
+        pivots = candidates.mapInArrow(lambda batches: _pivots(batches, ways), "cell long, pivots array<array<double>>")
+        joined = placed.join(pivots, "cell", "left")
+        scored = F.transform("pivots", lambda p, i: F.struct(_squared("vector", p).alias("d"), i.alias("i")))
+        own = F.coalesce(F.array_min(scored)["i"], F.lit(0))
+        after = materialize(joined.select("id", "vector", (F.col("cell") * ways + own).alias("cell")), "cells", collect=False)
+        release(placed)
+        placed = after
+    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("parts"))
+    part = F.pmod(F.xxhash64(F.lit("part"), "id"), "parts")
+    dealt = materialize(placed.join(parts, "cell").select("id", "vector", F.xxhash64("cell", part).alias("ball")), "dealt", collect=False)
+    release(placed)
+    return dealt
+
+
+def _balls(dealt: DataFrame) -> DataFrame:
+    """(ball, ids, vectors, centre, radius, members), written."""
+
+    def run(batches):
+        for batch in batches:
+            centres, radii = [], []
+            for row in range(batch.num_rows):
+                points = _matrix(batch.column(2)[row].values)
+                centres.append(points.mean(axis=0))
+                radii.append(float(np.sqrt(((points - centres[-1]) ** 2).sum(axis=1)).max()))
+            members = pa.array([len(x) for x in batch.column(1)], pa.int64())
+            columns = [*batch.columns, pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64()), members]
+            yield pa.RecordBatch.from_arrays(columns, ["ball", "ids", "vectors", "centre", "radius", "members"])
+
+    items = dealt.groupBy("ball").agg(F.collect_list(F.struct("id", "vector")).alias("items"))
+    flat = items.select("ball", F.col("items.id").alias("ids"), F.col("items.vector").alias("vectors"))
+    schema = "ball long, ids array<long>, vectors array<array<double>>, centre array<double>, radius double, members long"
+    return materialize(flat.mapInArrow(run, schema), "balls", collect=False)
+
+
+def _reaches(pairs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """(ball, id, vector, others, reaches): the asked pairs of each row with their distances, by the same arithmetic as distances()."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                apart = np.sqrt(((_matrix(batch.column(3)) - _matrix(batch.column(4))) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(apart)], ["ball", "id", "other", "vector", "reach"])
+
+    far = dealt.select(F.col("id").alias("other"), F.col("vector").alias("far"))
+    asked = pairs.select("id", "other").distinct().join(dealt, "id").join(far, "other").select("ball", "id", "other", "vector", "far")
+    found = asked.mapInArrow(run, "ball long, id long, other long, vector array<double>, reach double")
+    listed = F.collect_list(F.struct("other", "reach")).alias("asked")
+    rows = found.groupBy("ball", "id").agg(F.first("vector").alias("vector"), listed)
+    return rows.select("ball", "id", "vector", F.col("asked.other").alias("others"), F.col("asked.reach").alias("reaches"))
+
+
+def judged(a: dict, b: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Whether (all of a ball b lies nearer than anything asked from a, the two must be compared), for all balls of a and b.
+
+    a has ball, centre, radius, least and most (asked distances); b has ball, centre and radius.
+    """
+    apart, both = distances(a["centre"], b["centre"], "euclidean"), a["radius"][:, None] + b["radius"][None, :]
+    slack = SLACK * (1 + apart + both + a["most"][:, None])
+    whole = apart + both + slack < a["least"][:, None]
+    return whole, ~whole & (apart - both - slack <= a["most"][:, None])
+
+
+def _verdicts(asked: DataFrame, balls: DataFrame, pack: int) -> DataFrame:
+    """(ball_a, ball_b, whole), written: pairs of balls to open, and without ball_b how many rows of other balls count unopened.
+
+    Bounds travel in packs, so the number of tasks falls with the square of pack * BLOCK rows.
+    """
+    packs = max(1, -(-balls.count() // pack))
+    number = F.pmod(F.xxhash64(F.lit("pack"), "ball"), F.lit(packs))
+
+    def packed(side: str, rows: DataFrame, columns: list[str]) -> DataFrame:
+        items = rows.groupBy(number.alias(f"pack_{side}")).agg(F.collect_list(F.struct(*columns)).alias("items"))
+        return items.select(f"pack_{side}", *(F.col(f"items.{c}").alias(f"{c}_{side}") for c in columns))
+
+    b_columns = ["ball", "centre", "radius", "members"]
+    a_columns = ["ball", "centre", "radius", "least", "most"]
+    span = asked.groupBy("ball").agg(F.min(F.array_min("reaches")).alias("least"), F.max(F.array_max("reaches")).alias("most"))
+    a = packed("a", balls.select("ball", "centre", "radius").join(span, "ball"), a_columns)
+    b = packed("b", balls.select(*b_columns), b_columns)
+    aimed = a.withColumn("pack_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long"))))
+    names = [f"{c}_a" for c in a_columns] + [f"{c}_b" for c in b_columns]
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 sides: dict[str, dict] = {"a": {}, "b": {}}
-                for (c, s), column in zip(names, batch.columns, strict=True):
-                    value = column[row].as_py()
-                    sides[s][c] = np.array(value, float) if c == "vector" else np.array(value, object) if c not in ("id",) else np.array(value)
-                found = task(sides["a"], sides["b"])
-                kinds = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
-                yield pa.RecordBatch.from_arrays([pa.array(found[t.split()[0]], kinds[t.split()[1]]) for t in types], [t.split()[0] for t in types])
-
-    return joined.select(*(f"{c}_{s}" for c, s in names)).mapInArrow(run, schema)
-
-
-def nearest(rows: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
-    """(id, other, distance, place): the k nearest others of each row of (id, vector), equal distances by id."""
-
-    def task(a, b):
-        d = distances(a["vector"], b["vector"], metric)
-        d[a["id"][:, None] == b["id"][None, :]] = np.inf
-        order = np.lexsort((np.broadcast_to(b["id"], d.shape), d), axis=1)[:, :k]
-        i, j = np.repeat(np.arange(len(d)), order.shape[1]), order.ravel()
-        good = np.isfinite(d[i, j])
-        return {"id": a["id"][i][good], "other": b["id"][j][good], "distance": d[i, j][good]}
-
-    found = _over_blocks(rows, rows, task, "id long, other long, distance double", [], [])
-    place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
-    return found.withColumn("place", place).filter(F.col("place") <= k)
-
-
-def ranks(pairs: DataFrame, rows: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """(id, other, rank): the place of `other` among all rows by distance from `id`, 1 for the nearest other row."""
-    wanted = pairs.join(rows.withColumnRenamed("id", "other").withColumnRenamed("vector", "far"), "other")
-    asked = wanted.groupBy("id").agg(F.collect_list("other").alias("others"), F.collect_list("far").alias("fars"))
-    queries = rows.join(asked, "id")
-
-    def task(a, b):
-        ids, others = np.repeat(a["id"], [len(x) for x in a["others"]]), np.concatenate([np.array(x) for x in a["others"]])
-        own = np.repeat(np.arange(len(a["id"])), [len(x) for x in a["others"]])
-        fars = np.array([list(v) for x in a["fars"] for v in x], float)
-        d, before = distances(a["vector"], b["vector"], metric), np.zeros(len(ids), np.int64)
-        for at in range(0, len(ids), 256):
-            part = slice(at, at + 256)
-            asked = np.array([distances(a["vector"][i : i + 1], v[None], metric)[0, 0] for i, v in zip(own[part], fars[part], strict=True)])[:, None]
-            rest = (b["id"][None] != ids[part, None]) & (b["id"][None] != others[part, None])
-            before[part] = (((d[own[part]] < asked) | ((d[own[part]] == asked) & (b["id"][None] < others[part, None]))) & rest).sum(axis=1)
-        return {"id": ids, "other": others, "before": before}
-
-    found = _over_blocks(queries, rows, task, "id long, other long, before long", ["others", "fars"], [])
-    return found.groupBy("id", "other").agg((F.sum("before") + 1).alias("rank"))
-
-
-def distance_sums(rows: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """(id, country, total, members): for each row of (id, vector, country) the sum of its distances to each country's other rows."""
-
-    def task(a, b):
-        d = distances(a["vector"], b["vector"], metric)
-        own = a["id"][:, None] == b["id"][None, :]
-        d[own] = 0
-        countries = np.unique(b["country"].astype(np.int64))
-        one_hot = (b["country"].astype(np.int64)[:, None] == countries[None, :]).astype(float)
-        total, members = d @ one_hot, (~own).astype(float) @ one_hot
-        return {
-            "id": np.repeat(a["id"], len(countries)),
-            "country": np.tile(countries, len(a["id"])),
-            "total": total.ravel(),
-            "members": members.ravel().astype(np.int64),
-        }
-
-    found = _over_blocks(rows.select("id", "vector"), rows, task, "id long, country long, total double, members long", [], ["country"])
-    return found.groupBy("id", "country").agg(F.sum("total").alias("total"), F.sum("members").alias("members"))
+                for name, column in zip(names, batch.columns, strict=True):
+                    values = column[row].values
+                    sides[name[-1]][name[:-2]] = _matrix(values) if name.startswith("centre") else np.asarray(values)
+                whole, opened = judged(sides["a"], sides["b"])
+                itself = sides["a"]["ball"][:, None] == sides["b"]["ball"][None, :]  # a row doesn't come before others in its own order
+                counted = (whole * (sides["b"]["members"][None, :] - itself)).sum(axis=1)
+                i, j = np.nonzero(opened)
+                some = np.nonzero(counted)[0]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([sides["a"]["ball"][i], sides["a"]["ball"][some]])),
+                        pa.array([*sides["b"]["ball"][j].tolist(), *[None] * len(some)], pa.int64()),
+                        pa.array(np.concatenate([np.zeros(len(i), np.int64), counted[some].astype(np.int64)])),
+                    ],
+                    ["ball_a", "ball_b", "whole"],
+                )
+
+    joined = aimed.join(b, "pack_b").select(*names)
+    return materialize(joined.mapInArrow(run, "ball_a long, ball_b long, whole long"), "verdicts", collect=False)
+
+
+def _counted(opened: DataFrame, asked: DataFrame, balls: DataFrame) -> DataFrame:
+    """(id, other, before): rows of opened balls that come before `other` as seen from id."""
+    items = asked.groupBy("ball").agg(F.collect_list(F.struct("id", "vector", "others", "reaches")).alias("items"))
+    queries = items.select(F.col("ball").alias("ball_a"), *(F.col(f"items.{c}").alias(c) for c in ("id", "vector", "others", "reaches")))
+    data = balls.select(F.col("ball").alias("ball_b"), "ids", "vectors", "centre", "radius")
+    columns = ["id", "vector", "others", "reaches", "ids", "vectors", "centre", "radius"]
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, vectors, others, reaches, b_ids, b_vectors, centre, radius = (c[row] for c in batch.columns)
+                each = np.diff(np.asarray(others.values.offsets)) if len(others) else np.zeros(0, int)
+                own, ids = np.repeat(np.arange(len(each)), each), np.asarray(ids.values)
+                others, reach = np.asarray(others.values.flatten()), np.asarray(reaches.values.flatten())
+                a, b_ids = _matrix(vectors.values), np.asarray(b_ids.values)
+                apart, radius = distances(a, np.array([centre.as_py()]), "euclidean")[:, 0][own], radius.as_py()
+                slack = SLACK * (1 + apart + radius + reach)
+                whole = apart + radius + slack < reach
+                before = np.where(whole, len(b_ids) - np.isin(ids, b_ids)[own], 0)
+                close = np.nonzero(~whole & (apart - radius - slack <= reach))[0]
+                if len(close):
+                    seen, at = np.unique(own[close], return_inverse=True)
+                    d = distances(a[seen], _matrix(b_vectors.values), "euclidean")
+                    for start in range(0, len(close), 256):
+                        part, near = close[start : start + 256], d[at[start : start + 256]]
+                        least, other = reach[part, None], others[part, None]
+                        rest = (b_ids[None] != ids[own[part], None]) & (b_ids[None] != other)
+                        before[part] = (((near < least) | ((near == least) & (b_ids[None] < other))) & rest).sum(axis=1)
+                some = before > 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own][some]), pa.array(others[some]), pa.array(before[some])], ["id", "other", "before"])
+
+    joined = opened.join(queries, "ball_a").join(data, "ball_b").select(*columns)
+    return joined.mapInArrow(run, "id long, other long, before long")
+
+
+def ranks(pairs: DataFrame, rows: DataFrame, size: int = BLOCK, ways: int = 16, pack: int = BLOCK) -> DataFrame:
+    """(id, other, rank): the place of `other` among all rows by distance from `id`, 1 for the nearest other row, equal distances by id.
+
+    rows (id, vector) have ids of their own and no nulls; pairs asks about few others of each id. A ball that lies wholly nearer than
+    `other` counts by its members, one that lies wholly farther not at all.
+    """
+    dealt = _dealt(rows, size, ways)
+    balls = _balls(dealt)
+    asked = materialize(_reaches(pairs, dealt), "asked", collect=False)
+    verdicts = _verdicts(asked, balls, pack)
+    opened = verdicts.filter("ball_b is not null").select("ball_a", "ball_b")
+    counted = materialize(_counted(opened, asked, balls).groupBy("id", "other").agg(F.sum("before").alias("before")), "counted", collect=False)
+    whole = verdicts.filter("ball_b is null").groupBy(F.col("ball_a").alias("ball")).agg(F.sum("whole").alias("whole"))
+    wanted = asked.select("ball", "id", F.explode("others").alias("other"))
+    placed = wanted.join(whole, "ball", "left").join(counted, ["id", "other"], "left")
+    rank = 1 + F.coalesce("whole", F.lit(0)) + F.coalesce("before", F.lit(0))
+    found = materialize(placed.select("id", "other", rank.cast("long").alias("rank")), "ranks", collect=False)
+    release(dealt, balls, asked, verdicts, counted)
+    return found
+
+
+def near_countries(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """(id, vector, country) for each row of (id, vector, country): its own country, and each other whose mean distance may be the least.
+
+    The mean distance of x from a country is at least that of x from its mean, and at most the root of the mean squared distance;
+    both follow from the country's mean and its mean squared norm. A country whose least is over another's most isn't the nearest. At most
+    `most` countries, whose means go to all tasks, else an error.
+    """
+    rows = rows.select("id", "vector", F.col("country").cast("long").alias("country")).filter("country is not null")
+    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    squares = rows.groupBy("country").agg(F.avg(norm).alias("squares"))
+    means = rows.select("country", F.posexplode("vector").alias("pos", "value")).groupBy("country", "pos").agg(F.avg("value").alias("mean"))
+    centres = means.groupBy("country").agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("parts"))
+    found = squares.join(centres, "country").select("country", "squares", F.col("parts.mean").alias("mean")).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} countries")
+    found.sort(key=lambda r: r["country"])
+    countries = np.array([r["country"] for r in found], np.int64)
+    centre, square = np.array([r["mean"] for r in found], float), np.array([r["squares"] for r in found], float)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, own = _matrix(batch.column(1)), np.asarray(batch.column(2))
+            norms = (x**2).sum(axis=1)[:, None] + square[None, :]
+            slack = SLACK * (1 + norms)
+            high = np.sqrt(np.maximum(norms - 2 * x @ centre.T, 0) + slack)
+            low = distances(x, centre, "euclidean") - np.sqrt(slack)
+            foreign = countries[None, :] != own[:, None]
+            least = np.where(foreign, high, np.inf).min(axis=1)
+            i, j = np.nonzero(~foreign | (low <= least[:, None]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(countries[j])], ["id", "vector", "country"])
+
+    return rows.mapInArrow(run, "id long, vector array<double>, country long")
+
+
+def distance_sums(rows: DataFrame, wanted: DataFrame | None = None, size: int = BLOCK) -> DataFrame:
+    """(id, country, total, members): the sum of a row's distances to a country's other rows, for each (id, vector, country) of wanted.
+
+    rows are (id, vector, country) with ids of their own; without wanted, each row is held against every country. A country's rows and the rows
+    that ask for it are dealt to blocks, and one pair of blocks is a task.
+    """
+    rows = rows.select("id", "vector", F.col("country").cast("long").alias("country")).filter("country is not null")
+    if wanted is None:
+        every = rows.agg(F.collect_set("country").alias("countries"))
+        wanted = rows.select("id", "vector").crossJoin(F.broadcast(every)).select("id", "vector", F.explode("countries").alias("country"))  # one row
+
+    def blocked(side: str, frame: DataFrame) -> DataFrame:
+        parts = frame.groupBy("country").agg(F.ceil(F.count("*") / size).alias("parts"))
+        dealt = frame.join(parts, "country").withColumn("block", F.pmod(F.xxhash64("id"), "parts"))
+        items = dealt.groupBy("country", "block").agg(F.collect_list(F.struct("id", "vector")).alias("items"))
+        return materialize(items.select("country", F.col("block").alias(f"block_{side}"), F.col("items.id").alias(f"ids_{side}"), F.col("items.vector").alias(f"vectors_{side}")), "blocks", collect=False)
+
+    a, b = blocked("a", wanted), blocked("b", rows)
+    meet = a.select("country", "block_a").join(b.select("country", "block_b"), "country")
+    names = ["country", "ids_a", "vectors_a", "ids_b", "vectors_b"]
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                country, ids, vectors, b_ids, b_vectors = (c[row] for c in batch.columns)
+                ids, b_ids = np.asarray(ids.values), np.asarray(b_ids.values)
+                d, own = distances(_matrix(vectors.values), _matrix(b_vectors.values), "euclidean"), ids[:, None] == b_ids[None, :]
+                total, members = np.where(own, 0, d).sum(axis=1), (~own).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), country.as_py())), pa.array(total), pa.array(members)], ["id", "country", "total", "members"])
+
+    joined = meet.join(a, ["country", "block_a"]).join(b, ["country", "block_b"]).select(*names)
+    found = joined.mapInArrow(run, "id long, country long, total double, members long")
+    sums = materialize(found.groupBy("id", "country").agg(F.sum("total").alias("total"), F.sum("members").alias("members")), "sums", collect=False)
+    release(a, b)
+    return sums
