@@ -270,6 +270,17 @@ def _within_pool(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "value").filter(across & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
+def _joined_further(seen: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, component) of the components seen after links more (a, b): only components that these join go through another search."""
+    if more.isEmpty():
+        return seen
+    ends = [seen.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab"]
+    over = more.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    tops = connected_components(over.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")), "a", "b")
+    moved = seen.join(tops.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    return moved.select("node", F.coalesce("top", "component").alias("component")).unionByName(tops.join(seen, "node", "left_anti").select("node", "component"))
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle_words: int = 5,
@@ -331,21 +342,20 @@ def near_duplicates(
     outside = near.join(centred.filter("difference is null").select("node").distinct(), "node", "left_semi").select("hub", "node").withColumn("asked", F.lit(True))
     rest = near.join(outside.select("hub").distinct(), "hub", "left_semi").join(outside, ["hub", "node"], "left")
     rest = rest.withColumn("asked", F.coalesce("asked", F.lit(False)))
-    first = held.unionByName(centred).filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
 
     pool = materialize(_far_pool(doubtful, held, seen), "pool")
     pairs = _near_hubs(inside, seen, percent).unionByName(_near_hubs(rest, seen, percent)).unionByName(_within_pool(pool, sets, percent)).distinct()
     second = materialize(_estimated_then_compared(materialize(pairs, "proposed"), sets, k, percent).filter(linked).select("a", "b"), "second")
     release(sets, doubtful, pool)
-    links = first.unionByName(second)
 
     found = named.select("doc_id", "set_key").join(labels, "set_key").filter("doc_id <> node").select("doc_id", "node").distinct()
     #: Rows with equal ids are one vertex, so copies are edges too where an id has more than one set.
-    places = connected_components(links, "a", "b")
+    more = second
     twice = named.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x <> y").select("doc_id")
     if not twice.isEmpty():
-        places = connected_components(links.unionByName(found.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))), "a", "b")
-    release(estimates, held, centred, families, seen, second)
+        more = more.unionByName(found.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    places = _joined_further(seen, more)
+    release(estimates, held, centred, families, second)
     out = own.join(labels, "set_key", "left").join(places, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -151,3 +151,11 @@ def test_substring_odd_rows(spark):
     found = sorted((str(x.doc_id), x.n_removed) for x in substring.remove_repeats(df, with_text=True).collect())
     assert found == [("1", 0), ("1", 0), ("2", 20), ("None", 0)]
     assert substring.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_components_joined_further(spark):
+    seen = spark.createDataFrame([(1, 1), (5, 1), (2, 2), (7, 2), (9, 4), (4, 4)], "node long, component long")
+    more = spark.createDataFrame([(7, 5), (9, 30), (30, 31), (40, 41)], "a long, b long")
+    found = sorted((r.node, r.component) for r in minhash._joined_further(seen, more).collect())
+    assert found == [(1, 1), (2, 1), (4, 4), (5, 1), (7, 1), (9, 4), (30, 4), (31, 4), (40, 40), (41, 40)]
+    assert sorted((r.node, r.component) for r in minhash._joined_further(seen, more.limit(0)).collect()) == sorted((r.node, r.component) for r in seen.collect())
