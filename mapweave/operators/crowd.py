@@ -124,11 +124,12 @@ def unit_tf_idf(labels: DataFrame, articles: DataFrame) -> DataFrame:
     """(project, cluster, label, tfidf) of labels and articles (project, cluster, article) by study unit.
 
     Labels meet the articles of their unit many to many (J21): tf is the label's part of the unit's pairs, with one more, idf the log of
-    the project's articles over the label's pairs and ten.
+    the project's articles over the label's pairs and ten. Pairs are counted, as rows of the label times rows of the unit, and not made.
     """
     unit = ["project", "cluster"]
-    pairs = labels.join(articles, unit)
-    base = pairs.groupBy(*unit, "label").agg(F.count("*").alias("clc"))
+    held = articles.groupBy(*unit).agg(F.count("*").alias("held"))
+    base = labels.groupBy(*unit, "label").agg(F.count("*").alias("own")).join(held, unit)
+    base = base.select(*unit, "label", (F.col("own") * F.col("held")).alias("clc"))
     ncl = base.groupBy(*unit).agg(F.sum("clc").alias("ncl"))
     lc = base.groupBy("label").agg(F.sum("clc").alias("lc"))
     n = articles.groupBy("project").agg(F.count_distinct("article").alias("n"))
