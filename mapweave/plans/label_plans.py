@@ -46,7 +46,7 @@ def _popularity(spark: SparkSession, sf_dir: str, days: int) -> DataFrame:
     events = table(spark, sf_dir, "events").filter("value is not null")
     last = events.agg(F.max("ts").alias("last"))
     recent = events.crossJoin(F.broadcast(last)).filter(F.col("ts") >= F.col("last") - F.make_interval(days=F.lit(days)))  # one row
-    return recent.groupBy(F.col("user_id").alias("article_id")).agg(F.sum("value").alias("popularity"))
+    return recent.groupBy(F.col("user_id").alias("article_id")).agg(L.exact_sum("value").alias("popularity"))
 
 
 def _popularity_sql(days: int) -> str:

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from mapweave.operators import crowd
+from mapweave.operators import crowd, labels
 
 
 def test_unit_tf_idf_counts_pairs_without_making_them(spark):
@@ -13,3 +13,10 @@ def test_unit_tf_idf_counts_pairs_without_making_them(spark):
     found = {r.label: r.tfidf for r in crowd.unit_tf_idf(rows.select("project", "cluster", "label"), rows.select("project", "cluster", "article")).collect()}
     for label, own in (("a", n // 3), ("b", n - n // 3)):
         assert found[label] == pytest.approx(own * n / (n * n + 1) * math.log(n / (own * n + 10)))
+
+
+def test_exact_sums_tie_in_any_order(spark):
+    rows = spark.createDataFrame([(0, 0.1), (0, 0.2), (0, 0.3), (1, 0.3), (1, 0.2), (1, 0.1), (2, 1e300), (2, 0.5), (3, float("nan")), (3, 1.0)], "g int, x double").coalesce(1)
+    found = {r.g: r.s for r in rows.groupBy("g").agg(labels.exact_sum("x").alias("s")).collect()}
+    assert found[0] == found[1] == 0.6
+    assert found[2] == 1e300 and math.isnan(found[3])
