@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from mapweave.operators import crowd, labels
+from mapweave.operators import cluster, crowd, labels
 
 
 def test_unit_tf_idf_counts_pairs_without_making_them(spark):
@@ -20,3 +20,24 @@ def test_exact_sums_tie_in_any_order(spark):
     found = {r.g: r.s for r in rows.groupBy("g").agg(labels.exact_sum("x").alias("s")).collect()}
     assert found[0] == found[1] == 0.6
     assert found[2] == 1e300 and math.isnan(found[3])
+
+
+def test_vectors_without_a_cosine_move_no_centre(spark):
+    rows = [(0, None), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.9, 0.1]), (4, [0.1, 0.8]), (5, [float("nan"), 1.0]), (6, [1.0]), (7, [None, 1.0])]
+    found, centres = cluster.kmeans_cosine(spark.createDataFrame(rows, "article_id long, vector array<double>"), 2)
+    assert centres == [pytest.approx([0.95, 0.05], abs=1e-5), pytest.approx([0.05, 0.9], abs=1e-5)]
+    assert {r.article_id: r.country for r in found.collect() if r.article_id in (1, 2, 3, 4)} == {1: 0, 2: 1, 3: 0, 4: 1}
+    assert found.count() == len(rows)
+
+
+@pytest.mark.parametrize("two_stages", [False, True])
+def test_joint_kmeans_is_the_same_by_sent_sums_and_by_joins(spark, two_stages):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    n, k = 40, 3
+    v, xy, m = rng.random((n, 4)), rng.random((n, 2)), (rng.random((n, 30)) < 0.4) * rng.random((n, 30))
+    rows = spark.createDataFrame([(i, v[i].tolist(), *xy[i].tolist()) for i in range(n)], "article_id long, vector array<double>, x double, y double")
+    weights = spark.createDataFrame([(int(i), f"l{j}", float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "article_id long, label string, weight double")
+    sent, joined = ({r.article_id: (r.country, round(r.distance, 9)) for r in cluster.joint_kmeans(rows, weights, k, two_stages=two_stages, most_sums=most).collect()} for most in (10_000, 0))
+    assert sent == joined and len(sent) == n
