@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from mapweave.operators import cluster, crowd, labels
+from mapweave.operators import cluster, crowd, labels, topics
 
 
 def test_unit_tf_idf_counts_pairs_without_making_them(spark):
@@ -41,3 +41,11 @@ def test_joint_kmeans_is_the_same_by_sent_sums_and_by_joins(spark, two_stages):
     weights = spark.createDataFrame([(int(i), f"l{j}", float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "article_id long, label string, weight double")
     sent, joined = ({r.article_id: (r.country, round(r.distance, 9)) for r in cluster.joint_kmeans(rows, weights, k, two_stages=two_stages, most_sums=most).collect()} for most in (10_000, 0))
     assert sent == joined and len(sent) == n
+
+
+def test_mixtures_shuffle_only_the_shares(spark):
+    shares = spark.createDataFrame([(1, 0, 0.75), (1, 1, 0.25), (2, 1, 1.0), (3, 9, 1.0)], "doc_id long, topic int, prob double")
+    words = spark.createDataFrame([(0, "b", 0.5), (0, "a", 0.5), (1, "c", 1.0), (1, "zero", 0.0)], "topic int, word string, prob double")
+    found = topics.lda_mixture(shares, words, 3)
+    assert sorted((r.doc_id, r.place, r.word, r.prob) for r in found.collect()) == [(1, 1, "a", 0.375), (1, 2, "b", 0.375), (1, 3, "c", 0.25), (2, 1, "c", 1.0), (2, 2, "zero", 0.0)]
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
