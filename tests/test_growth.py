@@ -49,3 +49,9 @@ def test_mixtures_shuffle_only_the_shares(spark):
     found = topics.lda_mixture(shares, words, 3)
     assert sorted((r.doc_id, r.place, r.word, r.prob) for r in found.collect()) == [(1, 1, "a", 0.375), (1, 2, "b", 0.375), (1, 3, "c", 0.25), (2, 1, "c", 1.0), (2, 2, "zero", 0.0)]
     assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+
+
+def test_keywords_of_more_documents_than_are_held_at_once(spark):
+    docs = spark.createDataFrame([(i, None if i == 70 else ["tea", "milk", f"w{i}"]) for i in range(150)], "doc_id long, words array<string>").coalesce(1)
+    found = topics.text_rank(docs, top=1).collect()
+    assert sorted(r.doc_id for r in found) == [i for i in range(150) if i != 70] and {r.word for r in found} == {"milk"}
