@@ -55,3 +55,32 @@ def test_keywords_of_more_documents_than_are_held_at_once(spark):
     docs = spark.createDataFrame([(i, None if i == 70 else ["tea", "milk", f"w{i}"]) for i in range(150)], "doc_id long, words array<string>").coalesce(1)
     found = topics.text_rank(docs, top=1).collect()
     assert sorted(r.doc_id for r in found) == [i for i in range(150) if i != 70] and {r.word for r in found} == {"milk"}
+
+
+def test_changes_add_up_alike_with_and_without_a_shuffle(spark):
+    import numpy as np
+
+    from mapweave.operators import cluster
+
+    rows = spark.range(0, 5000, 1, 4)
+    told = lambda batch, sent: (np.array([batch.num_rows, 1.0])[:2] * [1, 0], batch.column(0).to_numpy() % sent, np.ones(batch.num_rows))
+    for few in (0, 10, 10_000):  # by Spark, too many for the driver and so by Spark, by the driver
+        total, at, by = cluster._changes(rows, told, 70, 2, few)
+        assert total.tolist() == [5000, 0]
+        assert dict(zip(at.tolist(), by.tolist(), strict=True)) == {i: len(range(i, 5000, 70)) for i in range(70)}
+    _, at, _ = cluster._changes(rows, lambda batch, sent: (np.zeros(2), np.zeros(0, int), np.zeros(0)), None, 2, 10)
+    assert not len(at)  # what doesn't change doesn't travel
+
+
+def test_packed_lists_are_the_same_numbers():
+    import numpy as np
+    import pyarrow as pa
+
+    from mapweave.operators import cluster
+
+    lists = pa.array([[1.5, 2.0], None, [], [3.0]], pa.list_(pa.float64()))
+    for part in (lists, lists.slice(1), lists.slice(1, 2)):
+        values, size = cluster._unpacked(cluster._packed(part), np.float64)
+        assert values.tolist() == [x for row in part.to_pylist() for x in row or []] and size.tolist() == [len(row or []) for row in part.to_pylist()]
+    packed = cluster._packed(lists)
+    assert cluster._unpacked(packed.slice(3), np.float64)[0].tolist() == [3.0] and cluster._unpacked(packed.slice(0, 0), np.float64)[0].tolist() == []
