@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -13,19 +14,23 @@ from mapweave.runtime import materialize, release
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
-    """The derivative of the logarithm of the gamma function: steps up to 6, then the asymptotic series."""
-    x, moved = np.array(x, float), 0.0
-    for _ in range(6):
-        moved = moved - np.where(x < 6, 1 / x, 0.0)
-        x = np.where(x < 6, x + 1, x)
+    """The derivative of the logarithm of the gamma function: six steps up, then the asymptotic series."""
+    x = np.array(x, float)
+    if x.size < 4096:  # all steps at once
+        moved, x = -(1 / (x[..., None] + np.arange(6))).sum(axis=-1), x + 6
+    else:
+        moved = np.zeros_like(x)
+        for _ in range(6):
+            moved -= 1 / x
+            x += 1
     y = 1 / (x * x)
     return moved + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
 
 
 def _log_sticks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Expected logarithms of the pieces of a stick broken by Beta(a, b) shares, the rest being the last piece."""
-    whole = _digamma(a + b)
-    broken, rest = _digamma(a) - whole, _digamma(b) - whole
+    broken, rest, whole = _digamma(np.array([a, b, a + b]))
+    broken, rest = broken - whole, rest - whole
     return np.append(broken, 0.0) + np.insert(np.cumsum(rest), 0, 0.0)
 
 
@@ -74,14 +79,35 @@ def hdp(documents: DataFrame, most_topics: int = 50, pieces: int = 10, min_df: f
     these words, or are null, have no topics. A smaller eta splits themes into more topics of fewer words. Rows of one doc_id are documents of their own with the same id; a null doc_id is kept.
     """
     spark = documents.sparkSession
-    known = vocabulary(documents, min_df, max_df, most)
-    names = spark.createDataFrame(list(enumerate(known)), "i int, word string")
     rows = documents.select("doc_id", "words").withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows, "documents", collect=False)
-    cells = rows.select("row", "doc_id", F.explode("words").alias("word")).join(names, "word").groupBy("row", "doc_id", "i").agg(F.count("*").alias("n"))
-    bags = cells.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("bag"))
-    bags = bags.select("doc_id", F.col("bag.i").alias("ids"), F.col("bag.n").cast("array<double>").alias("counts"), F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int").alias("batch"))
-    bags = materialize(bags, "bags", "batch", collect=False)
+    known = vocabulary(rows, min_df, max_df, most)
+    vocabulary_sent = spark.sparkContext.broadcast(known)  # at most `most` words
+    doc_kind = rows.schema["doc_id"].dataType
+
+    def bagged(batches):
+        """The numbers of each document's known words in order, and how often it holds them; documents without any are left out."""
+        numbers = pa.array(vocabulary_sent.value, pa.string())
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                words = part.column("words")
+                size = np.nan_to_num(pc.list_value_length(words).to_numpy(zero_copy_only=False)).astype(np.int64)
+                found = pc.index_in(words.flatten(), value_set=numbers)
+                there = found.is_valid().to_numpy(zero_copy_only=False)
+                keys = np.repeat(np.arange(len(size)), size)[there] * max(len(numbers), 1) + found.drop_null().to_numpy().astype(np.int64)
+                cells, counts = np.unique(keys, return_counts=True)
+                own, word = np.divmod(cells, max(len(numbers), 1))
+                held = np.bincount(own, minlength=len(size))
+                kept, ends = pa.array(held > 0), pa.array(np.append(0, np.cumsum(held[held > 0])), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(word, pa.int32()), pa.array(counts.astype(float)))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").filter(kept), *lists, part.column("row").filter(kept)], ["doc_id", "ids", "counts", "row"])
+
+    bags = rows.mapInArrow(bagged, f"doc_id {doc_kind.simpleString()}, ids array<int>, counts array<double>, row long")
+    bags = bags.select("doc_id", "ids", "counts", F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int").alias("batch"))
+    # small next to what a fit does with it, so every batch is dealt out evenly over all cores
+    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bags = materialize(bags.repartition(cores), "bags", "batch", collect=False)
     sizes = {r.batch: r.n for r in bags.groupBy("batch").agg(F.count("*").alias("n")).collect()}
     n, width = sum(sizes.values()), len(known)
     held_names = [f"t{i}" for i in range(most_topics)]
@@ -96,21 +122,29 @@ def hdp(documents: DataFrame, most_topics: int = 50, pieces: int = 10, min_df: f
 
     def common() -> tuple[np.ndarray, np.ndarray]:
         sticks = _log_sticks(1 + drawn[:-1], gamma + _above(drawn))
-        return (_digamma(table) - _digamma(table.sum(axis=1))[:, None]).astype(np.float32), sticks
+        return np.ascontiguousarray((_digamma(table) - _digamma(table.sum(axis=1))[:, None]).T, np.float32), sticks  # a word's topics lie side by side
+
+    def bags_of(batch):
+        """(numbers, counts) of the words of each document."""
+        ids, counts = (batch.column(c).flatten().to_numpy() for c in ("ids", "counts"))
+        ends = np.cumsum(pc.list_value_length(batch.column("ids")).to_numpy())
+        return zip(np.split(ids, ends[:-1]), np.split(counts, ends[:-1]), strict=True)
 
     def fits(sent):
         def run(batches):
             log_words, sticks = sent.value
-            total, uses = {}, np.zeros(len(sticks))
+            total, seen, uses = np.zeros(log_words.shape), np.zeros(len(log_words), bool), np.zeros(len(sticks))
             for batch in batches:
-                for ids, counts in zip(batch.column("ids").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                    counts = np.array(counts)
-                    which, whose = fit_document(counts, log_words[:, ids].astype(float), sticks, pieces, alpha)
+                for ids, counts in bags_of(batch):
+                    which, whose = fit_document(counts, log_words[ids].T.astype(float), sticks, pieces, alpha)
                     uses += which.sum(axis=0)
-                    for i, x in zip(ids, (whose * counts[:, None]) @ which, strict=True):
-                        total[i] = total[i] + x if i in total else x
-            keys, values = [-1, *total], np.array([uses, *total.values()])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array(values[:, t]) for t in range(len(sticks)))], ["i", *held_names])
+                    total[ids] += (whose * counts[:, None]) @ which  # the words of a bag are distinct
+                    seen[ids] = True
+            there = np.flatnonzero(seen)
+            for at in range(0, len(there), 4096):
+                part = there[at : at + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(total[part, t]) for t in range(len(sticks)))], ["i", *held_names])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([x]) for x in uses)], ["i", *held_names])
 
         return run
 
@@ -119,14 +153,11 @@ def hdp(documents: DataFrame, most_topics: int = 50, pieces: int = 10, min_df: f
     for _ in range(max_passes):
         for b, size in sizes.items():
             sent = spark.sparkContext.broadcast(common())  # most_topics x `most` numbers
-            told = bags.filter(F.col("batch") == b).select("ids", "counts").mapInArrow(fits(sent), schema).groupBy("i").agg(*summed).collect()  # at most `most` rows
+            told = bags.filter(F.col("batch") == b).select("ids", "counts").mapInArrow(fits(sent), schema).groupBy("i").agg(*summed).toArrow()  # at most `most` rows
             sent.destroy()
-            found, uses = np.zeros_like(table), np.zeros(most_topics)
-            for r in told:
-                if r.i < 0:
-                    uses = np.array(r[1:])
-                else:
-                    found[:, r.i] = r[1:]
+            found, at, said = np.zeros_like(table), told["i"].to_numpy(), np.array([told[t].to_numpy() for t in held_names])
+            found[:, at[at >= 0]] = said[:, at >= 0]
+            uses = said[:, at < 0].sum(axis=1)
             rate = (offset + step) ** -decay
             step += 1
             table = (1 - rate) * table + rate * (eta + found * n / size)
@@ -149,9 +180,9 @@ def hdp(documents: DataFrame, most_topics: int = 50, pieces: int = 10, min_df: f
         log_words, sticks = sent.value
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for doc, ids, counts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "counts")), strict=True):
-                which, whose = fit_document(np.array(counts), log_words[:, ids].astype(float), sticks, pieces, alpha)
-                mix = (np.array(counts) @ whose) @ which
+            for doc, (ids, counts) in zip(batch.column("doc_id").to_pylist(), bags_of(batch), strict=True):
+                which, whose = fit_document(counts, log_words[ids].T.astype(float), sticks, pieces, alpha)
+                mix = (counts @ whose) @ which
                 for t in np.flatnonzero(mix[:kept] >= 0.01 * mix.sum()):
                     for column, value in zip(out, (doc, int(t), float(mix[t] / mix.sum())), strict=True):
                         column.append(value)

@@ -56,3 +56,31 @@ def test_digamma_and_sticks():
     assert np.allclose(hdp._digamma(x), [-100.5608854578687, -1.9635100260214235, -0.5772156649015329, 1.167267071061226, 3.1987425128235453], rtol=1e-7, atol=1e-3)
     assert np.allclose(np.exp(hdp._log_sticks(np.array([1e6, 1e6]), np.array([1e6, 3e6]))), [0.5, 0.125, 0.375], rtol=1e-4)
     assert hdp._above(np.array([1.0, 2.0, 4.0])).tolist() == [6.0, 4.0]
+
+
+def test_a_batch_is_dealt_out_over_all_cores_and_words_are_not_shuffled(spark, monkeypatch):
+    kept = {}
+    keep = hdp.materialize
+
+    def seen(df, name, *more, **named):
+        kept[name] = keep(df, name, *more, **named)
+        if name == "bags":
+            kept["plan"] = df._jdf.queryExecution().executedPlan().toString()
+            kept["files"] = {}
+            for f in kept[name].inputFiles():
+                batch = f.split("batch=")[1].split("/")[0]
+                kept["files"][batch] = kept["files"].get(batch, 0) + 1
+            kept["rows"] = [(r.doc_id, r.ids, r.counts) for r in kept[name].collect()]
+        return kept[name]
+
+    monkeypatch.setattr(hdp, "materialize", seen)
+    rows = themes(random.Random(11), 4, 200)
+    docs = spark.createDataFrame([(d, w) for d, w, _ in rows] + [(900, []), (901, None), (902, ["unseen", None])], "doc_id long, words array<string>")
+    hdp.hdp(docs, most_topics=20)
+    assert min(kept["files"].values()) >= spark.sparkContext.defaultParallelism / 2
+    assert "Join" not in kept["plan"] and "HashAggregate" not in kept["plan"]
+    known = hdp.vocabulary(docs)
+    assert {d for d, _, _ in kept["rows"]} == {d for d, _, _ in rows}
+    for d, ids, counts in kept["rows"]:
+        words = [w for w in rows[d][1] if w in known]
+        assert ids == sorted({known.index(w) for w in words}) and counts == [float(words.count(known[i])) for i in ids]
