@@ -12,7 +12,7 @@ from mapweave.operators import topics
 from mapweave.operators.factors import label_svd
 from mapweave.operators.hdp import hdp
 from mapweave.operators.ranks import numbered
-from mapweave.plans.registry import SQL_LABELS, article_labels, article_tokens, countries, query, r6, table, vectors
+from mapweave.plans.registry import SQL_LABELS, article_counts, article_labels, article_tokens, countries, query, r6, table, vectors
 from mapweave.runtime import materialize
 from mapweave.sources.tables import latest_metrics, map_document, page_links as links_of, page_titles as titles_of
 from mapweave.streaming.popularity import windowed_popularity
@@ -179,7 +179,7 @@ def kp_miner_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.label_counts(article_labels(spark, sf_dir), countries(spark, sf_dir))
+    return article_counts(spark, sf_dir)
 
 
 @query(f"with {SQL_LABELS} select country, label, clc, ncl::bigint as ncl, lcp::bigint as lcp from counts")
