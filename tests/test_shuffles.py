@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mapweave.operators import cluster
+from mapweave.operators import cluster, topics
 from mapweave.operators.labels import label_counts, listed_counts
 from mapweave.plans.registry import article_labels, label_lists
 
@@ -51,3 +51,13 @@ def test_counts_of_lists_are_those_of_labels(spark):
     flat = lists.select("article_id", F.explode("labels").alias("label")).distinct()
     found, expected = (sorted(map(tuple, df.select(*listed_counts(lists).columns).collect())) for df in (listed_counts(lists), label_counts(flat, lists.select("article_id", "country"))))
     assert found == expected
+
+
+def test_runs_of_a_document_are_counted_in_its_row(spark):
+    texts = ["a b a b a b a b c", "x " * 9 + "a b c " * 4, "", "q r s " * 3]
+    words = spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)] + [(8, ["a", None, "b"] * 5), (9, None)], "doc_id long, w array<string>")
+    columns = ["doc_id", "phrase", "length", "tf", "all", "long"]
+    for seen, cutoff in ((4, 200), (3, 2), (2, 5)):
+        found, expected = (sorted(map(tuple, f(words, 3, seen, cutoff).select(*columns).collect())) for f in (topics._runs_by_row, topics._runs_by_document))
+        assert found == expected and found
+    assert "Exchange" not in _plan(topics._runs_by_row(words, 3, 4, 200))
