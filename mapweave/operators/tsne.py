@@ -1,19 +1,22 @@
-"""t-distributed neighbour embedding (K14) as rounds of joins and sums.
+"""t-distributed neighbour embedding (K14) as rounds of sums over blocks of points.
 
 Each row's affinities to its nearest others are normal with a width, found by bisection, that gives them the wanted perplexity. A round moves every
-point down the gradient of the divergence: pulls are a join along the affinities; pushes come from a quadtree over the points, whose cells
+point down the gradient of the divergence: pulls are sums along the affinities (operators/edges.py), which aren't shuffled again; pushes come from a quadtree over the points, whose cells
 (numbers of points and their means, at most about 4**depth at the finest level) are summed on Spark and travel to all tasks, where a cell stands for its points
 as soon as it looks small from a point. The normaliser is that of the round before. Rounds end when the divergence stands still.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mapweave.operators import edges
 from mapweave.operators.cluster import pca_layout
 from mapweave.operators.neighbours import nearest_graph
 from mapweave.runtime import materialize, release
@@ -46,7 +49,9 @@ def affinities(neighbours: DataFrame, perplexity: float) -> DataFrame:
 
     per = neighbours.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("distance", "other"))).alias("n"))  # as many as were asked for
     one_way = per.select("id", F.col("n.other").alias("others"), F.col("n.distance").alias("distances")).mapInPandas(run, "u long, v long, p double")
-    both = one_way.unionByName(one_way.select(F.col("v").alias("u"), F.col("u").alias("v"), "p")).groupBy("u", "v").agg(F.sum("p").alias("p"))
+    one_way = materialize(one_way, "one_way", collect=False)
+    both = materialize(one_way.unionByName(one_way.select(F.col("v").alias("u"), F.col("u").alias("v"), "p")).groupBy("u", "v").agg(F.sum("p").alias("p")), "both", collect=False)
+    release(one_way)
     total = both.agg(F.sum("p").alias("total"))
     return both.crossJoin(F.broadcast(total)).select("u", "v", (F.col("p") / F.col("total")).alias("p"))  # one row
 
@@ -103,30 +108,62 @@ class Quadtree:
         return out
 
 
+_STATE = ["x", "y", "vx", "vy", "gx", "gy", "z", "kl"]
+_BLOCKS = "block long, ids array<long>, " + ", ".join(f"{c} array<double>" for c in _STATE)
+
+
 def _tree(state: DataFrame, reach: float, depth: int) -> tuple[Quadtree, float, float, float]:
     """(tree, normaliser and divergence of the state, farthest coordinate)."""
     h = 2.2 * max(reach, 1e-9) / 2**depth
-    at = lambda c: F.floor(F.col(c) / h)
-    cells = state.groupBy(at("x").alias("ix"), at("y").alias("iy")).agg(
-        F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum("z").alias("z"), F.sum("kl").alias("kl"), F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("far")
-    )
+    names = ["ix", "iy", "n", "sx", "sy", "z", "kl", "far"]
+
+    def run(batches):
+        for batch in batches:
+            for x, y, z, kl in zip(*batch.columns, strict=True):
+                x, y, z, kl = (c.values.to_numpy() for c in (x, y, z, kl))
+                cells, own = np.unique(np.column_stack([np.floor(x / h), np.floor(y / h)]).astype(np.int64), axis=0, return_inverse=True)
+                own, far = own.ravel(), np.zeros(len(cells))
+                np.maximum.at(far, own, np.maximum(np.abs(x), np.abs(y)))
+                sums = [np.bincount(own, w, len(cells)) for w in (x, y, z, kl)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (cells[:, 0], cells[:, 1], np.bincount(own), *sums, far)], names)
+
+    parts = state.select("x", "y", "z", "kl").mapInArrow(run, "ix long, iy long, n long, sx double, sy double, z double, kl double, far double")
+    cells = parts.groupBy("ix", "iy").agg(*(F.sum(c).alias(c) for c in names[2:7]), F.max("far").alias("far"))
     t = {c: v.to_numpy() for c, v in zip(cells.columns, cells.toArrow().columns, strict=True)}  # about 4**depth rows at most
     z = t["z"].sum()
     return Quadtree(t["ix"], t["iy"], t["n"], t["sx"], t["sy"], h, depth + 2), z, t["kl"].sum() + (np.log(z) if z > 0 else 0.0), t["far"].max()
 
 
-def _pushed(state: DataFrame, tree: Quadtree, theta: float) -> DataFrame:
-    """state with rx, ry and z of the tree."""
-    names = ["id", "x", "y", "vx", "vy", "gx", "gy"]
+def _push(tree: Quadtree, x: np.ndarray, y: np.ndarray, theta: float) -> np.ndarray:
+    points = np.column_stack([x, y])
+    return np.vstack([np.zeros((0, 3)), *(tree.push(points[at : at + 1024], theta) for at in range(0, len(points), 1024))])
+
+
+def _pull(p: np.ndarray, xu: np.ndarray, yu: np.ndarray, xv: np.ndarray, yv: np.ndarray) -> tuple[np.ndarray, ...]:
+    dx, dy = xu - xv, yu - yv
+    d = dx * dx + dy * dy
+    near = p / (1 + d)
+    return near * dx, near * dy, p * np.log(p * (1 + d), out=np.zeros_like(p), where=p > 0)
+
+
+def _moved(state: DataFrame, pulled: DataFrame, blocks: int, tree: Quadtree, z: float, theta: float, exaggeration: float, momentum: float, pace: float) -> DataFrame:
+    """state after a step; its z and kl are those before it."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                found = tree.push(np.column_stack([part.column(1).to_numpy(), part.column(2).to_numpy()]), theta)
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c) for c in found.T)], [*names, "rx", "ry", "z"])
+            for row in range(batch.num_rows):
+                own = {c: batch.column(i + 2)[row].values.to_numpy() for i, c in enumerate(_STATE)}
+                push, parts = _push(tree, own["x"], own["y"], theta), batch.column(len(_STATE) + 2)[row]
+                after = {"z": push[:, 2], "kl": edges.total(parts, "kl", len(push))}
+                for i, c in enumerate("xy"):
+                    g = 4 * (exaggeration * edges.total(parts, f"a{c}", len(push)) - push[:, i] / max(z, 1e-300))
+                    after[f"g{c}"] = np.maximum(0.01, np.where(np.sign(g) == np.sign(own[f"v{c}"]), own[f"g{c}"] * 0.8, own[f"g{c}"] + 0.2))
+                    after[f"v{c}"] = own[f"v{c}"] * momentum - g * after[f"g{c}"] * pace
+                    after[c] = own[c] + after[f"v{c}"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(row, 1) for i in range(2)), *(pa.array([after[c]], pa.list_(pa.float64())) for c in _STATE)], ["block", "ids", *_STATE])
 
-    return state.select(*names).mapInArrow(run, "id long, " + ", ".join(f"{c} double" for c in [*names[1:], "rx", "ry", "z"]))
+    joined = state.join(pulled, "block", "left").select("block", "ids", *_STATE, "told")
+    return joined.repartition(blocks, "block").mapInArrow(run, _BLOCKS)  # as many tasks as blocks
 
 
 def layout(
@@ -152,30 +189,26 @@ def layout(
         return own.select("article_id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("divergence"))
     perplexity = min(perplexity, (n - 1) / 3)
     near = nearest_graph(own.select(F.col("article_id").alias("id"), "vector"), min(n - 1, int(3 * perplexity)), "cosine") if neighbours is None else neighbours
-    edges = materialize(affinities(near.select("id", "other", "distance"), perplexity), "affinities")
+    near = affinities(near.select("id", "other", "distance"), perplexity)
     start = pca_layout(own)
     size = start.agg(F.stddev("x")).first()[0] or 1.0
-    zero = F.lit(0.0)
-    state = materialize(
-        start.select(F.col("article_id").alias("id"), (F.col("x") / size).alias("x"), (F.col("y") / size).alias("y"), *(zero.alias(c) for c in ("vx", "vy")), *(F.lit(1.0).alias(c) for c in ("gx", "gy")), zero.alias("z"), zero.alias("kl")),
-        "layout",
-    )
-    tree, _, _, reach = _tree(state, state.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0], depth)
-    z = _pushed(state, tree, theta).agg(F.sum("z")).first()[0]
+    blocks, zero = ceil(n / edges.BLOCK), F.lit(0.0)
+    first = start.select(F.col("article_id").alias("id"), (F.col("x") / size).alias("x"), (F.col("y") / size).alias("y"), *(zero.alias(c) for c in ("vx", "vy")), *(F.lit(1.0).alias(c) for c in ("gx", "gy")), zero.alias("z"), zero.alias("kl"))
+    state = edges.blocked(first, _STATE, blocks)
+    packs = edges.packed(near.select("u", "v", F.col("p").alias("w")), state, blocks)
+    reach = state.agg(F.max(F.greatest(*(F.array_max(F.transform(c, F.abs)) for c in "xy")))).first()[0]
+    tree, _, _, reach = _tree(state, reach, depth)
+
+    def weighed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_push(tree, x.values.to_numpy(), y.values.to_numpy(), theta)[:, 2].sum() for x, y in zip(*batch.columns, strict=True)], pa.float64())], ["z"])
+
+    z = state.select("x", "y").mapInArrow(weighed, "z double").agg(F.sum("z")).first()[0]
     divergences: list[float] = []
     for step in range(max_rounds):
         early = step < exaggerated
-        there = state.select(F.col("id").alias("v"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-        met = edges.join(there, "v").join(state.select(F.col("id").alias("u"), "x", "y"), "u")
-        d = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
-        pull = lambda c: F.sum(F.col("p") / (1 + d) * (F.col(c) - F.col(f"o{c}"))).alias(f"a{c}")  # noqa: E731, B023
-        pulled = met.groupBy(F.col("u").alias("id")).agg(pull("x"), pull("y"), F.sum(F.col("p") * (F.log("p") + F.log1p(d))).alias("kl"))
-        moved = _pushed(state, tree, theta).join(pulled, "id", "left")
-        for c in "xy":
-            moved = moved.withColumn("g", 4 * ((exaggeration if early else 1.0) * F.coalesce(f"a{c}", zero) - F.col(f"r{c}") / max(z, 1e-300)))
-            gain = F.when(F.signum("g") == F.signum(f"v{c}"), F.col(f"g{c}") * 0.8).otherwise(F.col(f"g{c}") + 0.2)
-            moved = moved.withColumn(f"g{c}", F.greatest(F.lit(0.01), gain)).withColumn(f"v{c}", F.col(f"v{c}") * (0.5 if early else 0.8) - F.col("g") * F.col(f"g{c}") * (n / 4))
-        moved = moved.select("id", (F.col("x") + F.col("vx")).alias("x"), (F.col("y") + F.col("vy")).alias("y"), "vx", "vy", "gx", "gy", "z", F.coalesce("kl", zero).alias("kl"))
+        pulled = edges.told(packs, state, blocks, _pull, ["ax", "ay", "kl"])
+        moved = _moved(state, pulled, blocks, tree, z, theta, exaggeration if early else 1.0, 0.5 if early else 0.8, n / 4)
         before, state = state, materialize(moved, "layout", collect=False)
         release(before)
         tree, z, divergence, reach = _tree(state, reach, depth)  # z and divergence are those of the state before the step
@@ -184,5 +217,6 @@ def layout(
             break
     else:
         raise RuntimeError(f"the layout did not come to rest in {max_rounds} rounds")
-    release(edges, own)
-    return state.select(F.col("id").alias("article_id"), "x", "y", F.lit(float(divergence)).alias("divergence"))
+    release(packs, own)
+    points = state.select(F.explode(F.arrays_zip("ids", "x", "y")).alias("p"))
+    return points.select(F.col("p.ids").alias("article_id"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.lit(float(divergence)).alias("divergence"))
