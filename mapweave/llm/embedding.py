@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.operators.graph import connected_components
+from mapweave.operators.pairwise import met
 from mapweave.runtime import materialize
 
 #: Rounding that the bound allows for; the exact test on the original vectors follows.
@@ -195,6 +196,34 @@ def _compare(pairs: DataFrame, axes: np.ndarray, least: float, steps: tuple[int,
     return pairs.mapInArrow(run, "id long, n long, other long")
 
 
+def _block_pairs(blocks: DataFrame, tile_axes: int, most_blocks: int) -> DataFrame:
+    """(same, ids_a, units_a, weights_a, ids_b, units_b, weights_b) for each pair of blocks whose cells touch, a block with itself too.
+
+    Up to most_blocks blocks are met where they are read, so no vector is shuffled for a pair and disk follows the rows, not their pairs; in
+    more blocks a cell has few rows and few blocks around it, and pairs are joined by their cells.
+    """
+    sides = [blocks.select(*(F.col(c).alias(f"{c}_{x}") for c in ("cell", "part", "ids", "units", "weights"))) for x in "ab"]
+    same = (F.col("cell_a") == F.col("cell_b")) & (F.col("part_a") == F.col("part_b"))
+    if blocks.count() <= most_blocks:
+        touch = F.get("cell_a", F.lit(0)) == F.get("cell_b", F.lit(0))
+        for i in range(1, tile_axes + 1):
+            touch = touch & (F.abs(F.get("cell_a", F.lit(i)) - F.get("cell_b", F.lit(i))) <= 1)
+        once = (F.col("cell_a") < F.col("cell_b")) | ((F.col("cell_a") == F.col("cell_b")) & (F.col("part_a") <= F.col("part_b")))
+        full = met(*sides, touch & once)
+    else:
+        shifts = [s for s in product((-1, 0, 1), repeat=tile_axes) if s >= (0,) * len(s)]
+        near = F.array(*(F.array(F.lit(0), *(F.lit(x) for x in s)) for s in shifts))
+        places = blocks.select("cell", "part")
+        reach = places.select("cell", "part", F.explode(near).alias("shift")).select(
+            F.col("cell").alias("cell_a"), F.col("part").alias("part_a"), F.zip_with("cell", "shift", lambda x, y: x + y).alias("cell_b")
+        )
+        pairs = reach.join(places.select(F.col("cell").alias("cell_b"), F.col("part").alias("part_b")), "cell_b").filter(
+            (F.col("cell_a") != F.col("cell_b")) | (F.col("part_a") <= F.col("part_b"))
+        )
+        full = pairs.join(sides[0], ["cell_a", "part_a"]).join(sides[1], ["cell_b", "part_b"])
+    return full.select(same.alias("same"), "ids_a", "units_a", "weights_a", "ids_b", "units_b", "weights_b")
+
+
 def near_duplicates(
     vectors: DataFrame,
     least: float = 0.95,
@@ -203,6 +232,7 @@ def near_duplicates(
     steps: tuple[int, ...] = (16, 32),
     id_col: str = "vec_id",
     vec_col: str = "embedding",
+    most_blocks: int = 8192,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) for each row: links are pairs of rows with cosine >= least.
 
@@ -239,19 +269,7 @@ def near_duplicates(
         )
     )
     blocks = materialize(blocks, "blocks")
-    shifts = [s for s in product((-1, 0, 1), repeat=min(tile_axes, len(axes))) if s >= (0,) * len(s)]
-    near = F.array(*(F.array(F.lit(0), *(F.lit(x) for x in s)) for s in shifts))
-    places = blocks.select("cell", "part")
-    reach = places.select("cell", "part", F.explode(near).alias("shift")).select(
-        F.col("cell").alias("cell_a"), F.col("part").alias("part_a"), F.zip_with("cell", "shift", lambda x, y: x + y).alias("cell_b")
-    )
-    pairs = reach.join(places.select(F.col("cell").alias("cell_b"), F.col("part").alias("part_b")), "cell_b").filter(
-        (F.col("cell_a") != F.col("cell_b")) | (F.col("part_a") <= F.col("part_b"))
-    )
-    sides = [blocks.select(*(F.col(c).alias(f"{c}_{x}") for c in ("cell", "part", "ids", "units", "weights"))) for x in "ab"]
-    same = (F.col("cell_a") == F.col("cell_b")) & (F.col("part_a") == F.col("part_b"))
-    full = pairs.join(sides[0], ["cell_a", "part_a"]).join(sides[1], ["cell_b", "part_b"])
-    rows = full.select(same.alias("same"), "ids_a", "units_a", "weights_a", "ids_b", "units_b", "weights_b")
+    rows = _block_pairs(blocks, min(tile_axes, len(axes)), most_blocks)
     links = materialize(_compare(rows, axes, least, steps), "links")
     return _answer(units, classes, links, id_col)
 
