@@ -152,20 +152,27 @@ def relief(centres: DataFrame, edges: DataFrame, water: int, low: float = 0.01,
     drawn = F.pmod(F.xxhash64(F.least("v", "w"), F.greatest("v", "w"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     rise = F.when(F.col("dry_v").isNotNull() & F.col("dry_w").isNotNull(), low + high + drawn).otherwise(low)
     ways = edges.select("v", "w").distinct().join(on_land("v"), "v", "left").join(on_land("w"), "w", "left").select("v", "w", rise.alias("rise"))
-    ways = materialize(ways.unionByName(ways.select(F.col("w").alias("v"), F.col("v").alias("w"), "rise")), "ways")
-    heights = materialize(edges.filter("is_border").select(F.explode(F.array("v", "w")).alias("corner")).distinct().withColumn("elevation", F.lit(0.0)), "heights")
+    # Rounds go by numbers: the exact places are long texts.
+    numbers = materialize(edges.select(F.explode(F.array("v", "w")).alias("corner")).distinct().withColumn("n", F.monotonically_increasing_id()), "numbers")
+    by_number = lambda c: numbers.select(F.col("corner").alias(c), F.col("n").alias(f"n_{c}"))
+    ways = ways.join(by_number("v"), "v").join(by_number("w"), "w").select(F.col("n_v").alias("v"), F.col("n_w").alias("w"), "rise")
+    ways = materialize(ways, "roads")
+    ways, roads = materialize(ways.unionByName(ways.select(F.col("w").alias("v"), F.col("v").alias("w"), "rise")), "ways"), ways
+    release(roads)
+    start = edges.filter("is_border").select(F.explode(F.array("v", "w")).alias("corner")).distinct()
+    heights = materialize(start.join(numbers, "corner").select(F.col("n").alias("corner"), F.lit(0.0).alias("elevation")), "heights")
     front = heights
-    for _ in range(max_rounds):
+    for round_ in range(max_rounds):
         reached = front.withColumnRenamed("corner", "v").join(ways, "v").groupBy(F.col("w").alias("corner")).agg(F.min(F.col("elevation") + F.col("rise")).alias("reached"))
         sunk = reached.join(heights, "corner", "left").filter("elevation is null or reached < elevation").select("corner", F.col("reached").alias("elevation"))
-        front = materialize(sunk, "front", collect=False)
+        passed, front = front, materialize(sunk, "front", collect=False)
         if front.isEmpty():
             break
-        before, heights = heights, materialize(heights.join(front, "corner", "left_anti").unionByName(front), "heights", collect=False)
-        release(before)
+        before, heights = heights, materialize(heights.join(front, "corner", "left_anti").unionByName(front), "heights", collect=round_ % 8 == 7)
+        release(before, passed)
     else:
         raise RuntimeError(f"heights did not settle in {max_rounds} rounds")
-    corners = edges.select(F.explode(F.array("v", "w")).alias("corner")).distinct().join(heights, "corner", "left")
+    corners = numbers.join(heights.withColumnRenamed("corner", "n"), "n", "left").drop("n")
     corners = corners.withColumn("elevation", F.coalesce("elevation", F.lit(float("inf"))))
     touches = edges.select(F.explode(F.array("a", "b")).alias("id"), F.array("v", "w").alias("c")).select("id", F.explode("c").alias("corner")).distinct()
     means = touches.join(corners, "corner").groupBy("id").agg(F.avg("elevation").alias("elevation"))
